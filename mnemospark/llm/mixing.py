@@ -31,7 +31,7 @@ def text_quality(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """sizes: one row a source (source, source_size). Adds target: share of the total, dealt by
+    """sizes: one row a source (_s, source, source_size). Adds target: share of the total, dealt by
     weight; a target stops at most times its source's size and the excess goes to the others by
     weight, until none is above.
 
@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     )
     # the first source, in order of ratio, that isn't above its cap at its level sets the level of all
     level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_level"))).over(every)
-    return t.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * level["_level"], F.col("_cap"))).alias("target"))
+    return t.select("_s", "source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * level["_level"], F.col("_cap"))).alias("target"))
 
 
 def mix(
@@ -98,23 +98,23 @@ def mix(
         (-F.log(u) / F.greatest(F.coalesce(F.col("_q"), F.lit(1.0)), F.lit(1e-6))).alias("_key"),
         "_h",
     )
-    rows = stored(rows, "mix")
-    # 1 - exp(-key) spreads the keys about evenly, for any weights near 1
-    rows = rows.withColumn("_slice", F.floor((1 - F.exp(-F.col("_key"))) * SLICES).cast("int"))
-    slices = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
-    slices = stored(slices, "mix-slices")
-    targets = source_targets(slices.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
-    earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select("source", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")).alias("s")
-    known = starts.join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "_slice", "_start", "source_size", "target")
-    inside = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
-    both = rows.join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r._slice") == F.col("k._slice")))
+    # a null source gets a name of its own, so that plain equality joins and windows agree on a shuffle
+    rows = rows.withColumn("_s", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")))
+    # key / (1 + key) spreads exponential keys about evenly over 0 to 1, for weights near 1 and far below
+    rows = stored(rows.withColumn("_slice", F.floor(F.col("_key") / (1 + F.col("_key")) * SLICES).cast("int")), "mix")
+    slices = stored(rows.groupBy("_s", "source", "_slice").agg(F.sum("size").alias("_sum")), "mix-slices")
+    targets = source_targets(slices.groupBy("_s", "source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
+    earlier = Window.partitionBy("_s").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select("_s", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    known = starts.join(targets.drop("source"), "_s")
+    inside = Window.partitionBy("_s", "_slice").orderBy("_key", "doc_id", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    both = rows.join(known, ["_s", "_slice"])
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     left = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     part = F.least(F.greatest(left - F.col("_start") - F.col("_before"), F.lit(0)), F.col("size"))
     return both.withColumn("epochs", epochs).select(
-        "doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
     )
 
 

@@ -16,36 +16,35 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), where value is computed once although then uses it within lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def repeated_window_words(w: Column, width: int = 3) -> Column:
     """How many words of the array w lie in a window of width words that is found twice or more.
 
-    Windows are hashed to 64 bits and sorted with their starts, so equal windows are neighbours;
-    the starts of those that have an equal neighbour are sorted again, and each adds the words that
-    the next start doesn't cover. n log n for a text of n words, in one row."""
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
-    # windows that occur once go first, by their hash: most texts have few others
-    order = F.sort_array(keys)
-    twice = F.array_distinct(F.filter(order, lambda x, i: (i > 0) & (F.get(order, i - 1) == x)))
-    return F.when(n < width, F.lit(0)).when(F.size(F.array_distinct(keys)) == n - width + 1, F.lit(0)).otherwise(_covered(keys, twice, width)).cast("long")
-
-
-def _covered(keys: Column, twice: Column, width: int) -> Column:
-    pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-
-    def again(p: Column, j: Column) -> Column:
-        return (F.get(pairs, j - 1)["k"] == p["k"]) | (F.get(pairs, j + 1)["k"] == p["k"])
-
-    kept = F.filter(pairs, lambda p, j: F.coalesce(again(p, j), F.lit(False)))
-    at = F.sort_array(F.transform(kept, lambda p: p["i"]))
-    return F.aggregate(
-        at,
-        F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last")),
-        lambda acc, i: F.struct((acc["n"] + F.least(F.lit(width), i - acc["last"])).alias("n"), i.alias("last")),
-        lambda acc: acc["n"],
-    )
+    Windows are hashed to 64 bits. Most texts repeat none, which a hash set tells; for the others
+    windows are sorted with their starts, so that equal ones are neighbours, and each start of a
+    repeated one adds the words that the starts before it don't cover. n log n for n words."""
+
+    def windows(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - width)
+        keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+        return F.when(F.size(h) < width, F.array().cast("array<bigint>")).otherwise(keys)
+
+    def covered(p: Column) -> Column:
+        both = lambda a, b: F.when(a["k"] == b["k"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))
+        at = F.sort_array(F.flatten(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), both)))
+        first = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
+        add = lambda s, i: F.struct((s["n"] + F.least(F.lit(width), i - s["last"])).alias("n"), i.alias("last"))
+        return F.aggregate(at, first, add, lambda s: s["n"])
+
+    def count(keys: Column) -> Column:
+        pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(pairs, covered))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(windows(h), count)).cast("long")
 
 
 def base_features(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
@@ -83,34 +82,31 @@ def judge(
     A line is boilerplate where over max_documents different texts of its host have it (lines are
     compared in lower case, digits as 0, white space single; equal texts count as one, so groups of
     exact copies don't condemn their own lines). Boilerplate lines are removed; a document that
-    keeps under least_words words, or under least_share of its words, is depleted and not kept.
-    Before that, base rules reject texts under least_words words and those with over
-    max_repeat_share of their words in repeated 3-word windows.
+    keeps under least_share of its words is depleted and not kept. Before that, base rules reject
+    texts under least_words words and those with over max_repeat_share of their words in repeated
+    3-word windows.
 
     Nulls: a null text has no words, all counts 0, and fails; a null host is a host of its own.
     Repeated rows each get a row with the same verdict. Empty tables give none. Other columns are
-    ignored. Texts of any length are one row; lines move as 16 bytes each.
+    ignored. Texts of any length are one row; lines move as a few bytes each.
 
     Scale: counts are summed before each shuffle. A line that a third of all documents share is one
     key only in the last join, against the short table of boilerplate lines, which Spark splits."""
-    base = stored(base_features(docs, key, host, text).withColumn("_row", F.xxhash64("doc_id", "text_hash", "host")), "rules")
-    lines = base.select("_row", "host", "text_hash", F.explode("lines").alias("l")).select("_row", "host", "text_hash", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
-    seen = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one"))
-    frequent = stored(seen.groupBy("host", "h").agg(F.count("one").alias("documents")).where(F.col("documents") > max_documents), "rules-lines")
-    a, b = lines.alias("a"), frequent.alias("b")
-    hits = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host")))
-    removed = hits.groupBy("a._row", "a.text_hash").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_hits"))
-    # equal rows share _row: their lines were summed together, so divide by how many there are
-    copies = base.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"))
-    removed = removed.join(copies, "_row").select("_row", F.expr("_n div _copies").alias("boilerplate_words"))
+    base = base_features(docs, key, host, text).withColumn("_row", F.monotonically_increasing_id())
+    base = stored(base.withColumn("_host", F.when(F.col("host").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "host"))), "rules")
+    lines = base.select("_row", "_host", "text_hash", F.explode("lines").alias("l")).select("_row", F.xxhash64("_host", "l.h").alias("h"), "text_hash", F.col("l.n").alias("n"))
+    seen = lines.groupBy("h", "text_hash").agg(F.lit(1).alias("one"))
+    frequent = stored(seen.groupBy("h").agg(F.count("one").alias("documents")).where(F.col("documents") > max_documents), "rules-lines")
+    removed = lines.join(frequent, "h").groupBy("_row").agg(F.sum("n").alias("boilerplate_words"))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     left = F.col("n_words") - F.col("boilerplate_words")
     return (
-        base.join(removed, "_row", "left")
+        base.drop("lines", "text_hash", "_host")
+        .join(removed, "_row", "left")
         .withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("left_words", left)
-        .withColumn("kept", ~F.col("base_failed") & (left >= least_words) & (left >= least_share * F.col("n_words")))
+        .withColumn("kept", ~F.col("base_failed") & (left >= least_share * F.col("n_words")))
         .select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate_words", "left_words", "kept")
     )
 
