@@ -25,7 +25,7 @@ def text_quality(text: Column) -> Column:
     lines = F.split(t, "\n")
     size = F.length(t)
     unique = F.aggregate(F.array_distinct(lines), F.lit(0), lambda n, x: n + F.length(x) + 1) - 1
-    symbols = size - F.length(F.translate(t, "#*$%&|<>!", ""))
+    symbols = F.regexp_count(t, F.lit("[#*$%&|<>!]"))
     share = (unique - symbols) / F.greatest(size, F.lit(1))
     return F.when(size == 0, F.lit(1.0)).otherwise(F.greatest(share, F.lit(0.05))).cast("double")
 

@@ -5,65 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import WORD, stored, words
+from mnemospark.llm.common import SPACE, stored
 
 #: The characters counted as symbols (fixed values of the contract).
 SYMBOLS = "#*$%&|<>"
 
 
-def normalised(line: Column) -> Column:
-    """A line as it is compared across documents: lower case, digits as 0, white space single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
-
-
-def let(value: Column, then) -> Column:
-    """then(value), where value is computed once although then uses it within lambdas."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def repeated_window_words(w: Column, width: int = 3) -> Column:
-    """How many words of the array w lie in a window of width words that is found twice or more.
-
-    Windows are hashed to 64 bits. Most texts repeat none, which a hash set tells; for the others
-    windows are sorted with their starts, so that equal ones are neighbours, and each start of a
-    repeated one adds the words that the starts before it don't cover. n log n for n words."""
-
-    def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - width)
-        keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
-        return F.when(F.size(h) < width, F.array().cast("array<bigint>")).otherwise(keys)
-
-    def covered(p: Column) -> Column:
-        both = lambda a, b: F.when(a["k"] == b["k"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))
-        at = F.sort_array(F.flatten(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), both)))
-        first = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
-        add = lambda s, i: F.struct((s["n"] + F.least(F.lit(width), i - s["last"])).alias("n"), i.alias("last"))
-        return F.aggregate(at, first, add, lambda s: s["n"])
-
-    def count(keys: Column) -> Column:
-        pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(pairs, covered))
-
-    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(windows(h), count)).cast("long")
+def normalised(text: Column) -> Column:
+    """A text whose lines are compared across documents: digits as 0, no white space but line
+    feeds. (Case is dropped when a line is hashed.)"""
+    return F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", ""), "[1-9]", "0")
+
+
+def with_repeated_words(rows: DataFrame, words_column: str, out: str, width: int = 3) -> DataFrame:
+    """rows with out: how many words of the array lie in a window of width words that is found
+    twice or more in it.
+
+    Windows are hashed to 64 bits. Most texts repeat none, which a hash set tells. For the others
+    the upper 40 bits and the start are sorted as one number, so that equal windows are neighbours
+    (they are held against each other in full); then each start of a repeated one adds the words
+    that the starts before it don't cover. n log n for n words. Each step is a column of its own,
+    so that it's computed once."""
+    low = (1 << 24) - 1
+    rows = rows.withColumn("_h", F.transform(words_column, lambda x: F.xxhash64(x)))
+    keys = F.transform(F.sequence(F.lit(0), F.size("_h") - width), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(width)]))
+    rows = rows.withColumn("_keys", F.when(F.size("_h") < width, F.array().cast("array<bigint>")).otherwise(keys))
+    # starts need more than 24 bits only in texts of over 16 million words: there the numbers overlap by chance alone
+    packed = F.sort_array(F.transform("_keys", lambda k, i: k.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("_p", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), packed).otherwise(none))
+    start = lambda x: x.bitwiseAND(F.lit(low))
+    key = lambda x: F.get("_keys", start(x).cast("int"))
+    same = lambda a, b: F.when((F.shiftright(a, 24) == F.shiftright(b, 24)) & (key(a) == key(b)), F.array(start(a), start(b))).otherwise(none)
+    rows = rows.withColumn("_at", F.when(F.size("_p") == 0, none).otherwise(F.sort_array(F.flatten(F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), same)))))
+    first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).cast("long").alias("last"))
+    add = lambda s, i: F.struct((s["n"] + F.least(F.lit(width).cast("long"), i - s["last"])).alias("n"), i.alias("last"))
+    return rows.withColumn(out, F.when(F.size("_at") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("_at", first, add, lambda s: s["n"]))).drop("_h", "_keys", "_p", "_at")
 
 
 def base_features(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
-    """One row per document with the counts and its lines as (hash, words)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(host).cast("string").alias("host"), t.alias("_t"), F.xxhash64(t, F.lit(1)).alias("text_hash"))
-    rows = rows.withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
-    lines = F.transform("_lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    return rows.select(
+    """One row per document with the counts and its lines as (hash, characters)."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(host).cast("string").alias("host"), t.alias("_t"))
+    rows = rows.withColumn("_w", F.array_remove(F.split("_t", SPACE), "")).withColumn("_n", F.split(normalised(F.col("_t")), "\n"))
+    raw = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.transform(F.array_remove("_n", ""), lambda x: F.struct(F.xxhash64(F.lower(x)).alias("h"), F.length(x).alias("n")))
+    rows = rows.select(
         "doc_id",
         "host",
-        "text_hash",
+        F.xxhash64("_t", F.lit(1)).alias("text_hash"),
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_t", r"[\x20\x09-\x0D]", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("_w")).alias("n_repeat_words"),
+        F.aggregate("_n", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        raw.alias("_raw"),
         lines.alias("lines"),
+        "_w",
     )
+    rows = rows.withColumn("n_dup_lines", (F.size("_raw") - F.size(F.array_distinct("_raw"))).cast("long")).drop("_raw")
+    return with_repeated_words(rows, "_w", "n_repeat_words").drop("_w")
 
 
 def judge(
@@ -77,12 +76,12 @@ def judge(
     least_share: float = 0.3,
     max_repeat_share: float = 0.5,
 ) -> DataFrame:
-    """One row per document: the base counts, base_failed, boilerplate_words, left_words, kept.
+    """One row per document: the base counts, base_failed, boilerplate_chars, kept.
 
     A line is boilerplate where over max_documents different texts of its host have it (lines are
-    compared in lower case, digits as 0, white space single; equal texts count as one, so groups of
+    compared in lower case, digits as 0, without white space; equal texts count as one, so groups of
     exact copies don't condemn their own lines). Boilerplate lines are removed; a document that
-    keeps under least_share of its words is depleted and not kept. Before that, base rules reject
+    keeps under least_share of its characters is depleted and not kept. Before that, base rules reject
     texts under least_words words and those with over max_repeat_share of their words in repeated
     3-word windows.
 
@@ -97,28 +96,26 @@ def judge(
     lines = base.select("_row", "_host", "text_hash", F.explode("lines").alias("l")).select("_row", F.xxhash64("_host", "l.h").alias("h"), "text_hash", F.col("l.n").alias("n"))
     seen = lines.groupBy("h", "text_hash").agg(F.lit(1).alias("one"))
     frequent = stored(seen.groupBy("h").agg(F.count("one").alias("documents")).where(F.col("documents") > max_documents), "rules-lines")
-    removed = lines.join(frequent, "h").groupBy("_row").agg(F.sum("n").alias("boilerplate_words"))
+    removed = lines.join(frequent, "h").groupBy("_row").agg(F.sum("n").alias("boilerplate_chars"))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
-    left = F.col("n_words") - F.col("boilerplate_words")
+    left = F.col("word_chars") - F.col("boilerplate_chars")
     return (
         base.drop("lines", "text_hash", "_host")
         .join(removed, "_row", "left")
-        .withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)).cast("long"))
+        .withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
-        .withColumn("left_words", left)
-        .withColumn("kept", ~F.col("base_failed") & (left >= least_share * F.col("n_words")))
-        .select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate_words", "left_words", "kept")
+        .withColumn("kept", ~F.col("base_failed") & (left >= least_share * F.col("word_chars")))
+        .select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate_chars", "kept")
     )
 
 
 def without_boilerplate(docs: DataFrame, frequent: DataFrame, *, host: str = "source", text: str = "text") -> DataFrame:
-    """docs with the lines that frequent (host, h) lists taken out of text. Rows with a null key
-    and repeated rows keep their own text: lines are matched by host and hash alone, per row."""
-    numbered = docs.withColumn("_id", F.monotonically_increasing_id())
-    numbered = stored(numbered, "rules-docs")
-    split = numbered.select("_id", F.col(host).cast("string").alias("_host"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_p", "_line"))
-    split = split.withColumn("_h", F.xxhash64(normalised(F.col("_line"))))
-    bad = split.alias("s").join(frequent.alias("f"), (F.col("s._h") == F.col("f.h")) & F.col("s._host").eqNullSafe(F.col("f.host")), "left_semi")
-    gone = bad.groupBy("_id").agg(F.collect_set("_p").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
+    """docs with the lines taken out of text whose hash is in frequent (h), as judge() finds them.
+    Lines are matched by host and content, row by row; a text without such lines is unchanged."""
+    numbered = stored(docs.withColumn("_id", F.monotonically_increasing_id()), "rules-docs")
+    name = F.when(F.col(host).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(host).cast("string")))
+    split = numbered.select("_id", name.alias("_host"), F.posexplode(F.split(normalised(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_p", "_line")).where("_line != ''")
+    split = split.select("_id", "_p", F.xxhash64("_host", F.xxhash64(F.lower("_line"))).alias("h"))
+    gone = split.join(frequent, "h", "left_semi").groupBy("_id").agg(F.collect_set("_p").alias("_gone"))
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return numbered.join(gone, "_id", "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_id", "_gone")
