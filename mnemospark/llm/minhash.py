@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemospark.llm.common import raw_bytes, slices, stored
 from mnemospark.llm.word_hash import BYTE_BASE, WORD_BASE, mixed, word_hashes
@@ -186,13 +187,15 @@ class NearDuplicates:
         rest = self._apart(stars.join(best, ["a", "b"], "left_anti"), roots)
         links2 = stored(self.confirmed(rest, sets), "near-links")
         roots = stored(connected(self._lifted(links2, roots).union(links), "near-2"), "near-roots")
-        # what is still apart in a bucket: all pairs of which one isn't in the bucket's largest component
-        named = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+        # what is still apart in a bucket: members out of its largest component against all the others
+        named = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         shares = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
         largest = shares.groupBy("band").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "main")
-        mixed_ = stored(named.join(largest, "band"), "near-apart")
-        few = mixed_.where("root != main").select("band", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-        pairs = few.join(mixed_, "band").where((F.col("ar") != F.col("root")) & self.fits("an", "n"))
+        apart = stored(named.join(largest, "band").groupBy("doc_id", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("out")), "near-apart")
+        prefixes = stored(self._prefixes(apart, sets), "near-prefixes")
+        few = prefixes.where("out").select("gram", F.col("doc_id").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"), F.col("i").alias("ai"))
+        reach = 1 + F.least(F.col("n") - F.col("i"), F.col("an") - F.col("ai"))  # shingles in common, at most, if this is the first
+        pairs = few.join(prefixes, "gram").where((F.col("ar") != F.col("root")) & (reach * (100 + self.percent) >= self.percent * (F.col("n") + F.col("an"))))
         pairs = pairs.select(F.greatest("a", "doc_id").alias("a"), F.least("a", "doc_id").alias("b")).distinct()
         pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
         links3 = stored(self.confirmed(pairs, sets), "near-links")
@@ -200,6 +203,23 @@ class NearDuplicates:
             roots = stored(connected(links.union(links2).union(links3), "near-3"), "near-roots")
         return classes, roots
 
+    def _prefixes(self, docs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The columns of docs, n, gram, i for the rarest shingles of each: in the order of how many
+        of docs have them, two sets that are similar enough share one of the first n - percent * n / 100 + 1."""
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s in slices(batches, "grams"):
+                raw = s.column("grams").to_pylist()
+                n = np.array([len(r) // WIDTH for r in raw], dtype=np.int64)
+                of = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(widened(b"".join(raw)).view(np.int64)), pa.array(np.repeat(n, n)), *(s.column(c).take(of) for c in ("doc_id", "root", "out"))], ["gram", "n", "doc_id", "root", "out"])
+
+        rows = sets.join(docs, "doc_id").select("doc_id", "root", "out", "grams").mapInArrow(apply, "gram bigint, n bigint, doc_id bigint, root bigint, out boolean")
+        rows = stored(rows, "near-grams")
+        ranked = rows.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
+        ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "gram")))
+        return ranked.where(100 * (F.col("i") - 1) <= (100 - self.percent) * F.col("n")).drop("df")
+
     def _apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """The pairs whose ends aren't in one component yet."""
         a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -221,8 +241,9 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", widt
     empty table gives none; other columns are ignored.
 
     Links are found where two sets share a band of the min-max signature, and each counts only once
-    confirmed on the sets themselves. In a bucket, documents meet its smallest member; only those
-    not joined with the others by then are held against all of them. No link between different
+    confirmed on the sets themselves. In a bucket, documents meet its smallest member; those not
+    joined with the others by then are held against all that share one of their rarest shingles, as
+    any set must that is similar enough. No link between different
     texts is given up for a bucket's size."""
     near = NearDuplicates(docs, key, text, width, percent)
     classes, roots = near.roots()
