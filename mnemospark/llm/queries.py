@@ -79,3 +79,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_token_output, op5_html_extraction, op6_packing, op7_language_id, op8_substring_dedup, op9_minhash_dedup, op10_media_columns)
 }
+
+WORD_LIST = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: Oracles, for what SQL can express; the others are tested in tests/llm.
+SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""with d as (select doc_id, source, coalesce(text, '') as t, {WORD_LIST} as w from documents),
+raw as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
+dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from raw where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+win as (select doc_id, s, w[s:s+2] as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) as s from d)),
+rep as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([s, s + 1, s + 2]) as p from win qualify count(*) over (partition by doc_id, g) > 1) group by 1),
+norm as (select doc_id, source, t, unnest(string_split(regexp_replace(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', '', 'g'), '[1-9]', '0', 'g'), chr(10))) as line from d),
+freq as (select source, lower(line) as l from norm where line <> '' group by 1, 2 having count(distinct t) > 50),
+gone as (select doc_id, sum(length(line))::bigint as chars from norm join freq on lower(norm.line) = freq.l and norm.source is not distinct from freq.source group by 1),
+f as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+ coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(chars, 0) as boilerplate_chars
+ from d left join dup using (doc_id) left join rep using (doc_id) left join gone using (doc_id))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and word_chars - boilerplate_chars >= 0.3 * word_chars as kept from f""",
+    "op8_substring_dedup": rf"""with d as (select doc_id, {WORD_LIST} as w from documents),
+win as (select doc_id, s, md5(array_to_string(w[s:s+19], ' ')) as h from (select doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) as s from d)),
+late as (select doc_id, s from win qualify row_number() over (partition by h order by doc_id, s) > 1),
+gone as (select distinct doc_id, s + unnest(range(0, 20)) as p from late),
+word as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t from word anti join gone using (doc_id, p) group by 1),
+n as (select doc_id, count(*) as c from gone group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(c, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id) left join n using (doc_id)""",
+    "op9_minhash_dedup": rf"""with recursive d as (select doc_id, list_transform({WORD_LIST}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+s as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as g from (select doc_id, w, unnest(range(1, case when len(w) = 1 then 2 else greatest(len(w), 1) end)) as i from d)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+e2 as (select x, y from e union all select y, x from e),
+r as (select doc_id, doc_id as root from d union select e2.y, r.root from r join e2 on e2.x = r.doc_id where r.root < e2.y)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(root) as component_id, doc_id = min(root) as kept from r left join n using (doc_id) group by doc_id, n.n""",
+}
