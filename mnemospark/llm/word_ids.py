@@ -7,6 +7,7 @@ work; the library itself encodes each word that isn't in the table."""
 from __future__ import annotations
 
 import os
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -32,7 +33,7 @@ class _Codes(dict):
 class WordIds:
     """most: words in the table before it is emptied. Its memory is about 300 bytes a word."""
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 300_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,9 +62,7 @@ class WordIds:
             else:
                 low = core.lower() if core.isascii() else core
                 pieces.append((low, word[len(core) :]) if len(core) < len(word) else (low,))
-        missing = list({p for ps in pieces for p in ps if p not in self.parts})
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in missing], add_special_tokens=False)
-        self.parts.update(zip(missing, (e.ids for e in encoded), strict=True))
+        self._encode_parts(list({p for ps in pieces for p in ps if p not in self.parts}))
         for ps in pieces:
             ids = self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]]
             if self.known >= len(self.starts):
@@ -76,6 +75,26 @@ class WordIds:
             self.known += 1
         self.new.clear()
 
+    def _encode_parts(self, parts: list[bytes]) -> None:
+        """Adds the parts' ids. Parts of letters alone are one piece each, so that many are encoded
+        as one text and told apart by the numbers of its pieces; should these not fit, and for all
+        other parts, each is a text of its own."""
+        single, joined = [], []
+        for p in parts:
+            s = p.decode("utf-8", "replace")
+            plain = s.isascii() or (is_normalized("NFC", s) and s.lower().isalpha())
+            (joined if plain and s.isalpha() else single).append((p, s))
+        groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
+            ids, of = e.ids, np.array([-1 if w is None else w for w in e.word_ids])
+            begins = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+            if len(begins) != len(group):
+                single += group
+                continue
+            self.parts.update((p, ids[a:b]) for (p, _), a, b in zip(group, begins, [*begins[1:], len(ids)], strict=True))
+        encoded = self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)
+        self.parts.update((p, e.ids) for (p, _), e in zip(single, encoded, strict=True))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, end ids with them, and how many each text has."""
         if self.known > self.most:
