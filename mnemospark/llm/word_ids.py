@@ -7,6 +7,7 @@ work; the library itself encodes each word that isn't in the table."""
 from __future__ import annotations
 
 import os
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -30,6 +31,11 @@ class _Codes(dict):
         return code
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy at least twice as long where it has no n places."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), dtype=a.dtype)])
+
+
 class WordIds:
     """most: words in the table before it is emptied. Its memory is about 300 bytes a word."""
 
@@ -63,16 +69,15 @@ class WordIds:
                 low = core.lower() if core.isascii() else core
                 pieces.append((low, word[len(core) :]) if len(core) < len(word) else (low,))
         self._encode_parts(list({p for ps in pieces for p in ps if p not in self.parts}))
-        for ps in pieces:
-            ids = self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]]
-            if self.known >= len(self.starts):
-                self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.starts[self.known], self.sizes[self.known] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known += 1
+        ids = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in pieces]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        ends = np.cumsum(sizes)
+        known, used = self.known + len(ids), self.used + int(sizes.sum())
+        self.starts, self.sizes, self.flat = (_grown(a, n) for a, n in ((self.starts, known), (self.sizes, known), (self.flat, used)))
+        self.starts[self.known : known] = self.used + ends - sizes
+        self.sizes[self.known : known] = sizes
+        self.flat[self.used : used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=used - self.used)
+        self.known, self.used = known, used
         self.new.clear()
 
     def _encode_parts(self, parts: list[bytes]) -> None:
