@@ -7,7 +7,6 @@ work; the library itself encodes each word that isn't in the table."""
 from __future__ import annotations
 
 import os
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -50,7 +49,7 @@ class WordIds:
     def _empty(self) -> None:
         self.new: list[bytes] = []
         self.codes = _Codes(self.new, 1)
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, bytes] = {}  # ids as bytes: a list would take five times the memory
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 16, dtype=np.int64)
         self.sizes = np.zeros(1 << 16, dtype=np.int64)
@@ -70,13 +69,13 @@ class WordIds:
                 pieces.append((low, word[len(core) :]) if len(core) < len(word) else (low,))
         self._encode_parts(list({p for ps in pieces for p in ps if p not in self.parts}))
         ids = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in pieces]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         ends = np.cumsum(sizes)
         known, used = self.known + len(ids), self.used + int(sizes.sum())
         self.starts, self.sizes, self.flat = (_grown(a, n) for a, n in ((self.starts, known), (self.sizes, known), (self.flat, used)))
         self.starts[self.known : known] = self.used + ends - sizes
         self.sizes[self.known : known] = sizes
-        self.flat[self.used : used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=used - self.used)
+        self.flat[self.used : used] = np.frombuffer(b"".join(ids), dtype="<u4")
         self.known, self.used = known, used
         self.new.clear()
 
@@ -91,14 +90,14 @@ class WordIds:
             (joined if plain and s.isalpha() else single).append((p, s))
         groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
-            ids, of = e.ids, np.array([-1 if w is None else w for w in e.word_ids])
-            begins = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+            ids, of = np.array(e.ids, dtype="<u4").tobytes(), np.array([-1 if w is None else w for w in e.word_ids])
+            begins = (4 * np.flatnonzero(np.diff(of, prepend=-1))).tolist()
             if len(begins) != len(group):
                 single += group
                 continue
             self.parts.update((p, ids[a:b]) for (p, _), a, b in zip(group, begins, [*begins[1:], len(ids)], strict=True))
         encoded = self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)
-        self.parts.update((p, e.ids) for (p, _), e in zip(single, encoded, strict=True))
+        self.parts.update((p, np.array(e.ids, dtype="<u4").tobytes()) for (p, _), e in zip(single, encoded, strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, end ids with them, and how many each text has."""
