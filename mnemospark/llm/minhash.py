@@ -85,12 +85,11 @@ def widened(raw: bytes) -> np.ndarray:
 def connected(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
     """node, root for each node of edges (a, b): root is the smallest node that can be reached.
 
-    Large and small stars in turn, until nothing changes: each edge moves to the lowest neighbour of
+    Large and small stars in turn, until only stars are left: each edge moves to the lowest neighbour of
     one end, so chains halve and every component ends as a star around its smallest node. A node
     with very many neighbours is one row of minima to be joined with, never a group to be gathered."""
     e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u != v").distinct()
-    before = None
-    for i in range(most):
+    for _ in range(most):
         both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")).withColumnRenamed("v", "c")
         large = both.join(low, both["v"] == low["c"]).where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
@@ -99,10 +98,9 @@ def connected(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
         small = large.join(low, large["v"] == low["c"])
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select(F.col("c").alias("v"), F.col("m").alias("u")))
         e = stored(small.where("u != v").distinct(), f"{name}-stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        inner = e.select("v").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        if e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v").union(inner).isEmpty():
+            break  # every node hangs on one other, which hangs on none
     roots = e.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node")
     return roots.union(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
@@ -177,16 +175,10 @@ class NearDuplicates:
         members = stored(banded.join(buckets, "band").select("band", "doc_id", "n", "pivot"), "near-members")
         sets = stored(self.sets(members.select("doc_id").distinct()), "near-sets")
         sizes = members.where("doc_id = pivot").select("pivot", F.col("n").alias("pivot_n")).distinct()
-        # every document against the smallest of each of its buckets; first against the one it meets most
-        stars = members.where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
-        stars = stars.join(sizes, "pivot").where(self.fits("n", "pivot_n")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "met")
-        stars = stored(stars, "near-stars")
-        best = stars.groupBy("a").agg(F.max_by("b", F.struct("met", -F.col("b"))).alias("b"))
-        links = stored(self.confirmed(best, sets), "near-links")
-        roots = stored(connected(links, "near-1"), "near-roots")
-        rest = self._apart(stars.join(best, ["a", "b"], "left_anti"), roots)
-        links2 = stored(self.confirmed(rest, sets), "near-links")
-        roots = stored(connected(self._lifted(links2, roots).union(links), "near-2"), "near-roots")
+        # every document against the smallest of each of its buckets
+        stars = members.where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.max("n").alias("n"))
+        stars = stored(stars.join(sizes, "pivot").where(self.fits("n", "pivot_n")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "near-stars")
+        roots = stored(connected(stored(self.confirmed(stars, sets), "near-links"), "near-1"), "near-roots")
         # what is still apart in a bucket: members out of its largest component against all the others
         named = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         shares = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -197,10 +189,10 @@ class NearDuplicates:
         reach = 1 + F.least(F.col("n") - F.col("i"), F.col("an") - F.col("ai"))  # shingles in common, at most, if this is the first
         pairs = few.join(prefixes, "gram").where((F.col("ar") != F.col("root")) & (reach * (100 + self.percent) >= self.percent * (F.col("n") + F.col("an"))))
         pairs = pairs.select(F.greatest("a", "doc_id").alias("a"), F.least("a", "doc_id").alias("b")).distinct()
-        pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-        links3 = stored(self.confirmed(pairs, sets), "near-links")
-        if not links3.isEmpty():
-            roots = stored(connected(links.union(links2).union(links3), "near-3"), "near-roots")
+        links = stored(self.confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets), "near-links")
+        if not links.isEmpty():
+            known = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = stored(connected(known.union(links), "near-2"), "near-roots")
         return classes, roots
 
     def _prefixes(self, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,15 +212,6 @@ class NearDuplicates:
         ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "gram")))
         return ranked.where(100 * (F.col("i") - 1) <= (100 - self.percent) * F.col("n")).drop("df")
 
-    def _apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs whose ends aren't in one component yet."""
-        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-    def _lifted(self, links: DataFrame, roots: DataFrame) -> DataFrame:
-        """links, and each of roots' stars, as edges."""
-        return links.union(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-
 
 def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: texts whose sets of width-word shingles (A-Z in
