@@ -38,7 +38,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 class WordIds:
     """most: words in the table before it is emptied. Its memory is about 300 bytes a word."""
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 1_000_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
