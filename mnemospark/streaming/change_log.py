@@ -19,13 +19,14 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, cooldown: str) -
     return stream.withWatermark(time, cooldown).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(stream: DataFrame, time: str, by: list[str], value: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Count and sum of value in tumbling or sliding windows; works on streams and on tables."""
-    rows = stream.withWatermark(time, late) if stream.isStreaming else stream
+def windowed_counts(stream: DataFrame, time: str, by: list[str], value: str, width: str, slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
+    """Count and sum of value in tumbling or sliding windows; works on streams and on tables.
+    late is None for a stream that has its watermark already."""
+    rows = stream.withWatermark(time, late) if stream.isStreaming and late else stream
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return rows.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def sessions(stream: DataFrame, time: str, by: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
-    rows = stream.withWatermark(time, late) if stream.isStreaming else stream
+def sessions(stream: DataFrame, time: str, by: list[str], gap: str, late: str | None = "10 minutes") -> DataFrame:
+    rows = stream.withWatermark(time, late) if stream.isStreaming and late else stream
     return rows.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("session_start"), *by, "n")

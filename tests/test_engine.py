@@ -105,7 +105,7 @@ def test_stream(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).limit(300).write.parquet(path)
     schema = spark.read.parquet(path).schema
     stream = change_log.deduplicated(spark.readStream.schema(schema).parquet(path), ["user_id", "event_type"], "ts", "1 hour")
-    q = change_log.windowed_counts(stream, "ts", ["event_type"], "value", "1 hour").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = change_log.windowed_counts(stream, "ts", ["event_type"], "value", "1 hour", late=None).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").count() > 0
