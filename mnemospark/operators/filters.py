@@ -52,6 +52,20 @@ def valid_at(df: DataFrame, moment: Column, start: str, end: str) -> DataFrame:
     return df.where((F.col(start).isNull() | (F.col(start) <= moment)) & (F.col(end).isNull() | (F.col(end) >= moment)))
 
 
+def recalled(view: str, at: Column) -> Column:
+    """Whether a memory is in the view at a moment: ALL, HISTORICAL (valid then) or CURRENT (valid,
+    not archived, neither ended nor superseded). Columns: created_at, is_archived, valid_from,
+    valid_to, superseded_by. One without any of the last three is valid from its creation."""
+    if view == "ALL":
+        return F.lit(True)
+    start, end, by = F.col("valid_from"), F.col("valid_to"), F.col("superseded_by")
+    known = start.isNotNull() | end.isNotNull() | by.isNotNull()
+    valid = F.when(known, (start.isNull() | (start <= at)) & (end.isNull() | (at <= end))).otherwise(F.col("created_at") <= at)
+    if view == "HISTORICAL":
+        return valid
+    return ~F.coalesce("is_archived", F.lit(False)) & valid & end.isNull() & by.isNull()
+
+
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next size rows after a cursor and next_cursor: the key to go on from, null on the last page."""
     rows = (df.where(F.col(key) > after) if after is not None else df).orderBy(key).limit(size + 1)

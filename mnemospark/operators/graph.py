@@ -79,6 +79,44 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     return labels
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """id and cycle (its smallest member) of all nodes on a directed cycle, self links among them.
+
+    Nodes without a link in or out are on none and are trimmed away until all have both. Then every
+    node takes the largest id that leads to it as its colour; what reaches a colour's own node within
+    the colour is one strongly connected set. Sets found leave the graph, and the rest goes on. Each
+    round is joins on node ids, cut from its lineage; every colour yields a set each round."""
+    loops = edges.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")).distinct()
+    e = checkpointed(edges.where("src != dst").select("src", "dst").distinct())
+    found = loops
+    while True:
+        n = -1
+        while n != (n := e.count()):
+            heads, tails = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+            e = checkpointed(e.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+        if n == 0:
+            break
+        colours = checkpointed(e.select(F.col("src").alias("id"), F.col("src").alias("colour")).distinct())
+        moved = 1
+        while moved:
+            high = e.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("_high"))
+            new = colours.join(high, "id", "left").select("id", F.greatest("colour", "_high").alias("colour"), (F.col("_high") > F.col("colour")).alias("_moved"))
+            new = checkpointed(new)
+            moved, colours = new.where("_moved").limit(1).count(), new.select("id", "colour")
+        tinted = e.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("_a")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("_b")), "dst")
+        inner = checkpointed(tinted.where("_a = _b").select("src", "dst"))
+        members = frontier = checkpointed(colours.where("id = colour"))
+        while frontier.limit(1).count():
+            back = inner.join(frontier.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "colour").distinct()
+            frontier = checkpointed(back.join(members, "id", "left_anti"))
+            members = checkpointed(members.unionByName(frontier))
+        least = members.groupBy("colour").agg(F.min("id").alias("cycle"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        found = found.unionByName(members.join(least, "colour").select("id", "cycle"))
+        gone = members.select("id")
+        e = checkpointed(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    return found.groupBy("id").agg(F.min("cycle").alias("cycle"))
+
+
 def resolve_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges (target_path) with dst and state: RESOLVED where one node has the path or, failing that,
     one node has the link's name; AMBIGUOUS where several have the name; MISSING otherwise."""

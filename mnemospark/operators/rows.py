@@ -68,3 +68,17 @@ def source_set_hash(df: DataFrame, key: str, refs: list[str]) -> DataFrame:
     one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in refs]), 256)
     distinct = df.select(key, one.alias("_h")).distinct()
     return distinct.groupBy(key).agg(F.count(F.lit(1)).alias("sources"), F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), "|"), 256).alias("source_set_hash"))
+
+
+def move_plan(moves: DataFrame, inventory: DataFrame, order: str) -> DataFrame:
+    """moves (order, source, destination) with state: READY, or why a move is not safe. inventory has
+    the paths that exist. Of several moves from or to one path the first in order may go."""
+    have = inventory.select("path").distinct()
+    m = moves.join(have.withColumnRenamed("path", "source").withColumn("_from", F.lit(True)), "source", "left")
+    m = m.join(have.withColumnRenamed("path", "destination").withColumn("_to", F.lit(True)), "destination", "left")
+    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(order))
+    state = (
+        F.when(F.col("source") == F.col("destination"), "SAME_PATH").when(F.col("_from").isNull(), "SOURCE_MISSING").when(F.col("_to"), "DESTINATION_EXISTS")
+        .when(F.col("_i") > 1, "DUPLICATE_SOURCE").when(F.col("_j") > 1, "DUPLICATE_DESTINATION").otherwise("READY")
+    )
+    return m.withColumn("_i", nth("source")).withColumn("_j", nth("destination")).select(*moves.columns, state.alias("state"))

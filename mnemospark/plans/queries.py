@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.operators import calendar, filters, graph, linkage, retrieval, rows
+from mnemospark.plans import upkeep  # noqa: F401  (registers its queries)
+from mnemospark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from mnemospark.session import table
 from mnemospark.streaming import change_log
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 WORDS = r"[\p{L}\p{N}_]+"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 # -- retrieval ---------------------------------------------------------------------------------------
 
 LANE = r"""
