@@ -44,6 +44,10 @@ class WordIds:
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
         self.vocabulary = self.tokenizer.get_vocab_size()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ending = [i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, dtype=bool)
+        self.ends_word[ending] = True
         self._empty()
 
     def _empty(self) -> None:
@@ -81,8 +85,8 @@ class WordIds:
 
     def _encode_parts(self, parts: list[bytes]) -> None:
         """Adds the parts' ids. Parts of letters alone are one piece each, so that many are encoded
-        as one text and told apart by the numbers of its pieces; should these not fit, and for all
-        other parts, each is a text of its own."""
+        as one text and told apart by the ids that end a word; should these not fit, as in a
+        vocabulary without such ids, and for all other parts, each is a text of its own."""
         single, joined = [], []
         for p in parts:
             s = p.decode("utf-8", "replace")
@@ -90,12 +94,13 @@ class WordIds:
             (joined if plain and s.isalpha() else single).append((p, s))
         groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
-            ids, of = np.array(e.ids, dtype="<u4").tobytes(), np.array([-1 if w is None else w for w in e.word_ids])
-            begins = (4 * np.flatnonzero(np.diff(of, prepend=-1))).tolist()
-            if len(begins) != len(group):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
                 single += group
                 continue
-            self.parts.update((p, ids[a:b]) for (p, _), a, b in zip(group, begins, [*begins[1:], len(ids)], strict=True))
+            data = ids.tobytes()
+            self.parts.update((p, data[a:b]) for (p, _), a, b in zip(group, [0, *ends], ends, strict=False))
         encoded = self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)
         self.parts.update((p, np.array(e.ids, dtype="<u4").tobytes()) for (p, _), e in zip(single, encoded, strict=True))
 
