@@ -6,6 +6,7 @@ work; the library itself encodes each word that isn't in the table."""
 
 from __future__ import annotations
 
+import gc
 import os
 from unicodedata import is_normalized
 
@@ -62,7 +63,17 @@ class WordIds:
             self.flat[0], self.sizes[0], self.used = self.end_id, 1, 1
 
     def _learn(self) -> None:
-        """Adds the new words to the table."""
+        """Adds the new words to the table. Nothing made here refers back to itself, so the search for
+        such cycles, which walks through the whole table, waits until the end."""
+        enabled = gc.isenabled()
+        gc.disable()
+        try:
+            self._add_words()
+        finally:
+            if enabled:
+                gc.enable()
+
+    def _add_words(self) -> None:
         pieces = []
         for word in self.new:
             core = word.rstrip(MARKS)
