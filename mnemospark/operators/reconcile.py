@@ -5,6 +5,7 @@ needs Python, in Arrow batches."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,6 @@ ACTIONS = {
 def text_ratio(a: Column, b: Column) -> Column:
     """How alike two texts are, 0 to 1: twice the matched characters over all characters; null for a
     null text."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import graph, linkage, retrieval, rows
+from mnemospark.operators import graph, lint, linkage, packs, reconcile, retrieval, rows
 from mnemospark.sources import markdown
-from mnemospark.streaming import change_log
+from mnemospark.streaming import change_log, limits
 
 NOTE = """---
 title: A plan
@@ -109,3 +109,44 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").count() > 0
+
+
+def test_relations(spark):
+    claim = "struct<subject string, predicate string, object string, polarity boolean, qualifiers array<string>>"
+    a = ("The  Sky", "is", "blue", True, ["now"])
+    others = [a, ("the sky", "IS", "blue", True, []), ("the sky", "is", "red", True, []), ("sea", "has", "fish", True, []), None]
+    df = spark.createDataFrame([(i, a, b) for i, b in enumerate(others)], f"n int, a {claim}, b {claim}")
+    no, yes = F.lit(False), F.lit(True)
+    e = F.when(F.col("b").isNotNull(), reconcile.claim_evidence(F.col("a"), F.col("b")))
+    v = reconcile.classify(e, F.lit(0.2), same_hash=no, same_source=F.lit(None).cast("boolean"), compatible=yes, independent=yes, overlapping=yes, newer=no)
+    got = df.select("n", v.alias("v")).select("n", "v.*").orderBy("n").collect()
+    assert [(r["relation"], r["confidence"]) for r in got] == [("SUPPORTS", 0.98), ("EXTENDS", 0.9), ("CONTRADICTS", 0.96), ("UNRELATED", 0.9), ("UNRELATED", 0.75)]
+    texts = spark.createDataFrame([("abcd", "bcde"), ("", ""), (None, "x")], "x string, y string")
+    assert [r[0] for r in texts.select(reconcile.text_ratio(F.col("x"), F.col("y"))).collect()] == [0.75, 1.0, None]
+
+
+def test_redaction_and_lint(spark):
+    rows_ = [(1, "password: hunter2 and AKIA" + "A" * 16), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, None), (4, "plain text about a password")]
+    got = {r["n"]: r for r in lint.redacted(spark.createDataFrame(rows_, "n int, t string"), "t").collect()}
+    assert got[1]["redacted_text"] == "[REDACTED] and [REDACTED]" and got[1]["n_redacted"] == 2
+    assert got[2]["blocked"] and got[3]["redacted_text"] == "" and got[4]["n_redacted"] == 0 and not got[4]["blocked"]
+    one = spark.createDataFrame([("USAGE", "t", "## Summary\nx\n## Evidence\ny", "s"), ("USAGE", "t", None, None)], "k string, t string, c string, s string")
+    assert [(r["score"], r["status"]) for r in lint.lint(one, "k", "t", "c", "s").collect()] == [(100, "SAVED"), (36, "PENDING_REVIEW")]
+
+
+def test_pack_budget(spark):
+    m = spark.createDataFrame([("q", "a", 0, 0.5, "GLOBAL", "x" * 9), ("q", "b", 1, 0.9, "USER", "yy"), ("q", "a", 2, 0.5, "GLOBAL", "later")], "q string, c string, position int, score double, scope string, text string")
+    got = [(r["c"], r["position"], r["section"], r["content"]) for r in packs.context_pack(m, "q", "c", budget=8).orderBy("position").collect()]
+    assert got == [("b", 1, "Agent Context", "yy"), ("a", 2, "Project Context", "xxxxx…")]
+
+
+def test_rate_limit(spark):
+    calls = spark.createDataFrame([("u", i, t) for i, t in enumerate([0, 5, 9, 10, 25])] + [("v", 9, 5), (None, 10, 5)], "s string, n int, t int").withColumn("t", F.timestamp_seconds("t"))
+    got = {r["n"]: (r["allowed"], r["remaining"], r["retry_after"]) for r in limits.fixed_window(calls, "s", "t", "n", limit=2, seconds=10).collect()}
+    assert got == {0: (True, 1, 10), 1: (True, 0, 5), 2: (False, 0, 1), 3: (True, 1, 10), 4: (True, 1, 10), 9: (True, 1, 10)}
+
+
+def test_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8)], "src int, dst int")
+    assert {(r["id"], r["cycle"]) for r in graph.cycles(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+    assert graph.cycles(edges.where("src = 0")).count() == 0
