@@ -54,7 +54,7 @@ def pieces_of(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray
     place = np.arange(len(h)) - starts[:-1][text]
     valid = np.flatnonzero(place + window <= counts[text])
     gram = np.zeros(len(h), dtype=np.uint64)
-    for j in range(GRAM):
+    for j in range(min(GRAM, len(h))):  # fewer words have no window
         gram[: len(h) - j] = gram[: len(h) - j] * np.uint64(WORD_BASE) + h[j:]
     gram = mixed(gram)
     anchor = lowest(gram, window - GRAM + 1)[valid]

@@ -82,6 +82,16 @@ def test_passages_edge_cases(odd, empty):
     assert by[9][0]["n_removed"] == 120
 
 
+def test_passages_of_few_words(spark):
+    for n in range(1, 7):
+        got = substring.dedup(frame(spark, [(0, "a b c d e f"[: 2 * n - 1])]).coalesce(1)).collect()
+        assert [(r["n_words"], r["n_removed"], r["kept_words"]) for r in got] == [(n, 0, "a b c d e f"[: 2 * n - 1])]
+    long = "word " * 220_000  # over 1 MB: a slice of its own, so the short text beside it is one too
+    for texts in ([(0, "a b c"), (1, long)], [(0, long), (1, "a b c")]):
+        got = {r["doc_id"]: r for r in substring.dedup(frame(spark, texts).coalesce(1)).collect()}
+        assert {got[i]["n_words"]: got[i]["n_removed"] for i in got} == {3: 0, 220_000: 219_999}
+
+
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(3)
     texts = []
