@@ -41,7 +41,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     order = Window.orderBy(F.col("source").asc_nulls_last())
     deal = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
     every = Window.partitionBy()
-    fill = Window.orderBy("_ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
+    fill = line.rowsBetween(Window.unboundedPreceding, -1)
     t = (
         sizes.withColumn("_w", deal)
         .withColumn("_cap", most * F.col("source_size"))
@@ -50,9 +51,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
         .withColumn("_capped", F.coalesce(F.sum("_cap").over(fill), F.lit(0.0)))
         .withColumn("_open", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(fill), F.lit(0.0)))
         .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_open"))
+        .withColumn("_place", F.row_number().over(line))
     )
-    # the first source, in order of ratio, that isn't above its cap at its level sets the level of all
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_level"))).over(every)
+    # the first source, in the order of the running sums, that isn't above its cap at its level sets the
+    # level of all; of sources with one ratio, the levels of later ones hold only if the first is capped
+    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_place", "_level"))).over(every)
     return t.select("_s", "source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * level["_level"], F.col("_cap"))).alias("target"))
 
 

@@ -196,6 +196,12 @@ def test_targets_fill_up_level(spark):
     assert got == {"a": 200.0, "b": 1445.0, "c": 20.0}
 
 
+def test_targets_of_tied_sources(spark):
+    t = spark.createDataFrame([(f"={c}", c, 100) for c in "abcdef"], "_s string, source string, source_size long")
+    got = {r["source"]: round(r["target"], 6) for r in mixing.source_targets(t, (5, 2, 1), 1.5, 2.0).collect()}
+    assert got == {"a": 200.0, "b": 166.666667, "c": 83.333333, "d": 200.0, "e": 166.666667, "f": 83.333333}
+
+
 def test_rules(spark, odd, empty):
     line = "A line that everybody has, 2024 edition of it"
     d = frame(spark, [(i, "\n".join([f"{line} {i % 10}"] * 8 + [prose(i, 60 if i % 2 else 4)])) for i in range(80)], source=lambda i: "s")
