@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import language, minhash, mixing, packing, substring
-from mnemospark.llm.common import shared_path, tokenizer_path
+from mnemospark.llm.common import WORD, shared_path, tokenizer_path
 
 #: Texts whose likeliest language has less probability than this are in none that the network knows.
 LEAST_SCORE = 0.3
@@ -14,23 +14,33 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters, and those in none of the languages, go."""
-    net = language.train(docs)
-    found = language.identify(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    net = language.train(docs, none=True)
+    found = language.identify(docs, net, whole=True).where((F.col("lang_pred") != language.NONE) & (F.col("score") >= LEAST_SCORE))
+    return found.select(docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs and _key: doc_id, or for null one made of the text, above those in use."""
+    made = F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), made))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, similarity of 0.8 or more)."""
-    kept = minhash.components(docs, width=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    # rows that share a key are one document, so of equal texts without a doc_id one is taken first
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = _keyed(docs.where(~nameless).unionByName(docs.where(nameless).dropDuplicates(["text"])))
+    kept = minhash.components(rows, key="_key", width=5).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 20 words and more that stand earlier in the corpus. A document
     of which nothing is left goes."""
-    left = substring.dedup(docs, layout=True).select("doc_id", F.col("kept_words").alias("text")).where("text != ''")
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    return rest.join(left, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("rest")
+    left = substring.dedup(_keyed(docs).select("_key", "text", rest), key="_key", layout=True, keep="rest")
+    left = left.select("rest.*", F.col("kept_words").alias("text")).where("text != ''")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,9 +160,10 @@ class ByteNet:
 
     # -- on Spark --------------------------------------------------------------------------------
 
-    def scored(self, docs: DataFrame, text: str, column: str) -> DataFrame:
-        """docs (of simple columns) with column: an array of the classes' probabilities for the whole text."""
-        names, net = docs.columns, self
+    def scored(self, docs: DataFrame, text: str, column: str, *, keep: bool = False) -> DataFrame:
+        """docs (of simple columns) with column: an array of the classes' probabilities for the whole
+        text. The text itself stays only where keep is set."""
+        names, net = [c for c in docs.columns if keep or c != text], self
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = {w: net._pairs(w) for w in net.widths}
@@ -170,9 +171,9 @@ class ByteNet:
                 data, at = raw_bytes(s.column(text).fill_null(""))
                 p = net.probabilities(data, at, pairs)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel().astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in names if c != text), values], [*(c for c in names if c != text), column])
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in names), values], [*names, column])
 
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
         return docs.mapInArrow(apply, f"{ddl}, `{column}` array<double>")
 
 

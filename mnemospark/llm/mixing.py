@@ -71,7 +71,7 @@ def mix(
     most: float = 2.0,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document: key, size, source_size, target, epochs, taken.
+    """One row per document: key, size, source_size, target, epochs, taken, and _h, its text's hash.
 
     Every source is taken whole target // size times; what is left of its target is filled by
     weighted sampling without replacement: a document's key is an exponential variate divided by
@@ -117,14 +117,17 @@ def mix(
     left = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     part = F.least(F.greatest(left - F.col("_start") - F.col("_before"), F.lit(0)), F.col("size"))
     return both.withColumn("epochs", epochs).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "_h"
     )
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the rows of docs that it takes, each as often as it is taken, whole times
-    first; a part counts as a time. Columns of docs, then epoch (0, 1, ...). A row whose key is
-    null is not matched and goes; rows that share a key are taken as often as the one taken most."""
-    taken = mix(docs, key=key, **options).where("taken > 0").select(F.col("doc_id").alias("_mix_key"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = taken.groupBy("_mix_key").agg(F.max("_times").alias("_times"))
-    return docs.join(taken, docs[key] == taken["_mix_key"]).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_mix_key", "_times")
+    first; a part counts as a time. Columns of docs, then epoch (0, 1, ...). Rows are matched by key
+    (null like any other), source and text; rows alike in all three are taken as often as the one
+    taken most."""
+    source, text = options.get("source", "source"), options.get("text", "text")
+    taken = mix(docs, key=key, **options).where("taken > 0").select(F.col("doc_id").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("_h").alias("_mix_hash"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    taken = taken.groupBy("_mix_key", "_mix_source", "_mix_hash").agg(F.max("_times").alias("_times"))
+    same = docs[key].eqNullSafe(taken["_mix_key"]) & docs[source].cast("string").eqNullSafe(taken["_mix_source"]) & (F.xxhash64(docs[text]) == taken["_mix_hash"])
+    return docs.join(taken, same).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_mix_key", "_mix_source", "_mix_hash", "_times")

@@ -198,7 +198,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]], layout: bool) -> tuple[int,
     return len(words), int((~keep).sum()), b"".join(out).strip()
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, layout: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, layout: bool = False, keep: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_words of every row: the text without each word that a window
     of window words covers whose words stand earlier too (in a document with a smaller key, or
     earlier in the same one). What is left is joined by one space, or where layout is set keeps its
@@ -207,16 +207,19 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     Null and empty texts have no words. Null keys come before all others. Rows that share a key are
     one document: the window that stands further from its text's start is the later one, and of two
     at the same place both stay; so repeated rows keep their text. Texts of any length are whole.
-    An empty table gives none; other columns are ignored.
+    An empty table gives none; other columns are ignored, but for the one named keep, which stays.
 
     Scale: four shuffles, of 32 bytes for each piece (twice), of the texts, and of the few pieces
     that share an anchor but differ. All meet under hashes of content; an anchor that a third of all
     documents have is summed before the first shuffle, one row to be joined with in the second, and
     if it has many different pieces, these are settled window by window."""
+    carried = [keep] if keep else []
+    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     rows = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.col(key).cast("long").alias("doc_id"),
+        *carried,
     ).withColumn("mark", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFF)))
     pieces = _pieces(rows.select("key", "mark", "text"), window)
     anchors = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("low"), F.max("own").alias("high"), F.min("key").alias("first"))
@@ -235,11 +238,11 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
                 open_ = [f for f in fs if f["anchor"] is not None]
                 words = t.encode().split() if open_ else []
                 unsure.append([{"anchor": f["anchor"], "spot": f["spot"], "words": b" ".join(words[(f["spot"] >> 32) : (f["spot"] >> 32) + (f["spot"] >> 24 & 0xFF) + window - 1]).decode()} for f in open_])
-            yield pa.RecordBatch.from_arrays([*(s.column(c) for c in ("key", "mark", "doc_id", "text")), pa.array(gone, pa.list_(pa.int64())), pa.array(unsure, UNSURE), pa.array([bool(u) for u in unsure])], ["key", "mark", "doc_id", "text", "gone", "unsure", "pending"])
+            yield pa.RecordBatch.from_arrays([*(s.column(c) for c in ("key", "mark", "doc_id", "text")), pa.array(gone, pa.list_(pa.int64())), pa.array(unsure, UNSURE), pa.array([bool(u) for u in unsure]), *(s.column(c) for c in carried)], ["key", "mark", "doc_id", "text", "gone", "unsure", "pending", *carried])
 
     UNSURE = pa.list_(pa.struct([("anchor", pa.int64()), ("spot", pa.int64()), ("words", pa.string())]))
-    table = rows.join(flags, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "flags")
-    table = table.mapInArrow(gather, "key bigint, mark bigint, doc_id bigint, text string, gone array<bigint>, unsure array<struct<anchor:bigint,spot:bigint,words:string>>, pending boolean")
+    table = rows.join(flags, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "flags", *carried)
+    table = table.mapInArrow(gather, f"key bigint, mark bigint, doc_id bigint, text string, gone array<bigint>, unsure array<struct<anchor:bigint,spot:bigint,words:string>>, pending boolean{types}")
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "substring")
     table.write.option("compression", "zstd").partitionBy("pending").parquet(path)
     table = spark.read.schema(table.schema).parquet(path)
@@ -261,9 +264,9 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
                     spans += [(at, at + n + window - 1)] if mask < 0 else [(at + j, at + j + window) for j in range(n) if mask >> j & 1]
                 out.append(_cut(t.encode(), spans, layout))
             cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([x.decode() for x in cols[2]], pa.string())], ["doc_id", "n_words", "n_removed", "kept_words"])
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([x.decode() for x in cols[2]], pa.string()), *(s.column(c) for c in carried)], ["doc_id", "n_words", "n_removed", "kept_words", *carried])
 
     none = F.lit(None).cast("array<struct<spot:bigint,mask:bigint>>").alias("masks")
-    done = table.where("not pending").select("doc_id", "text", "gone", none)
-    late = waiting.join(masks, ["key", "mark"], "left").select("doc_id", "text", "gone", "masks")
-    return done.union(late).mapInArrow(apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_words string")
+    done = table.where("not pending").select("doc_id", "text", "gone", none, *carried)
+    late = waiting.join(masks, ["key", "mark"], "left").select("doc_id", "text", "gone", "masks", *carried)
+    return done.union(late).mapInArrow(apply, f"doc_id bigint, n_words bigint, n_removed bigint, kept_words string{types}")

@@ -232,6 +232,36 @@ def test_classifiers(spark, odd, empty):
     assert language.identify(empty, net).count() == 0 and language.train(empty) is None
 
 
+def test_languages_that_were_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned, net = docs.where("doc_id % 2 = 0"), None
+    net = language.train(learned, none=True)
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa.",
+        "Все люди рождаются свободными и равными в своем достоинстве.", "人人生而自由,在尊严和权利上一律平等。", "for (int i = 0; i < n; i++) { if (x[i] != 0) { y += x[i] * k; } }", "deadbeef00ff12a4c3d2e1f09a8b7c6d5e4f", "=====-----*****=====a",
+    ]
+    found = language.identify(frame(spark, list(enumerate(foreign))), net, whole=True).collect()
+    assert {r["text"] for r in found if r["lang_pred"] != "und"} == set()
+    held_out = language.identify(docs.where("doc_id % 2 = 1"), net)
+    assert held_out.where("lang_pred = 'und'").count() <= 0.005 * held_out.count()
+
+
+def test_pipeline_keeps_nameless_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [(i, prose(i, 80)) for i in range(20)] + [(None, prose(i, 80)) for i in (30, 31, 31, 5)] + [(None, prose(3, 30) + " " + prose(77, 50))]
+    docs = frame(spark, texts, source=lambda i: "s").withColumn("source", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise("s")).select("doc_id", "text", "lang", "source", "n_chars")
+    want = {prose(30, 80), prose(31, 80), prose(3, 30) + " " + prose(77, 50)}
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        seen[name] = [(r["text"], r["source"]) for r in docs.where("doc_id is null").collect()]
+    assert len(seen["language"]) == 5
+    assert sorted(t for t, _ in seen["near_duplicates"]) == sorted(want)
+    assert sorted(seen["repeated_passages"]) == sorted((t if t != prose(3, 30) + " " + prose(77, 50) else prose(77, 50), t) for t in want)
+    assert {t for t, _ in seen["mixing"]} <= {t for t, _ in seen["repeated_passages"]} and seen["mixing"]
+
+
 def test_main_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
     <div class="ad">Buy this, buy that, buy it all.</div><article><h1>Title &amp; more</h1><p>First   paragraph, with commas, and
