@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.session import shared_folder
+
 #: Weights of relations for related notes (fixed values); others weigh 0.4.
 WEIGHTS = {"derived_from": 1.0, "cites": 0.9, "supersedes": 0.8, "promotes_to": 0.8, "duplicates": 0.8, "supports": 0.7, "extends": 0.7, "related": 0.6, "wikilink": 0.5}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage in the cluster's checkpoint folder, so that loops stay short."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mnemospark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
