@@ -8,7 +8,12 @@ to each other, one for about eight words, and text that is nowhere repeated goes
 Copies of one piece collapse to the first of them before words are moved: the windows of all others
 stand earlier. Different pieces with one anchor (at the edges of shared passages, and where copies
 differ) are the reference. It's cut in shards of bounded size by anchor; each task gets the shards'
-words, builds their suffix automata and streams the pieces through them for matching statistics."""
+words, builds their suffix automata and streams the pieces through them for matching statistics.
+
+An anchor with more different pieces than a shard holds is cut finer: its pieces fall into smaller
+ones by a second anchor, a longer run of words, equal ones collapse again, and so on until each
+shard is bounded; at last an anchor is a whole window, and pieces with one anchor are equal. No
+piece is left out, and the automata decide wherever different pieces meet."""
 
 from __future__ import annotations
 
@@ -27,7 +32,7 @@ from mnemospark.llm.word_hash import WORD_BASE, mixed, range_hashes, word_hashes
 GRAM = 6
 #: Pieces of a reference shard, about: an automaton of 50,000 words.
 SHARD_PIECES = 2000
-#: Different pieces of one anchor that go to one shard; anchors with more are settled by windows.
+#: Different pieces of one anchor that go to one shard; anchors with more are cut by longer ones.
 ANCHOR_PIECES = 500
 NO_KEY = -(2**63)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -45,19 +50,19 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces_of(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Of texts that lie one after the other: for each piece its text, first word, windows, anchor's
-    hash, own hash, and whether the text has it before."""
+def pieces_of(data: np.ndarray, at: np.ndarray, window: int, width: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of texts that lie one after the other: for each piece its text, first word, windows, the hash of
+    its anchor (a run of width words), own hash, and whether the text has it before."""
     h, starts = word_hashes(data, at)
     counts = np.diff(starts)
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(h)) - starts[:-1][text]
     valid = np.flatnonzero(place + window <= counts[text])
-    gram = np.zeros(len(h), dtype=np.uint64)
-    for j in range(min(GRAM, len(h))):  # fewer words have no window
+    gram = np.full(len(h), width, dtype=np.uint64)
+    for j in range(min(width, len(h))):  # fewer words have no window
         gram[: len(h) - j] = gram[: len(h) - j] * np.uint64(WORD_BASE) + h[j:]
     gram = mixed(gram)
-    anchor = lowest(gram, window - GRAM + 1)[valid]
+    anchor = lowest(gram, window - width + 1)[valid]
     new = np.ones(len(valid), dtype=bool)
     new[1:] = anchor[1:] != anchor[:-1]
     head = np.flatnonzero(new)
@@ -140,42 +145,70 @@ def repeated_windows(pieces: list[list], window: int) -> list[int]:
 
 
 def _pieces(rows: DataFrame, window: int) -> DataFrame:
-    """key, anchor, own, spot: a row for each piece. spot holds its first word (from bit 32), its
-    windows (from bit 24), whether the text has it before (bit 23), the text's checksum."""
+    """key, mark, anchor, own, spot: a row for each piece. spot holds its first word (from bit 32), its
+    windows (from bit 24) and whether the text has it before (bit 0)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "text"):
             of, first, n, anchor, own, again = pieces_of(*raw_bytes(s.column("text")), window)
             key, mark = (s.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[of] for c in ("key", "mark"))
-            spot = first << 32 | n << 24 | again.astype(np.int64) << 23 | mark
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), pa.array(spot)], ["key", "anchor", "own", "spot"])
+            spot = first << 32 | n << 24 | again.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), pa.array(spot)], ["key", "mark", "anchor", "own", "spot"])
+
+    return rows.mapInArrow(apply, "key bigint, mark bigint, anchor bigint, own bigint, spot bigint")
 
-    return rows.mapInArrow(apply, "key bigint, anchor bigint, own bigint, spot bigint")
 
+def _finer(pieces: DataFrame, window: int, width: int) -> DataFrame:
+    """The smaller pieces that anchors of width words cut pieces into: piece (its id), begin (first
+    window in it), anchor, words, and where it stands first."""
 
-def _settled(mixed_pieces: DataFrame, window: int) -> DataFrame:
-    """anchor, words, first, mask of each different piece: first is the earliest (key, spot) it has,
-    mask says which of its windows stand earlier than there."""
-    distinct = stored(mixed_pieces.groupBy("anchor", "words").agg(F.min(F.struct("key", "spot")).alias("first")), "substring-pieces")
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"))
-    crowded = stored(per_anchor.where(F.col("pieces") > ANCHOR_PIECES).select("anchor"), "substring-crowded")
-    few = distinct.join(crowded, "anchor", "left_anti")
-    shards = -(-distinct.agg(F.count(F.lit(1))).first()[0] // SHARD_PIECES)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches, "words"):
+            of, first, n, anchor, _, _ = pieces_of(*raw_bytes(s.column("words")), window, width)
+            words = [w.split(" ") for w in s.column("words").to_pylist()]
+            cut = [" ".join(words[t][i : i + m + window - 1]) for t, i, m in zip(of.tolist(), first.tolist(), n.tolist(), strict=True)]
+            parent = s.column("anchor").to_numpy().view(np.uint64)[of]
+            anchor = mixed(anchor ^ (parent * np.uint64(WORD_BASE)))
+            to = pa.array(of)
+            at = s.column("at").to_numpy()[of] + first
+            cols = [s.column("piece").take(to), pa.array(first, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(cut, pa.string()), s.column("key").take(to), s.column("mark").take(to), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(cols, ["piece", "begin", "anchor", "words", "key", "mark", "at"])
+
+    flat = pieces.select("piece", "anchor", "words", "first.key", "first.mark", "first.at")
+    return flat.mapInArrow(apply, "piece bigint, begin int, anchor bigint, words string, key bigint, mark bigint, at bigint")
+
+
+def _settled(pieces: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
+    """anchor, words, first, mask of each different piece: first is the earliest (key, mark, at) it
+    has; mask says which of its windows stand earlier than there. pieces has anchor, words, key, mark,
+    at; widths: the lengths of the anchors by which crowded ones are cut, the window at last."""
+    distinct = pieces.groupBy("anchor", "words").agg(F.min(F.struct("key", "mark", "at")).alias("first"))
+    distinct = stored(distinct.withColumn("piece", F.monotonically_increasing_id()), "substring-pieces")
+    # no window of a piece stands earlier in that piece: it would have picked the earlier anchor
+    several = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1"), "substring-several")
+    known = distinct.join(several, "anchor", "left")
+    alone = known.where("pieces is null").select("anchor", "words", "first", F.lit(0).cast("long").alias("mask"))
+    few = known.where(F.col("pieces") <= ANCHOR_PIECES)
+    shards = -(-(several.where(F.col("pieces") <= ANCHOR_PIECES).agg(F.sum("pieces")).first()[0] or 0) // SHARD_PIECES)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "spot"], kind="stable")
+        pdf = pdf.sort_values(["key", "mark", "at"], kind="stable")
         masks = repeated_windows([w.split(" ") for w in pdf["words"]], window)
-        return pd.DataFrame({"anchor": pdf["anchor"], "words": pdf["words"], "key": pdf["key"], "spot": pdf["spot"], "mask": masks})
-
-    flat = few.select("anchor", "words", "first.key", "first.spot", F.pmod(F.xxhash64("anchor"), F.lit(max(shards, 1))).alias("shard"))
-    by_automata = flat.groupBy("shard").applyInPandas(shard, "anchor bigint, words string, key bigint, spot bigint, mask bigint")
-    # crowded anchors: the same by the windows themselves, which are summed before they're shuffled
-    many = distinct.join(crowded, "anchor", "left_semi").withColumn("w", F.split("words", " "))
-    many = many.select("anchor", "words", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.array_join(F.slice("w", i, window), " "))).alias("j", "run"))
-    many = many.select("anchor", "words", "first", "j", F.sha2("run", 256).alias("run"), F.struct(F.col("first.key").alias("key"), (F.shiftright("first.spot", 32) + F.col("j")).alias("at")).alias("here"))
-    earliest = many.groupBy("run").agg(F.min("here").alias("there"))
-    found = many.join(earliest, "run").groupBy("anchor", "words", "first").agg(F.sum(F.when(F.col("there") < F.col("here"), F.expr("shiftleft(1L, j)")).otherwise(F.lit(0))).alias("mask"))
-    return by_automata.union(found.select("anchor", "words", "first.key", "first.spot", "mask"))
+        return pd.DataFrame({"anchor": pdf["anchor"], "words": pdf["words"], "key": pdf["key"], "mark": pdf["mark"], "at": pdf["at"], "mask": masks})
+
+    flat = few.select("anchor", "words", "first.key", "first.mark", "first.at", F.pmod(F.xxhash64("anchor"), F.lit(max(shards, 1))).alias("shard"))
+    by_automata = flat.groupBy("shard").applyInPandas(shard, "anchor bigint, words string, key bigint, mark bigint, at bigint, mask bigint")
+    found = alone.unionByName(by_automata.select("anchor", "words", F.struct("key", "mark", "at").alias("first"), "mask"))
+    if several.where(F.col("pieces") > ANCHOR_PIECES).isEmpty():
+        return found
+    crowded = known.where(F.col("pieces") > ANCHOR_PIECES)
+    parts = stored(_finer(crowded, window, widths[0]), "substring-parts")
+    inner = _settled(parts.select("anchor", "words", "key", "mark", "at"), window, widths[1:])
+    met = parts.join(inner.select("anchor", "words", "first", "mask"), ["anchor", "words"])
+    whole = F.expr(f"shiftleft(1L, size(split(words, ' ')) - {window} + 1) - 1")
+    bits = F.when(F.struct("key", "mark", "at") == F.col("first"), F.col("mask")).otherwise(whole)
+    masks = met.select("piece", F.call_function("shiftleft", bits, F.col("begin")).alias("bits")).groupBy("piece").agg(F.bit_or("bits").alias("mask"))
+    return found.unionByName(crowded.join(masks, "piece").select("anchor", "words", "first", "mask"))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]], layout: bool) -> tuple[int, int, bytes]:
@@ -198,21 +231,28 @@ def _cut(text: bytes, spans: list[tuple[int, int]], layout: bool) -> tuple[int,
     return len(words), int((~keep).sum()), b"".join(out).strip()
 
 
+UNSURE = pa.list_(pa.struct([("anchor", pa.int64()), ("spot", pa.int64()), ("words", pa.string())]))
+
+
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, layout: bool = False, keep: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_words of every row: the text without each word that a window
     of window words covers whose words stand earlier too (in a document with a smaller key, or
     earlier in the same one). What is left is joined by one space, or where layout is set keeps its
-    own white space (a text nothing is taken from is then unchanged).
+    own white space (a text nothing is taken from is then unchanged). window: GRAM to 64 words.
 
-    Null and empty texts have no words. Null keys come before all others. Rows that share a key are
-    one document: the window that stands further from its text's start is the later one, and of two
-    at the same place both stay; so repeated rows keep their text. Texts of any length are whole.
-    An empty table gives none; other columns are ignored, but for the one named keep, which stays.
+    Null and empty texts have no words. Null keys come before all others. Different texts with one
+    key, null too, come in the order of their hashes, each a document of its own. Repeated rows (key
+    and text alike) are one document, and each of them gets what is left of it. Texts of any length
+    are whole. An empty table gives none; other columns are ignored, but for the one named keep,
+    which stays.
 
-    Scale: four shuffles, of 32 bytes for each piece (twice), of the texts, and of the few pieces
+    Scale: four shuffles, of 40 bytes for each piece (twice), of the texts, and of the few pieces
     that share an anchor but differ. All meet under hashes of content; an anchor that a third of all
     documents have is summed before the first shuffle, one row to be joined with in the second, and
-    if it has many different pieces, these are settled window by window."""
+    if it has many different pieces, these are dealt anew by longer anchors."""
+    if not GRAM <= window <= 64:
+        raise ValueError(f"window must be {GRAM} to 64 words")
+    widths = tuple(sorted({(GRAM + window) // 2, window}))
     carried = [keep] if keep else []
     types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     rows = docs.select(
@@ -220,14 +260,15 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.col(key).cast("long").alias("doc_id"),
         *carried,
-    ).withColumn("mark", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFF)))
+    ).withColumn("mark", F.xxhash64("text"))
     pieces = _pieces(rows.select("key", "mark", "text"), window)
-    anchors = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("low"), F.max("own").alias("high"), F.min("key").alias("first"))
+    me = F.struct("key", "mark")
+    anchors = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("low"), F.max("own").alias("high"), F.min(me).alias("first"))
     anchors = stored(anchors.where("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "first"), "substring-anchors")
-    again = F.col("spot").bitwiseAND(F.lit(1 << 23)) != 0
-    met = pieces.join(anchors, "anchor").where(again | F.col("mixed") | (F.col("key") > F.col("first")))
-    met = met.select("key", F.col("spot").bitwiseAND(F.lit(0x7FFFFF)).alias("mark"), "spot", F.when(~again & F.col("mixed"), F.col("anchor")).alias("anchor"))
-    flags = met.groupBy("key", "mark").agg(F.collect_list(F.struct("spot", "anchor")).alias("flags"))
+    again = F.col("spot").bitwiseAND(F.lit(1)) != 0
+    met = pieces.join(anchors, "anchor").where(again | F.col("mixed") | (me > F.col("first")))
+    met = met.select("key", "mark", "spot", F.when(~again & F.col("mixed"), F.col("anchor")).alias("anchor"))
+    flags = met.groupBy("key", "mark").agg(F.collect_set(F.struct("spot", "anchor")).alias("flags"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "text"):
@@ -240,19 +281,17 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
                 unsure.append([{"anchor": f["anchor"], "spot": f["spot"], "words": b" ".join(words[(f["spot"] >> 32) : (f["spot"] >> 32) + (f["spot"] >> 24 & 0xFF) + window - 1]).decode()} for f in open_])
             yield pa.RecordBatch.from_arrays([*(s.column(c) for c in ("key", "mark", "doc_id", "text")), pa.array(gone, pa.list_(pa.int64())), pa.array(unsure, UNSURE), pa.array([bool(u) for u in unsure]), *(s.column(c) for c in carried)], ["key", "mark", "doc_id", "text", "gone", "unsure", "pending", *carried])
 
-    UNSURE = pa.list_(pa.struct([("anchor", pa.int64()), ("spot", pa.int64()), ("words", pa.string())]))
     table = rows.join(flags, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "flags", *carried)
     table = table.mapInArrow(gather, f"key bigint, mark bigint, doc_id bigint, text string, gone array<bigint>, unsure array<struct<anchor:bigint,spot:bigint,words:string>>, pending boolean{types}")
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "substring")
     table.write.option("compression", "zstd").partitionBy("pending").parquet(path)
     table = spark.read.schema(table.schema).parquet(path)
     waiting = table.where("pending")
-    open_ = waiting.select("key", "mark", F.explode("unsure").alias("u")).select("key", "mark", "u.anchor", "u.spot", "u.words")
-    settled = stored(_settled(open_, window).withColumnsRenamed({"key": "first_key", "spot": "first_spot"}), "substring-settled")
-    masks = open_.join(settled, ["anchor", "words"]).select(
-        "key", "mark", "spot", F.when((F.col("key") == F.col("first_key")) & (F.col("spot") == F.col("first_spot")), F.col("mask")).otherwise(F.lit(-1)).alias("mask")
-    )
-    masks = masks.where("mask != 0").groupBy("key", "mark").agg(F.collect_list(F.struct("spot", "mask")).alias("masks"))
+    open_ = waiting.select("key", "mark", F.explode("unsure").alias("u")).select("key", "mark", "u.anchor", "u.spot", "u.words", F.shiftright("u.spot", 32).alias("at"))
+    settled = stored(_settled(open_.select("anchor", "words", "key", "mark", "at"), window, widths), "substring-settled")
+    here = F.struct("key", "mark", "at") == F.col("first")
+    masks = open_.join(settled, ["anchor", "words"]).select("key", "mark", "spot", F.when(here, F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
+    masks = masks.where("mask != 0").groupBy("key", "mark").agg(F.collect_set(F.struct("spot", "mask")).alias("masks"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "text"):

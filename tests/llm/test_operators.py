@@ -24,7 +24,7 @@ def prose(seed, n, vocabulary=400):
 
 
 def frame(spark, texts, **more):
-    rows = [(i, t, "en", more.get("source", lambda i: f"s{i % 3}")(i), 0, 7, 1, "k") for i, t in texts]
+    rows = [(i, t, "en", more.get("source", lambda i: f"s{(i or 0) % 3}")(i), 0, 7, 1, "k") for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -64,11 +64,26 @@ def test_passages_against_brute_force(spark):
 
 
 def test_crowded_anchors_agree_with_automata(spark, monkeypatch):
-    texts = [(i, prose(i, 9) + " " + prose(77, 40) + " " + prose(500 + i, 9)) for i in range(30)]
+    texts = [(i, prose(i, 9) + " " + prose(77, 40) + " " + prose(500 + i % 7, 3, 5) + " " + prose(500 + i, 9)) for i in range(60)]
     one = {r["doc_id"]: r["kept_words"] for r in substring.dedup(frame(spark, texts)).collect()}
-    monkeypatch.setattr(substring, "ANCHOR_PIECES", 3)
-    two = {r["doc_id"]: r["kept_words"] for r in substring.dedup(frame(spark, texts)).collect()}
-    assert one == two and one[29] == prose(29, 9) + " " + prose(529, 9)
+    for most in (1, 3, 20):  # anchors of 13 words, then whole windows
+        monkeypatch.setattr(substring, "ANCHOR_PIECES", most)
+        assert one == {r["doc_id"]: r["kept_words"] for r in substring.dedup(frame(spark, texts)).collect()}
+    want = passages_by_hand(texts)
+    assert one == {i: want[i, t][1] for i, t in texts}
+
+
+def passages_by_hand(texts, window=20):
+    """(removed words, words left) of each (key, text), in the order given."""
+    first, out = {}, {}
+    for place, (i, t) in enumerate(texts):
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if first.setdefault(tuple(w[k : k + window]), (place, k)) != (place, k):
+                gone |= set(range(k, k + window))
+        out[i, t] = len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)
+    return out
 
 
 def test_passages_edge_cases(odd, empty):
@@ -80,6 +95,18 @@ def test_passages_edge_cases(odd, empty):
     assert by[0][0]["n_words"] == 0 and by[1][0]["kept_words"] == "" and by[7][0]["n_removed"] == 0
     assert {r["n_removed"] for r in by[5]} == {120} and by[4][0]["n_removed"] == 120  # the null key comes first
     assert by[9][0]["n_removed"] == 120
+    for window in (5, 65):
+        with pytest.raises(ValueError):
+            substring.dedup(odd, window=window)
+
+
+def test_passages_of_repeated_rows_and_null_keys(spark):
+    base, shared = prose(1, 600, 5000), prose(2, 30)
+    rows = [(7, base)] * 1000 + [(None, base + " z")] * 300 + [(None, f"{shared} {prose(50 + i, 5)}") for i in range(20)]
+    got = substring.dedup(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got if r["n_words"] > 100) == [(0, 0)] * 300 + [(7, 600)] * 1000
+    few = [r for r in got if r["n_words"] < 100]
+    assert len(few) == 20 and sum(r["n_removed"] == 0 for r in few) == 1 and all(r["n_removed"] in (0, 30) for r in few)
 
 
 def test_passages_of_few_words(spark):
