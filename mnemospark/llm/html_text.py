@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, sections, declarations and tags. A tag ends at >, or where the next one begins or the page
+#: ends; nothing is read twice, whatever is left open.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|(?=<)|\Z)", re.S)
 SPACE = re.compile(r"\s+")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 
 #: Elements whose content is markup or code, to their end tag.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
@@ -51,11 +53,35 @@ class Block:
     linked: int = 0
 
 
-def parse(html: str) -> tuple[Node, list[Block]]:
-    """The tree of block elements of a page, and its blocks of text in page order."""
-    root = Node("", None, False, 0.0)
-    node, blocks, block, links, skip, at = root, [], None, 0, "", 0
-    inline: list[str] = []
+class Path:
+    """The open elements from the page down to the one that is read. Where the nearest one of a tag
+    is open is known without a walk, so deep pages cost no more than flat ones."""
+
+    def __init__(self):
+        self.nodes = [Node("", None, False, 0.0)]
+        self.at: dict[str, list[int]] = {}
+
+    def nearest(self, tags: list[str]) -> int:
+        """The depth of the innermost open element with one of the tags; 0 where none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.at[self.nodes.pop().tag].pop()
+
+    def open(self, tag: str, bad: bool, bonus: float) -> Node:
+        up = self.nodes[-1]
+        node = Node(tag, up, up.unwanted or bad, bonus)
+        up.children.append(node)
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        return node
+
+
+def parse(html: str) -> tuple[list[Node], list[Block]]:
+    """The block elements of a page, each after the one around it, and its blocks of text in page order."""
+    path, blocks, block, links, at = Path(), [], None, 0, 0
+    nodes = [path.nodes[0]]
 
     def text(raw: str) -> None:
         nonlocal block
@@ -65,8 +91,8 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         if block is None:
             if s.isspace():
                 return
-            block = Block(node)
-            node.children.append(len(blocks))
+            block = Block(path.nodes[-1])
+            block.node.children.append(len(blocks))
             blocks.append(block)
         block.text.append(s)
         if links:
@@ -84,7 +110,7 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         tag, end = m["tag"].lower(), m["end"]
         if tag in RAW and not end:
             if not m["attrs"].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                close = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(html, at)
                 at = close.end() if close else len(html)
             continue
         if tag == "br":
@@ -94,32 +120,26 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         elif tag in BLOCK or tag in ASIDE:
             block = None
             if end:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    node, links = up.parent, 0
+                if depth := path.nearest([tag]):
+                    path.close(depth)
+                    links = 0
                 continue
             if tag in VOID:
                 continue
             if tag in IMPLIED:
                 closes, until = (x.split() for x in IMPLIED[tag])
-                up = node
-                while up is not root and up.tag not in until and up.tag not in closes:
-                    up = up.parent
-                if up.tag in closes:
-                    node = up.parent
-            while node.tag == "p" or (node.tag[:1] == "h" and node.tag[1:].isdigit()):
-                node = node.parent  # a block ends an open paragraph or heading
+                depth = path.nearest(closes)
+                if depth > path.nearest(until):
+                    path.close(depth)
+            while (open_ := path.nodes[-1].tag) == "p" or (open_[:1] == "h" and open_[1:].isdigit()):
+                path.close(len(path.nodes) - 1)  # a block ends an open paragraph or heading
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["attrs"])} if m["attrs"].strip() else {}
             names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
             hidden = "hidden" in m["attrs"].lower().split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             bad = tag in ASIDE or hidden or (tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(names)))
-            bonus = 25.0 if tag in ("article", "main") or WANTED.search(names) else 0.0
-            node = Node(tag, node, node.unwanted or bad, bonus)
-            node.parent.children.append(node)
-    text(html[at:] if not skip else "")
-    return root, blocks
+            nodes.append(path.open(tag, bad, 25.0 if tag in ("article", "main") or WANTED.search(names) else 0.0))
+    text(html[at:])
+    return nodes, blocks
 
 
 def main_text(html: str, least: int = 25) -> str:
@@ -132,18 +152,15 @@ def main_text(html: str, least: int = 25) -> str:
     container is kept whole, with the siblings that have a fifth of its points, and paragraphs
     among the siblings that are long and hardly linked. Where no block has points, all are kept.
     Equal points: the container that comes first."""
-    root, blocks = parse(html)
+    nodes, blocks = parse(html)
     texts = [SPACE.sub(" ", "".join(b.text)).strip() for b in blocks]
     scored: dict[int, Node] = {}
     usable = [bool(t) and not b.node.unwanted for b, t in zip(blocks, texts, strict=True)]
     for b, t, ok in zip(blocks, texts, usable, strict=True):
         if not ok:
             continue
-        up = b.node
-        while up is not None:
-            up.chars += len(t)
-            up.linked += min(b.linked, len(t))
-            up = up.parent
+        b.node.chars += len(t)
+        b.node.linked += min(b.linked, len(t))
         if len(t) < least:
             continue
         points = (1 + sum(map(t.count, ",،、，")) + min(len(t) // 100, 3)) * (1 - min(b.linked / len(t), 1))
@@ -156,6 +173,9 @@ def main_text(html: str, least: int = 25) -> str:
                 scored[id(up)] = up
             up.score += points / level
             up = up.parent
+    for n in reversed(nodes[1:]):  # from the inside out: each has what is within it by then
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
     if not scored:
         return "\n\n".join(t for t, ok in zip(texts, usable, strict=True) if ok)
 

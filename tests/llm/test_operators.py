@@ -302,6 +302,26 @@ def test_main_text(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 1 << 18
+    kinds = ["<a ", '<a "', "<a x='", "<p", "<!", "<!--", "<![CDATA[", "</p>", "<div>", "<div><p>a, b", "<li>", "<div><li>", "<td>", "&amp", "<b x=y", "a=", '<div class="ad" ', "<script>", "<p>text, and more of it, for a block that counts</p></div>"]
+    for kind in kinds:
+        page = (kind * (n // len(kind) + 1))[:n]
+        for p in (page, page + ">", page + '">'):
+            begin = time.process_time()
+            html_text.main_text(p)
+            assert time.process_time() - begin < 4, kind  # a quarter of a second alone; quadratic time would be minutes
+
+
+def test_pages_edge_cases(spark):
+    page = "<article>" + "<p>A paragraph, of some length, with commas, number {}.</p>" * 30_000 + "</article>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, "u", "", None), (3, None, "<p>a <b>b", "y")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
+    assert [len(r["text"]) for r in got] == [30_000 * 54 - 2] * 2 + [0, 3] and got[0].asDict().keys() == {"page_id", "url", "text"}
+
+
 def test_media(spark, odd, empty):
     g = np.arange(70, dtype=np.uint8).reshape(7, 10)
     c = np.stack([g, g + 1, g + 2], axis=2)
