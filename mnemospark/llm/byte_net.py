@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -162,7 +162,8 @@ class ByteNet:
 
     def scored(self, docs: DataFrame, text: str, column: str, *, keep: bool = False) -> DataFrame:
         """docs (of simple columns) with column: an array of the classes' probabilities for the whole
-        text. The text itself stays only where keep is set."""
+        text. The text itself stays only where keep is set. A null or empty text is one empty block;
+        rows are as many as before, repeated ones alike; no row gives none."""
         names, net = [c for c in docs.columns if keep or c != text], self
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +183,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, *, key: str, text: str, per_label: int, longest: int, labels_most: int = 512) -> list[tuple]:
+def spread(text: Column, longest: int, window: int) -> Column:
+    """text, or where it is longer than longest characters, windows of it that lie evenly from its
+    first to its last character, longest characters in all."""
+    most = max(longest // window, 2)
+    begin = lambda i: (F.floor(i * (F.length(text) - window) / (most - 1)) + 1).cast("int")
+    cut = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.substring(text, begin(i), F.lit(window))))
+    return F.when(F.length(text) <= longest, text).otherwise(cut)
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, *, key: str, text: str, per_label: int, longest: int, window: int = 256, labels_most: int = 512, rows_most: int = 8_192) -> list[tuple]:
     """The (label, text) pairs that a network is fitted on: for each label of marks (columns key and
-    label) the per_label keys with the smallest hashes, and their texts where these have longest
-    characters at most. So the sample is bounded by labels_most * per_label * longest.
+    label) the per_label keys with the smallest hashes (fewer where labels are many, so that all
+    together are rows_most), and their texts; of a text over longest characters, windows spread over
+    the whole of it. So the sample is bounded by rows_most * longest characters, and no label is left
+    out for the length of its texts. Where several rows have a key, one text of it is taken.
 
     Labels are counted first; only keys whose hash is low enough for their label's count are
     sorted. The keys picked are as few as the bound says, so they are broadcast to the texts."""
@@ -193,11 +205,12 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, *, key: str, text: str, p
     counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_label").limit(labels_most).collect()}
     if not counts:
         return []
+    per_label = max(1, min(per_label, rows_most // len(counts)))
     # four times the rows wanted: that a label has fewer than per_label under it is out of question
     share = {k: min(1.0, (4 * per_label + 100) / n) for k, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for k, b in share.items() for x in (k, 2**63 - 1 if b == 1 else int(b * 2**64) - 2**63)])
     low = rows.where(F.col("_h") <= limit[F.col("_label")]).distinct()
     picked = low.withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_k"))).where(F.col("_r") <= per_label)
-    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.length("_text") <= longest)
-    found = texts.join(F.broadcast(picked), "_k").select("_label", "_h", "_text").collect()
+    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), "_k")
+    found = texts.groupBy("_label", "_h", "_k").agg(F.min(spread(F.col("_text"), longest, window)).alias("_text")).collect()
     return [(r["_label"], r["_text"].encode()) for r in sorted(found, key=lambda r: (r["_label"], r["_h"], r["_text"]))]

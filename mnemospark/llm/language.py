@@ -58,8 +58,9 @@ def strangers(texts: list[bytes], seed: int = 7) -> list[bytes]:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, windows: int = 6, longest: int = 20_000, none: bool = False) -> ByteNet | None:
-    """A network fitted on at most per_label documents of each non-null label (texts over longest
-    characters aside), of each at most windows windows of WINDOW bytes, spread over the text. None
+    """A network fitted on at most per_label documents of each non-null label, of each at most windows
+    windows of WINDOW bytes, spread over the whole text (of one over longest characters, over stretches
+    from its first to its last that have longest in all). None
     without labelled rows. With none, NONE is learned as a label too, from strangers to those texts."""
     marks = docs.select(F.col(key), F.col(label).cast("string").alias("label"))
     sample = labelled_sample(docs.where(F.col(text).rlike(r"\p{L}")), marks, key=key, text=text, per_label=per_label, longest=longest)

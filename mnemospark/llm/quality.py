@@ -10,8 +10,9 @@ from mnemospark.llm.byte_net import ByteNet, labelled_sample
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 500, longest: int = 8_000) -> ByteNet | None:
-    """A network fitted on at most per_label documents of each label (0 and 1), without texts over
-    longest characters: the sample is bounded by these two. None where no labelled document exists."""
+    """A network fitted on at most per_label documents of each label (0 and 1); of texts over longest
+    characters, on windows from the first to the last character that have longest in all: the sample
+    is bounded by these two. None where no labelled document exists."""
     marks = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     sample = labelled_sample(docs, marks, key=key, text=text, per_label=per_label, longest=longest)
     if not sample:
