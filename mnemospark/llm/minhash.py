@@ -16,8 +16,8 @@ from mnemospark.llm.word_hash import BYTE_BASE, WORD_BASE, mixed, word_hashes
 #: Values of a band and bands. A pair at similarity 0.8 shares none of 30 bands of 5 with
 #: probability (1 - 0.8**5)**30, 7 in a million; at 0.85, 2 in a hundred million.
 ROWS, BANDS = 5, 30
-#: Bytes of a shingle's hash in a stored set: two of 100,000 shingles agree with probability 2 in 100,000.
-WIDTH = 6
+#: Bytes of a shingle's hash.
+WIDTH = 8
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -71,25 +71,15 @@ def band_keys(grams: np.ndarray, sizes: np.ndarray, rows: int, bands: int) -> np
     return keys
 
 
-def narrow(grams: np.ndarray) -> np.ndarray:
-    """The first WIDTH bytes of each hash."""
-    return np.ascontiguousarray((grams & np.uint64((1 << 8 * WIDTH) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
-
-
-def widened(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WIDTH, 8), dtype=np.uint8)
-    out[:, :WIDTH] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDTH)
-    return out.view("<u8").ravel()
-
-
-def connected(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
+def connected(edges: DataFrame, name: str) -> DataFrame:
     """node, root for each node of edges (a, b): root is the smallest node that can be reached.
 
     Large and small stars in turn, until only stars are left: each edge moves to the lowest neighbour of
-    one end, so chains halve and every component ends as a star around its smallest node. A node
+    one end, so chains halve and every component ends as a star around its smallest node; rounds go
+    on until that is so, about as many as the logarithm of the longest chain. A node
     with very many neighbours is one row of minima to be joined with, never a group to be gathered."""
     e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u != v").distinct()
-    for _ in range(most):
+    while True:
         both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")).withColumnRenamed("v", "c")
         large = both.join(low, both["v"] == low["c"]).where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
@@ -139,7 +129,7 @@ class NearDuplicates:
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in slices(batches, "text"):
                 grams, sizes = shingle_sets(*raw_bytes(s.column("text")), width)
-                raw, ends = narrow(grams).tobytes(), (np.cumsum(sizes) * WIDTH).tolist()
+                raw, ends = grams.astype("<u8").tobytes(), (np.cumsum(sizes) * WIDTH).tolist()
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array([raw[e - WIDTH * n : e] for e, n in zip(ends, sizes.tolist(), strict=True)], pa.binary())], ["doc_id", "grams"])
 
         return self.rows.join(ids, "doc_id", "left_semi").mapInArrow(apply, "doc_id bigint, grams binary")
@@ -152,7 +142,7 @@ class NearDuplicates:
             for s in slices(batches, "x"):
                 good = []
                 for x, y in zip(s.column("x").to_pylist(), s.column("y").to_pylist(), strict=True):
-                    x, y = widened(x), widened(y)
+                    x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
                     common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                     good.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield s.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -204,7 +194,7 @@ class NearDuplicates:
                 raw = s.column("grams").to_pylist()
                 n = np.array([len(r) // WIDTH for r in raw], dtype=np.int64)
                 of = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(widened(b"".join(raw)).view(np.int64)), pa.array(np.repeat(n, n)), *(s.column(c).take(of) for c in ("doc_id", "root", "out"))], ["gram", "n", "doc_id", "root", "out"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), dtype="<i8")), pa.array(np.repeat(n, n)), *(s.column(c).take(of) for c in ("doc_id", "root", "out"))], ["gram", "n", "doc_id", "root", "out"])
 
         rows = sets.join(docs, "doc_id").select("doc_id", "root", "out", "grams").mapInArrow(apply, "gram bigint, n bigint, doc_id bigint, root bigint, out boolean")
         rows = stored(rows, "near-grams")
