@@ -81,13 +81,14 @@ def mix(
     Nulls: a null text has size 0; a null source is a source of its own, ordered last; null keys
     keep their rows. Repeated rows are documents of their own, ordered by key then row hash: equal
     rows are interchangeable. An empty table gives an empty result. Other columns are ignored. The
-    variate depends on key, size and seed alone, so reruns agree.
+    variate depends on key (where null, on the text) and seed alone, so reruns agree.
 
     Scale: the text is read once and stays where it is; only (key, source, size, sort key) move.
     A source's order is cut in SLICES by the sort key's own distribution; running sums go over the
     slices first, then within each, so a source with a third of all rows is spread over all tasks."""
     t = F.col(text)
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) + 1) / F.lit(float(2**53 + 1))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("_h", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    u = (F.shiftrightunsigned(drawn, 11) + 1) / F.lit(float(2**53 + 1))
     rows = docs.select(
         F.col(key).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
@@ -123,11 +124,11 @@ def mix(
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the rows of docs that it takes, each as often as it is taken, whole times
-    first; a part counts as a time. Columns of docs, then epoch (0, 1, ...). Rows are matched by key
+    first; a part counts as a time. Columns of docs, then mix_epoch (0, 1, ...). Rows are matched by key
     (null like any other), source and text; rows alike in all three are taken as often as the one
     taken most."""
     source, text = options.get("source", "source"), options.get("text", "text")
     taken = mix(docs, key=key, **options).where("taken > 0").select(F.col("doc_id").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("_h").alias("_mix_hash"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     taken = taken.groupBy("_mix_key", "_mix_source", "_mix_hash").agg(F.max("_times").alias("_times"))
     same = docs[key].eqNullSafe(taken["_mix_key"]) & docs[source].cast("string").eqNullSafe(taken["_mix_source"]) & (F.xxhash64(docs[text]) == taken["_mix_hash"])
-    return docs.join(taken, same).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_mix_key", "_mix_source", "_mix_hash", "_times")
+    return docs.join(taken, same).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_mix_key", "_mix_source", "_mix_hash", "_times")
