@@ -45,6 +45,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("broken Netpbm header")
         head.append(int(data[begin:at]))
     width, height, most = head[0], head[1], head[2] if len(head) > 2 else 1
+    if width < 1 or height < 1:
+        raise ValueError("an image without pixels")
     depth = 3 if kind in (3, 6) else 1
     n = width * height * depth
     if kind == 1:
@@ -70,7 +72,7 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("image cut short")
     begin, head, width, height = struct.unpack_from("<IIii", data, 10)
     bits, packed = struct.unpack_from("<HI", data, 28)
-    if packed != 0 or bits not in (8, 24, 32):
+    if packed != 0 or bits not in (8, 24, 32) or width < 1 or height == 0:
         raise ValueError("a BMP of another kind")
     row = -(-width * bits // 32) * 4
     rows = np.frombuffer(data[begin : begin + row * abs(height)], dtype=np.uint8)
@@ -78,7 +80,10 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("image cut short")
     rows = rows.reshape(abs(height), row)[:: -1 if height > 0 else 1, : width * bits // 8]
     if bits == 8:
-        palette = np.frombuffer(data[14 + head : begin], dtype=np.uint8).reshape(-1, 4)[:, 2::-1]
+        colours = data[14 + head : begin]
+        palette = np.frombuffer(colours[: len(colours) // 4 * 4], dtype=np.uint8).reshape(-1, 4)[:, 2::-1]
+        if rows.size and int(rows.max()) >= len(palette):
+            raise ValueError("a pixel outside the palette")
         return palette[rows]
     return np.ascontiguousarray(rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1])
 
@@ -147,8 +152,8 @@ def tiles(images: DataFrame, path: str, *, keep: list[str], data: str, size: tup
 
 
 def text_images(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes and image: the UTF-8 bytes of each text, zeros to a multiple of 64 (64 at
-    least), as a PGM image 64 samples wide."""
+    """key, n_bytes and image: the UTF-8 bytes of each text (null: none), zeros to a multiple of 64
+    (64 at least), as a PGM image 64 samples wide. A row for each, null keys and repeated rows too."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "_text"):
@@ -171,7 +176,9 @@ def text_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 
 
 def tile_digests(media: DataFrame, *, keep: list[str]) -> DataFrame:
-    """What a reader of the tiles finds: sizes and checksums of the samples and of the stored bytes."""
+    """What a reader of the tiles finds: sizes and checksums of the samples and of the stored bytes;
+    nulls for a null tile. Repeated rows stay, equal tiles get equal values, no tile gives no row;
+    other columns than keep and tile are ignored. Nothing is shuffled."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -179,6 +186,9 @@ def tile_digests(media: DataFrame, *, keep: list[str]) -> DataFrame:
         for s in slices(batches, "tile"):
             rows = []
             for raw in s.column("tile").to_pylist():
+                if raw is None:
+                    rows.append((None,) * len(names))
+                    continue
                 samples = npy_array(raw)
                 payload = samples.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(samples)))
