@@ -22,21 +22,16 @@ def with_repeated_words(rows: DataFrame, words_column: str, out: str, width: int
     twice or more in it.
 
     Windows are hashed to 64 bits. Most texts repeat none, which a hash set tells. For the others
-    the upper 40 bits and the start are sorted as one number, so that equal windows are neighbours
-    (they are held against each other in full); then each start of a repeated one adds the words
-    that the starts before it don't cover. n log n for n words. Each step is a column of its own,
-    so that it's computed once."""
-    low = (1 << 24) - 1
+    (hash, start) are sorted, so that equal windows are neighbours in the order of their starts;
+    then each start of a repeated one adds the words that the starts before it don't cover. n log n
+    for n words. Each step is a column of its own, so that it's computed once."""
     rows = rows.withColumn("_h", F.transform(words_column, lambda x: F.xxhash64(x)))
     keys = F.transform(F.sequence(F.lit(0), F.size("_h") - width), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(width)]))
     rows = rows.withColumn("_keys", F.when(F.size("_h") < width, F.array().cast("array<bigint>")).otherwise(keys))
-    # starts need more than 24 bits only in texts of over 16 million words: there the numbers overlap by chance alone
-    packed = F.sort_array(F.transform("_keys", lambda k, i: k.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    sorted_ = F.sort_array(F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.cast("long").alias("i"))))
+    rows = rows.withColumn("_p", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), sorted_).otherwise(F.array().cast("array<struct<k:bigint,i:bigint>>")))
     none = F.array().cast("array<bigint>")
-    rows = rows.withColumn("_p", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), packed).otherwise(none))
-    start = lambda x: x.bitwiseAND(F.lit(low))
-    key = lambda x: F.get("_keys", start(x).cast("int"))
-    same = lambda a, b: F.when((F.shiftright(a, 24) == F.shiftright(b, 24)) & (key(a) == key(b)), F.array(start(a), start(b))).otherwise(none)
+    same = lambda a, b: F.when(a["k"] == b["k"], F.array(a["i"], b["i"])).otherwise(none)
     rows = rows.withColumn("_at", F.when(F.size("_p") == 0, none).otherwise(F.sort_array(F.flatten(F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), same)))))
     first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).cast("long").alias("last"))
     add = lambda s, i: F.struct((s["n"] + F.least(F.lit(width).cast("long"), i - s["last"])).alias("n"), i.alias("last"))
@@ -65,6 +60,18 @@ def base_features(docs: DataFrame, key: str, host: str, text: str) -> DataFrame:
     return with_repeated_words(rows, "_w", "n_repeat_words").drop("_w")
 
 
+def host_name(host: Column) -> Column:
+    """A host as a plain string; null is a host of its own."""
+    return F.when(host.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), host.cast("string")))
+
+
+def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
+    """h, documents of the lines (h: hash of host and line; text_hash) that over max_documents different
+    texts have. Counts are summed before each shuffle."""
+    seen = lines.groupBy("h", "text_hash").agg(F.lit(1).alias("one"))
+    return seen.groupBy("h").agg(F.count("one").alias("documents")).where(F.col("documents") > max_documents)
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -92,10 +99,9 @@ def judge(
     Scale: counts are summed before each shuffle. A line that a third of all documents share is one
     key only in the last join, against the short table of boilerplate lines, which Spark splits."""
     base = base_features(docs, key, host, text).withColumn("_row", F.monotonically_increasing_id())
-    base = stored(base.withColumn("_host", F.when(F.col("host").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "host"))), "rules")
+    base = stored(base.withColumn("_host", host_name(F.col("host"))), "rules")
     lines = base.select("_row", "_host", "text_hash", F.explode("lines").alias("l")).select("_row", F.xxhash64("_host", "l.h").alias("h"), "text_hash", F.col("l.n").alias("n"))
-    seen = lines.groupBy("h", "text_hash").agg(F.lit(1).alias("one"))
-    frequent = stored(seen.groupBy("h").agg(F.count("one").alias("documents")).where(F.col("documents") > max_documents), "rules-lines")
+    frequent = stored(frequent_lines(lines, max_documents), "rules-lines")
     removed = lines.join(frequent, "h").groupBy("_row").agg(F.sum("n").alias("boilerplate_chars"))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     left = F.col("word_chars") - F.col("boilerplate_chars")
@@ -109,13 +115,17 @@ def judge(
     )
 
 
-def without_boilerplate(docs: DataFrame, frequent: DataFrame, *, host: str = "source", text: str = "text") -> DataFrame:
-    """docs with the lines taken out of text whose hash is in frequent (h), as judge() finds them.
-    Lines are matched by host and content, row by row; a text without such lines is unchanged."""
+def without_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_documents: int = 50) -> DataFrame:
+    """docs with the lines taken out of text that judge() calls boilerplate: over max_documents
+    different texts of the host have them.
+
+    Lines are matched by host and content, row by row; a text without such lines is unchanged, null
+    stays null, a text of nothing else is empty. Repeated rows and null keys keep their rows; an empty
+    table gives none; all columns of docs stay."""
     numbered = stored(docs.withColumn("_id", F.monotonically_increasing_id()), "rules-docs")
-    name = F.when(F.col(host).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(host).cast("string")))
-    split = numbered.select("_id", name.alias("_host"), F.posexplode(F.split(normalised(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_p", "_line")).where("_line != ''")
-    split = split.select("_id", "_p", F.xxhash64("_host", F.xxhash64(F.lower("_line"))).alias("h"))
+    split = numbered.select("_id", host_name(F.col(host)).alias("_host"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)).alias("text_hash"), F.posexplode(F.split(normalised(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_p", "_line")).where("_line != ''")
+    split = split.select("_id", "_p", "text_hash", F.xxhash64("_host", F.xxhash64(F.lower("_line"))).alias("h"))
+    frequent = stored(frequent_lines(split, max_documents), "rules-lines")
     gone = split.join(frequent, "h", "left_semi").groupBy("_id").agg(F.collect_set("_p").alias("_gone"))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return numbered.join(gone, "_id", "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_id", "_gone")
