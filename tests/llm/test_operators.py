@@ -238,6 +238,9 @@ def test_rules(spark, odd, empty):
     got = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
     assert got[15]["kept"] and got[15]["boilerplate_chars"] > 0 and got[99]["boilerplate_chars"] == 2 * len((line + "17").replace(" ", ""))
     assert quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(empty).count() == 0
+    left = {r["doc_id"]: r["text"] for r in quality_rules.without_boilerplate(d).collect()}
+    assert left[99] == prose(9, 40).replace(" ", " \t") and line not in left[15] and left[15].count(" ") == 59
+    assert quality_rules.without_boilerplate(odd).columns == odd.columns and quality_rules.without_boilerplate(odd).count() == odd.count()
 
 
 def test_classifiers(spark, odd, empty):
@@ -259,6 +262,32 @@ def test_classifiers(spark, odd, empty):
     assert language.identify(empty, net).count() == 0 and language.train(empty) is None
 
 
+def test_long_texts_are_learned_from(spark):
+    r = random.Random(4)
+    text = lambda words, n: " ".join(r.choice(words.split()) for _ in range(n))
+    rows = [(i, text("der die und nicht", 60), "de") for i in range(400)] + [(1000 + i, text("the of and with", 9000), "en") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(d)
+    assert net.classes == ["de", "en"]
+    assert {(x["doc_id"] < 1000, x["lang_pred"]) for x in language.identify(d, net).collect()} == {(True, "de"), (False, "en")}
+    labels = d.select("doc_id", (F.col("doc_id") >= 1000).cast("int").alias("quality"))
+    net = quality.train(d, labels)  # all of label 1 are long
+    scores = {x["doc_id"]: x["score"] for x in quality.score(d, net).collect()}
+    assert min(s for i, s in scores.items() if i >= 1000) > max(s for i, s in scores.items() if i < 1000)
+    net = quality.train(d.where("doc_id >= 1000"), labels.union(spark.createDataFrame([(1001, 0)], "doc_id long, quality int")))
+    assert net is not None
+
+
+def test_spread_windows(spark):
+    from mnemospark.llm.byte_net import labelled_sample
+
+    long = "".join(chr(97 + i // 1000) for i in range(26_000))
+    d = spark.createDataFrame([(1, long), (1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "doc_id long, label string")
+    got = dict(sorted((t[:1], t) for _, t in labelled_sample(d, marks, key="doc_id", text="text", per_label=9, longest=2560)))
+    assert set(got) == {b"", b"s", b"a"} and len(got[b"a"]) == 2560 and got[b"a"].endswith(b"z") and len(set(got[b"a"])) >= 10
+
+
 def test_languages_that_were_not_learned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     learned, net = docs.where("doc_id % 2 = 0"), None
@@ -335,6 +364,12 @@ def test_media(spark, odd, empty):
         with pytest.raises(ValueError):
             media.decode_image(bad)
     assert np.allclose(media.area_resized(g.astype(float), 7, 5), g.reshape(7, 5, 2).mean(axis=2)) and abs(media.area_resized(g.astype(float), 3, 4).mean() - g.mean()) < 1e-9
+    paletted = lambda pixel: b"BM" + (62).to_bytes(4, "little") + bytes(4) + (62).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + bytes(24) + bytes([1, 2, 3, 0, 4, 5, 6, 0]) + bytes([pixel, 0, 0, 0])
+    assert media.decode_image(paletted(1)).tolist() == [[[6, 5, 4]]]
+    images = spark.createDataFrame([(1, paletted(0)), (2, paletted(9)), (3, None), (4, b"P5\n0 0\n255\n")], "id int, image binary")
+    path = shared_path(spark, "test-tiles")
+    media.tiles(images, path, keep=["id"], data="image")
+    assert [r["payload_bytes"] for r in media.tile_digests(spark.read.parquet(path), keep=["id"]).orderBy("id").collect()] == [3, None, None, None]
     got = {(r["doc_id"], r["n_bytes"]): r for r in media.tile_digests(media.text_media(odd), keep=["doc_id", "n_bytes"]).collect()}
     assert len(got) == odd.distinct().count()
     r, raw = got[3, 3], b"one".ljust(64, b"\0")
@@ -364,3 +399,138 @@ def test_pipeline(spark, tmp_path):
     assert prose(9999, 40) in passages[0] and passages[4].strip() == prose(4, 80) and passages[5] == prose(5, 80) + "\n"
     assert json.dumps(sorted(seen["mixing"].columns)) == json.dumps(sorted(["doc_id", "text", "lang", "source", "n_chars"]))
     assert seen["packing"].length.sum() > 0
+
+
+def mix_by_hand(docs, sizes_of, quality, seed=17):
+    """taken by row, in plain Python, from the drawn keys of the rows."""
+    sources = sorted({s for _, s in docs}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for (_, x), n in zip(docs, sizes_of, strict=True) if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, left, open_ = {}, 1.5 * sum(size.values()), set(sources)
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * size[s]}
+        if not full:
+            return size, target | share
+        target |= {s: 2.0 * size[s] for s in full}
+        left -= sum(2 * size[s] for s in full)
+        open_ -= full
+
+
+def test_mixing_against_brute_force(spark):
+    texts = [(i, prose(i, 5 + (i * 37) % 90)) for i in range(300)] + [(None, prose(900 + i, 30)) for i in range(9)] + [(301, ""), (302, None)]
+    d = frame(spark, texts, source=lambda i: None if i is None else "abcde"[(i * i) % 5])
+    got = mixing.mix(d).collect()
+    rows = [(r["doc_id"], r["source"]) for r in got]
+    size, target = mix_by_hand(rows, [r["size"] for r in got], None)
+    for s in size:
+        mine = [r for r in got if r["source"] == s]
+        assert {r["source_size"] for r in mine} == {size[s]} and abs(mine[0]["target"] - target[s]) < 1e-6
+        whole = int(target[s] // size[s])
+        assert sum(r["taken"] for r in mine) == round(target[s]) and all(whole * r["size"] <= r["taken"] <= (whole + 1) * r["size"] for r in mine)
+        assert sum(whole * r["size"] < r["taken"] < (whole + 1) * r["size"] for r in mine) <= 1  # one crosses the budget
+    assert len({r["taken"] for r in got if r["doc_id"] is None}) > 1 or size[None] * 2 == target[None]
+
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENS)
+    return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_token_query_against_the_library(spark, tmp_path):
+    from mnemospark.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() + [(10**6, None), (10**6 + 1, "")]
+    spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, start = [], 0
+    rows = sorted((tuple(r) for r in rows), key=lambda r: r[0])
+    ids = library_ids([t for _, t in rows])
+    for (i, _), x in zip(rows, ids, strict=True):
+        want.append((i, start, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())))
+        start += len(x)
+    assert sorted(tuple(r) for r in queries.op4_token_output(spark, str(tmp_path)).collect()) == want
+    known = {i: x for (i, _), x in zip(rows, ids, strict=True)}
+    seen, fill = {i: [] for i in known}, {}
+    for r in sorted(queries.op6_packing(spark, str(tmp_path)).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        x = known[r["doc_id"]]
+        assert r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes())
+        seen[r["doc_id"]].append((r["start"], r["length"]))
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, parts in seen.items():
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) == len(known[i])
+    for s, parts in fill.items():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert s == max(fill) or sum(n for _, n in parts) == 4096
+
+
+def test_media_query_against_hashlib(spark, tmp_path):
+    from mnemospark.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()] + [(-1, None), (-2, ""), (-3, "a"), (-4, "a" * 64), (-5, "ß" * 100_000), (-6, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op10_media_columns(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        pixels = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 64).astype(float)
+        h = len(pixels)
+        cell = np.zeros((8, 9))
+        for y in range(8):  # the mean over each cell's area, pixel by pixel
+            wy = np.clip(np.minimum(np.arange(h) + 1, (y + 1) * h / 8) - np.maximum(np.arange(h), y * h / 8), 0, None)
+            for x in range(9):
+                wx = np.clip(np.minimum(np.arange(64) + 1, (x + 1) * 64 / 9) - np.maximum(np.arange(64), x * 64 / 9), 0, None)
+                cell[y, x] = wy @ pixels @ wx / (wy.sum() * wx.sum())
+        clear = np.abs(np.diff(cell, axis=1)) > 1e-3  # bits that rounding can't turn
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r["feature"]), dtype=np.uint8)).reshape(8, 8).astype(bool)
+        assert (bits == (cell[:, :-1] < cell[:, 1:]))[clear].all()
+    assert (got[-3]["media_sha256"], got[-3]["feature"]) == (got[-6]["media_sha256"], got[-6]["feature"])
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on the same odd table: repeated rows, null keys, long and empty texts, more columns."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = [(None, docs.first()["text"], None, None, 0), (None, None, None, None, 0), (5000, "", "en", "s", 0), (5001, prose(4, 20_000, 3000), "en", "s", 0), (5001, prose(4, 20_000, 3000), "en", "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("epoch", F.lit(7)).withColumn("_x", F.col("text"))
+    stage = dict(corpus_pipeline.STAGES)
+    texts = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    for name in ("language", "near_duplicates", "repeated_passages", "mixing"):
+        out = stage[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+    near = stage["near_duplicates"](spark, docs, str(tmp_path)).collect()
+    named = {i: t for i, t in texts if i is not None}
+    sets = {}
+    for i, t in named.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert {r["doc_id"] for r in near} - {None} == {i for i in root if root[i] == i}
+    assert sum(r["doc_id"] == 5001 for r in near) == 2 and [r["text"] for r in near if r["doc_id"] is None] == [None]
+
+    distinct = list(dict.fromkeys(texts))
+    want = passages_by_hand([(i, t or "") for i, t in distinct])
+    left = stage["repeated_passages"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, " ".join(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in left) == sorted((i or -1, want[i, t or ""][1]) for i, t in texts if want[i, t or ""][1])
+    assert all(r["n_chars"] == len(r["text"]) for r in left)
+
+    mixed = stage["mixing"](spark, docs, str(tmp_path)).collect()
+    taken = {(r["doc_id"], r["source"]): -(-r["taken"] // r["size"]) if r["size"] else 0 for r in mixing.mix(docs).collect()}
+    seen = {}
+    for r in mixed:
+        seen[r["doc_id"], r["source"]] = seen.get((r["doc_id"], r["source"]), 0) + 1
+    assert {k: v for k, v in seen.items() if k[0] != 5001} == {k: v for k, v in taken.items() if v and k[0] != 5001}
+    packed = stage["packing"](spark, docs, str(tmp_path)).toPandas()
+    ids = library_ids([t for _, t in texts])
+    assert packed.length.sum() == sum(map(len, ids)) and len(packed.groupby("sequence_id")) == -(-sum(map(len, ids)) // 4096)
