@@ -179,36 +179,36 @@ def _finer(pieces: DataFrame, window: int, width: int) -> DataFrame:
 
 
 def _settled(pieces: DataFrame, window: int, widths: tuple[int, ...]) -> DataFrame:
-    """anchor, words, first, mask of each different piece: first is the earliest (key, mark, at) it
-    has; mask says which of its windows stand earlier than there. pieces has anchor, words, key, mark,
-    at; widths: the lengths of the anchors by which crowded ones are cut, the window at last."""
+    """anchor, own (the hash of the words), first, mask of each different piece: first is the earliest
+    (key, mark, at) it has; mask says which of its windows stand earlier than there. pieces has anchor,
+    words, key, mark, at; widths: the lengths of the anchors by which crowded ones are cut, the window
+    at last. Pieces are told apart by their words; what is known of one is found by anchor and own."""
     distinct = pieces.groupBy("anchor", "words").agg(F.min(F.struct("key", "mark", "at")).alias("first"))
-    distinct = stored(distinct.withColumn("piece", F.monotonically_increasing_id()), "substring-pieces")
+    distinct = stored(distinct.withColumn("piece", F.monotonically_increasing_id()).withColumn("own", F.xxhash64("words")), "substring-pieces")
     # no window of a piece stands earlier in that piece: it would have picked the earlier anchor
     several = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1"), "substring-several")
-    known = distinct.join(several, "anchor", "left")
-    alone = known.where("pieces is null").select("anchor", "words", "first", F.lit(0).cast("long").alias("mask"))
-    few = known.where(F.col("pieces") <= ANCHOR_PIECES)
+    none = distinct.select("anchor", "own", "first").join(several, "anchor", "left_anti").withColumn("mask", F.lit(0).cast("long"))
+    few = distinct.join(several.where(F.col("pieces") <= ANCHOR_PIECES), "anchor")
     shards = -(-(several.where(F.col("pieces") <= ANCHOR_PIECES).agg(F.sum("pieces")).first()[0] or 0) // SHARD_PIECES)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "mark", "at"], kind="stable")
         masks = repeated_windows([w.split(" ") for w in pdf["words"]], window)
-        return pd.DataFrame({"anchor": pdf["anchor"], "words": pdf["words"], "key": pdf["key"], "mark": pdf["mark"], "at": pdf["at"], "mask": masks})
+        return pd.DataFrame({"anchor": pdf["anchor"], "own": pdf["own"], "key": pdf["key"], "mark": pdf["mark"], "at": pdf["at"], "mask": masks})
 
-    flat = few.select("anchor", "words", "first.key", "first.mark", "first.at", F.pmod(F.xxhash64("anchor"), F.lit(max(shards, 1))).alias("shard"))
-    by_automata = flat.groupBy("shard").applyInPandas(shard, "anchor bigint, words string, key bigint, mark bigint, at bigint, mask bigint")
-    found = alone.unionByName(by_automata.select("anchor", "words", F.struct("key", "mark", "at").alias("first"), "mask"))
+    flat = few.select("anchor", "own", "words", "first.key", "first.mark", "first.at", F.pmod(F.xxhash64("anchor"), F.lit(max(shards, 1))).alias("shard"))
+    by_automata = flat.groupBy("shard").applyInPandas(shard, "anchor bigint, own bigint, key bigint, mark bigint, at bigint, mask bigint")
+    found = none.unionByName(by_automata.select("anchor", "own", F.struct("key", "mark", "at").alias("first"), "mask"))
     if several.where(F.col("pieces") > ANCHOR_PIECES).isEmpty():
         return found
-    crowded = known.where(F.col("pieces") > ANCHOR_PIECES)
+    crowded = distinct.join(several.where(F.col("pieces") > ANCHOR_PIECES), "anchor")
     parts = stored(_finer(crowded, window, widths[0]), "substring-parts")
     inner = _settled(parts.select("anchor", "words", "key", "mark", "at"), window, widths[1:])
-    met = parts.join(inner.select("anchor", "words", "first", "mask"), ["anchor", "words"])
-    whole = F.expr(f"shiftleft(1L, size(split(words, ' ')) - {window} + 1) - 1")
-    bits = F.when(F.struct("key", "mark", "at") == F.col("first"), F.col("mask")).otherwise(whole)
+    n = F.size(F.split("words", " ")) - (window - 1)
+    met = parts.select("piece", "begin", "anchor", F.xxhash64("words").alias("own"), "key", "mark", "at", n.alias("n")).join(inner, ["anchor", "own"])
+    bits = F.when(F.struct("key", "mark", "at") == F.col("first"), F.col("mask")).otherwise(F.expr("shiftleft(1L, n) - 1"))
     masks = met.select("piece", F.call_function("shiftleft", bits, F.col("begin")).alias("bits")).groupBy("piece").agg(F.bit_or("bits").alias("mask"))
-    return found.unionByName(crowded.join(masks, "piece").select("anchor", "words", "first", "mask"))
+    return found.unionByName(crowded.select("piece", "anchor", "own", "first").join(masks, "piece").select("anchor", "own", "first", "mask"))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]], layout: bool) -> tuple[int, int, bytes]:
@@ -290,7 +290,8 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     open_ = waiting.select("key", "mark", F.explode("unsure").alias("u")).select("key", "mark", "u.anchor", "u.spot", "u.words", F.shiftright("u.spot", 32).alias("at"))
     settled = stored(_settled(open_.select("anchor", "words", "key", "mark", "at"), window, widths), "substring-settled")
     here = F.struct("key", "mark", "at") == F.col("first")
-    masks = open_.join(settled, ["anchor", "words"]).select("key", "mark", "spot", F.when(here, F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
+    met = open_.select("key", "mark", "spot", "at", "anchor", F.xxhash64("words").alias("own"))
+    masks = met.join(settled, ["anchor", "own"]).select("key", "mark", "spot", F.when(here, F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
     masks = masks.where("mask != 0").groupBy("key", "mark").agg(F.collect_set(F.struct("spot", "mask")).alias("masks"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
