@@ -54,6 +54,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (size == 0), F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+def cosine_to(column: Column, query: list[float], norm: Column | None = None) -> Column:
+    """cosine() with one vector: its length is computed once. norm: the stored length of column's vectors."""
+    probe, size = F.array(*[F.lit(float(x)) for x in query]), sum(x * x for x in query) ** 0.5
+    length = (norm if norm is not None else F.sqrt(dot(column, column))) * F.lit(size)
+    return F.when((F.size(column) != len(query)) | (F.size(column) <= 0) | (length == 0), F.lit(0.0)).otherwise(dot(column, probe) / length)
+
+
 def distance_score(distance: Column) -> Column:
     """Cosine distance as a score: 1 - clamp(d, 0, 2) / 2."""
     return 1 - F.least(F.greatest(distance, F.lit(0.0)), F.lit(2.0)) / 2

@@ -60,12 +60,13 @@ def reach(edges: DataFrame, start, depth: int, directed: bool = True) -> DataFra
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component (the smallest id that links lead to, either way), by label propagation with
-    shortcuts: a label also takes on its label's label, so long chains halve each round."""
+    shortcuts: a label also takes on its label's label, so long chains halve each round. Rounds go
+    on until no label moves."""
     e = checkpointed(both_ways(edges.select("src", "dst")).distinct())
     labels = checkpointed(nodes.select("id", F.col("id").alias("component")).distinct())
-    for _ in range(most):
+    while True:
         low = e.join(labels, e["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("low"))
         new = labels.join(low, labels["id"] == low["src"], "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
         hop = new.select(F.col("id").alias("_i"), F.col("component").alias("_c"))

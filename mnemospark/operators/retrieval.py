@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemospark.functions.text import cosine, distance_score, word_tokens
+from mnemospark.functions.text import cosine_to, distance_score, word_tokens
 
 #: Rank constant of reciprocal-rank fusion and the vector lane's factor (fixed values).
 RANK_CONSTANT, VECTOR_FACTOR = 60, 1.01
@@ -34,10 +34,11 @@ def lexical_match(docs: DataFrame, text: str, query: str) -> DataFrame:
     return rows.withColumn("score", rank / (1 + rank))
 
 
-def vector_recall(vectors: DataFrame, key: str, column: str, query: list[float], k: int) -> DataFrame:
-    """key, distance, score of the k vectors nearest to query by cosine; ties by key."""
-    probe = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(key, (1 - cosine(F.col(column), probe)).alias("distance"))
+def vector_recall(vectors: DataFrame, key: str, column: str, query: list[float], k: int, norm: str | None = None) -> DataFrame:
+    """key, distance, score of the k vectors nearest to query by cosine; ties by key. An empty query
+    (none was found) matches nothing. norm: a column with the vectors' lengths, where one is stored."""
+    rows = vectors if query else vectors.where(F.lit(False))
+    scored = rows.select(key, (1 - cosine_to(F.col(column), list(query), F.col(norm) if norm else None)).alias("distance"))
     return scored.withColumn("score", distance_score(F.col("distance"))).orderBy("distance", key).limit(k)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.operators.graph import checkpointed
+
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; later equals lose. One row of the order's
@@ -48,19 +50,31 @@ def compile_plan(current: DataFrame, previous: DataFrame) -> DataFrame:
 def overlapping_pairs(df: DataFrame, block: str, key: str, start: str, end: str) -> DataFrame:
     """Pairs of one block whose closed intervals overlap (null ends are open), smaller key left.
 
-    Within a block the left side's rows meet only those that begin in the days they span: both
-    sides are dealt by (block, day), so a large block is spread over its days."""
-    day = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
-    bounds = df.groupBy(block).agg(F.min(day(F.col(start))).alias("_lo"), F.max(day(F.coalesce(F.col(end), F.col(start)))).alias("_hi"))
-    rows = df.join(bounds, block).select(block, key, start, end, F.coalesce(day(F.col(start)), F.col("_lo")).alias("_s"), F.coalesce(day(F.col(end)), F.col("_hi")).alias("_e"))
-    rows = rows.where(F.col("_s") <= F.col("_e"))
-    wide = rows.withColumn("_d", F.explode(F.sequence(F.expr("_s div 32"), F.expr("_e div 32"))))
-    a = wide.select(block, "_d", F.col(key).alias("left_id"), F.col(start).alias("a0"), F.col(end).alias("a1"), F.col("_s").alias("as"))
-    b = wide.select(block, "_d", F.col(key).alias("right_id"), F.col(start).alias("b0"), F.col(end).alias("b1"), F.col("_s").alias("bs"))
-    opened = lambda x: x.isNull()
-    meet = (opened(F.col("a0")) | opened(F.col("b1")) | (F.col("a0") <= F.col("b1"))) & (opened(F.col("b0")) | opened(F.col("a1")) | (F.col("b0") <= F.col("a1")))
-    first = F.expr("greatest(`as`, bs) div 32")  # each pair in the first stretch both are in
-    return a.join(b, [block, "_d"]).where((F.col("left_id") < F.col("right_id")) & meet & (F.col("_d") == first)).select(block, "left_id", "right_id")
+    Two intervals overlap where one begins within the other. So each row has one place, the stretch of
+    days its start lies in, and meets the rows of its block that span this stretch: only one side is
+    dealt to all its stretches, and no pair is made twice. A stretch is as long as the mean interval,
+    so that a row is in about two; a large block is spread over its stretches."""
+    time = lambda c: F.col(c).cast("timestamp")
+    low, high = F.least(F.min(time(start)), F.min(time(end))), F.greatest(F.max(time(start)), F.max(time(end)))
+    bounds = df.groupBy(block).agg(low.alias("_lo"), high.alias("_hi"))
+    rows = df.join(bounds, block).select(block, key, F.coalesce(time(start), "_lo").alias("_s"), F.coalesce(time(end), "_hi").alias("_e")).where("_s <= _e")
+    mean = rows.agg(F.avg(F.datediff("_e", "_s"))).first()[0]
+    stretch = lambda c: F.expr(f"unix_date(cast({c} as date)) div {max(int(mean or 0), 1)}")
+    x = rows.select(block, F.col(key).alias("_x"), F.col("_s").alias("_xs"), F.col("_e").alias("_xe"), F.explode(F.sequence(stretch("_s"), stretch("_e"))).alias("_d"))
+    y = rows.select(block, F.col(key).alias("_y"), F.col("_s").alias("_ys"), stretch("_s").alias("_d"))
+    later = (F.col("_xs") < F.col("_ys")) | ((F.col("_xs") == F.col("_ys")) & (F.col("_x") < F.col("_y")))
+    met = x.join(y, [block, "_d"]).where(later & (F.col("_ys") <= F.col("_xe")))
+    return met.select(block, F.least("_x", "_y").alias("left_id"), F.greatest("_x", "_y").alias("right_id"))
+
+
+def with_running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with out: the sum of value over all rows up to and with this one, in an order without ties.
+    Ranges of the order are summed each by itself; what comes before a range is a row for each range."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    bases = ranged.groupBy("_part").agg(F.sum(value).alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.sum(value).over(within)).drop("_part", "_base")
 
 
 def source_set_hash(df: DataFrame, key: str, refs: list[str]) -> DataFrame:
@@ -71,14 +85,27 @@ def source_set_hash(df: DataFrame, key: str, refs: list[str]) -> DataFrame:
 
 
 def move_plan(moves: DataFrame, inventory: DataFrame, order: str) -> DataFrame:
-    """moves (order, source, destination) with state: READY, or why a move is not safe. inventory has
-    the paths that exist. Of several moves from or to one path the first in order may go."""
-    have = inventory.select("path").distinct()
-    m = moves.join(have.withColumnRenamed("path", "source").withColumn("_from", F.lit(True)), "source", "left")
-    m = m.join(have.withColumnRenamed("path", "destination").withColumn("_to", F.lit(True)), "destination", "left")
-    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(order))
-    state = (
-        F.when(F.col("source") == F.col("destination"), "SAME_PATH").when(F.col("_from").isNull(), "SOURCE_MISSING").when(F.col("_to"), "DESTINATION_EXISTS")
-        .when(F.col("_i") > 1, "DUPLICATE_SOURCE").when(F.col("_j") > 1, "DUPLICATE_DESTINATION").otherwise("READY")
+    """moves (order, source, destination, reason) with state: ready, or the first reason why a move is not
+    safe. inventory has the paths that exist and is_file. Of the moves that name one source, then of
+    those left that name one destination, the first in order may go."""
+    have = inventory.groupBy("path").agg(F.max("is_file").alias("is_file"))
+    m = moves.join(have.select(F.col("path").alias("source"), F.lit(True).alias("_from"), F.col("is_file").alias("_file")), "source", "left")
+    m = m.join(have.select(F.col("path").alias("destination"), F.lit(True).alias("_to")), "destination", "left")
+    note = lambda c: F.col(c).rlike(r"[^/]\.md$")
+    unsafe = (
+        F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "reason_required").when(F.col("source") == F.col("destination"), "source_equals_destination")
+        .when(~note("source") | ~note("destination"), "only_markdown_notes_can_be_moved").when(F.col("_from").isNull(), "source_missing")
+        .when(~F.col("_file"), "source_not_file").when(F.col("_to"), "destination_exists")
     )
-    return m.withColumn("_i", nth("source")).withColumn("_j", nth("destination")).select(*moves.columns, state.alias("state"))
+    m = m.withColumn("_u", unsafe)
+    nth = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(order))
+    m = m.withColumn("_i", F.when(F.col("_u").isNull(), nth("source", "_u")))
+    m = m.withColumn("_j", F.when(F.col("_i") == 1, nth("destination", "_i")))
+    state = F.coalesce("_u", F.when(F.col("_i") > 1, "duplicate_source").when(F.col("_j") > 1, "duplicate_destination").otherwise("ready"))
+    return m.select(*moves.columns, state.alias("state"))
+
+
+def move_status(planned: DataFrame) -> DataFrame:
+    """One row: status of a plan: empty without moves, blocked where one is not ready, else ready."""
+    ready, n = F.count_if(F.col("state") == "ready"), F.count(F.lit(1))
+    return planned.agg(F.when(n == 0, "empty").when(ready < n, "blocked").otherwise("ready").alias("status"), n.alias("moves"), ready.alias("ready"))

@@ -28,11 +28,16 @@ vec as (select doc_id, d, row_number() over (order by d, doc_id) as rank from di
 """
 
 
+def _probe(vectors: DataFrame) -> list[float]:
+    """The vector that is searched for; none where it isn't in the table."""
+    found = vectors.where("vec_id = 0").select("embedding").take(1)
+    return list(found[0][0]) if found else []
+
+
 def _lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     lexical = retrieval.ranked(retrieval.lexical_match(docs, "text", "the of"), "doc_id", [F.desc("hits"), F.asc("doc_id")], 50)
-    probe = vectors.where("vec_id = 0").select("embedding").first()[0]  # one vector
-    nearest = retrieval.vector_recall(vectors, "vec_id", "embedding", list(probe), 50).withColumnRenamed("vec_id", "doc_id")
+    nearest = retrieval.vector_recall(vectors, "vec_id", "embedding", _probe(vectors), 50).withColumnRenamed("vec_id", "doc_id")
     return lexical, retrieval.ranked(nearest, "doc_id", [F.asc("distance"), F.asc("doc_id")], 50)
 
 
@@ -48,8 +53,7 @@ def hybrid_fusion(spark, sf):
 @query("r7_vector_recall", f"with {LANE} select doc_id as vec_id, round(1 - least(greatest(d, 0), 2) / 2, 6) as score from vec where rank <= 25")
 def vector_recall(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    probe = vectors.where("vec_id = 0").select("embedding").first()[0]
-    return retrieval.vector_recall(vectors, "vec_id", "embedding", list(probe), 25).select("vec_id", F.round("score", 6).alias("score"))
+    return retrieval.vector_recall(vectors, "vec_id", "embedding", _probe(vectors), 25).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("r2_lexical_match", r"""select doc_id, (a + b)::int as hits, round((a + b) * 0.1 / (1 + (a + b) * 0.1), 6)::double as score from (
@@ -121,11 +125,10 @@ def list_filter(spark, sf):
     return filters.all_of(table(spark, sf, "orders"), o_orderstatus="F", o_orderpriority=["1-URGENT", "2-HIGH"], o_totalprice=(1000, 200000), o_custkey=None).select("o_orderkey")
 
 
-@query("f2_tag_containment", "select p_partkey from part where list_has_all(string_split(p_name, ' '), [string_split(p_name, ' ')[1], p_brand]) or list_has_all(string_split(p_type, ' '), [split_part(p_type, ' ', 1)])")
+@query("f2_tag_containment", "select p_partkey from part where list_has_all(list_concat(string_split(p_name, ' '), [p_type]), ['red', 'SMALL'])")
 def tag_containment(spark, sf):
-    p = table(spark, sf, "part")
-    tags = F.split("p_type", " ")
-    return p.where(filters.has_tags(F.concat(tags, F.array(F.lit("part"))), ["part"])).select("p_partkey")
+    tags = F.concat(F.split("p_name", " "), F.array("p_type"))
+    return table(spark, sf, "part").where(filters.has_tags(tags, ["red", "SMALL"])).select("p_partkey")
 
 
 @query("f3_scope_predicate", "select doc_id from documents where source = 'src1' or lang = 'de'")
@@ -205,26 +208,17 @@ def as_of(spark, sf):
     return filters.valid_at(v, F.lit("1996-06-30").cast("timestamp"), "o_orderdate", "e").select("o_orderkey")
 
 
-@query("j11_snapshot_diff", """with c as (select doc_id, sha256(text) as h from documents where doc_id % 7 <> 0), p as (select doc_id, sha256(case when doc_id % 5 = 0 then text || 'x' else text end) as h from documents where doc_id % 11 <> 0)
-select doc_id, case when p.h is null then 'added' when c.h is null then 'removed' else 'updated' end as change from c full join p using (doc_id) where c.h is distinct from p.h""")
-def snapshot_diff(spark, sf):
-    d = table(spark, sf, "documents")
-    now = d.where("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))  # two made-up snapshots: some documents new, some gone, some changed
-    then = d.where("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
-    return rows.snapshot_diff(now, then, "doc_id", "h")
+SNAPSHOTS = """now as (select o_orderkey as k, sha256(o_orderstatus || '|' || o_custkey) as h from orders where o_orderdate >= timestamp '1996-01-01'),
+old as (select o_orderkey as k, sha256(case o_orderstatus when 'P' then 'O' else o_orderstatus end || '|' || o_custkey) as h from orders where o_orderdate < timestamp '2000-07-01')"""
 
 
-@query("c1_compile_plan", """with c as (select doc_id as path, sha256(text) as h, case when doc_id % 4 = 0 then 'new' else 'old' end as f from documents where doc_id % 7 <> 0),
-p as (select doc_id as path, sha256(case when doc_id % 5 = 0 then text || 'x' else text end) as oh, doc_id % 3 = 0 as bare from documents where doc_id % 11 <> 0)
-select cast(path as varchar) as path, case when h is null then 'REMOVED' when oh is null then 'ADDED' when h = oh and (bare or f <> 'old') then 'EMBEDDING_ONLY' when h <> oh then 'UPDATED' end as action,
- case when h is null then 'REMOVE' when oh is null then 'DOCUMENT_ADDED' when h = oh and bare then 'CHUNKS_CHANGED' when h = oh and f <> 'old' then 'EMBEDDING_POLICY_CHANGED' when h <> oh then 'CHUNKS_CHANGED' else 'NONE' end as embedding
-from c full join p using (path) where action is not null""")
-def compile_plan(spark, sf):
-    d = table(spark, sf, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    old = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    now = d.where("doc_id % 7 <> 0").select("path", F.sha2("text", 256).alias("source_hash"), F.when(F.col("doc_id") % 4 == 0, "new").otherwise("old").alias("fingerprint"), F.array(F.sha2("text", 256)).alias("chunks"))
-    then = d.where("doc_id % 11 <> 0").select("path", F.sha2(old, 256).alias("source_hash"), F.lit("old").alias("fingerprint"), F.when(F.col("doc_id") % 3 != 0, F.array(F.sha2(old, 256))).alias("chunks"))
-    return rows.compile_plan(now, then)
+@query("j11_snapshot_diff", f"""with {SNAPSHOTS} select k, case when old.h is null then 'added' when now.h is null then 'removed' else 'updated' end as change from now full join old using (k) where now.h is distinct from old.h""")
+def snapshot_diff(spark, sf):
+    o = table(spark, sf, "orders")  # the orders as of July 2000, with those pending still open, and today's without the years before 1996
+    now = o.where("o_orderdate >= timestamp '1996-01-01'").select(F.col("o_orderkey").alias("k"), F.sha2(F.concat_ws("|", "o_orderstatus", "o_custkey"), 256).alias("h"))
+    was = F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus"))
+    then = o.where("o_orderdate < timestamp '2000-07-01'").select(F.col("o_orderkey").alias("k"), F.sha2(F.concat_ws("|", was, "o_custkey"), 256).alias("h"))
+    return rows.snapshot_diff(now, then, "k", "h")
 
 
 @query("q14_source_set_hash", "select o_custkey, count(*) as sources, sha256(string_agg(h, '|' order by h)) as source_set_hash from (select distinct o_custkey, sha256(o_orderkey || '|' || o_orderstatus) as h from orders) group by 1")
@@ -239,8 +233,9 @@ span as (select min(day) as a from p), grid as (select family, (unnest(generate_
 select family, day, case when day >= a + interval 45 day then 'OPEN' when made is null then 'MISSING' when made > day then 'BACKFILL' else 'COMPLETE' end as state from grid left join p using (family, day), span""")
 def coverage(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("family"), F.to_date("ts").alias("day"), (F.col("ts") + F.expr("interval 3 hours")).alias("created"))
-    first = e.agg(F.min("day")).first()[0]
-    from datetime import timedelta
+    from datetime import date, timedelta
+
+    first = e.agg(F.min("day")).first()[0] or date.today()
 
     at = lambda n: str(first + timedelta(days=n))
     return calendar.coverage(e, at(0), at(60), at(45))
@@ -264,12 +259,12 @@ def windowed_counts(spark, sf):
 # -- graph, linkage ------------------------------------------------------------------------------------
 
 EDGES = """edges as (select 'e' || l_orderkey || '-' || l_linenumber as edge_id, 'c' || o_custkey as src, 's' || l_suppkey as dst,
-  case l_returnflag when 'A' then 'supersedes' when 'N' then 'related' else 'wikilink' end as relation, round(1 - l_discount, 2) as confidence from lineitem join orders on o_orderkey = l_orderkey where l_quantity > 45)"""
+  case l_returnflag when 'A' then 'supersedes' when 'N' then 'related' else 'wikilink' end as relation, round(1 - l_discount, 2) as confidence from lineitem join orders on o_orderkey = l_orderkey)"""
 NODES = "nodes as (select 'c' || c_custkey as id from customer union all select 's' || s_suppkey from supplier)"
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    j = table(spark, sf, "lineitem").where("l_quantity > 45").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     relation = F.when(F.col("l_returnflag") == "A", "supersedes").when(F.col("l_returnflag") == "N", "related").otherwise("wikilink")
     edges = j.select(
         F.concat(F.lit("e"), "l_orderkey", F.lit("-"), "l_linenumber").alias("edge_id"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"),
@@ -306,13 +301,13 @@ def reach(spark, sf):
 
 PAIRS = """pairs as (select a.vec_id as left_id, b.vec_id as right_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double))
   / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 6) as score
-  from embeddings a join embeddings b on a.label = b.label and a.vec_id // 200 = b.vec_id // 200 and a.vec_id < b.vec_id)"""
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)"""
 
 
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
     none = F.array().cast("array<bigint>")
     items = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.lit(None).cast("string").alias("content_hash"), "embedding", F.array(F.concat_ws(":", "label", F.expr("vec_id div 200"))).alias("blocks"), none.alias("neighbours"), none.alias("ancestors")
+        F.col("vec_id").alias("item_id"), F.lit(None).cast("string").alias("content_hash"), "embedding", F.array(F.col("label").cast("string")).alias("blocks"), none.alias("neighbours"), none.alias("ancestors")
     )
     return linkage.candidate_pairs(items, vector=0.3)
 

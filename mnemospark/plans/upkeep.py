@@ -167,11 +167,29 @@ def temporal_view(spark, sf):
     return m.select("o_orderkey", filters.recalled("HISTORICAL", at).alias("historical"), filters.recalled("CURRENT", at).alias("current"))
 
 
-@query("c5_move_plan", """with m as (select o_orderkey as n, 'p' || o_custkey as source, 'q' || (o_orderkey % 500) as destination from orders), have as (select 'p' || c_custkey as path from customer where c_acctbal > 0 union select 'q' || s_suppkey from supplier where s_suppkey % 2 = 0),
-k as (select *, row_number() over (partition by source order by n) as i, row_number() over (partition by destination order by n) as j from m)
-select n, case when source = destination then 'SAME_PATH' when source not in (from have) then 'SOURCE_MISSING' when destination in (from have) then 'DESTINATION_EXISTS' when i > 1 then 'DUPLICATE_SOURCE' when j > 1 then 'DUPLICATE_DESTINATION' else 'READY' end as state from k""")
+MOVES = """m as (select o_orderkey as n, 'p' || o_custkey || case when o_orderkey % 97 = 0 then '.txt' else '.md' end as source, case when o_orderkey % 89 = 0 then 'p' || o_custkey || '.md' else 'q' || (o_orderkey % 500) || '.md' end as destination, case when o_orderkey % 83 = 0 then ' ' else o_orderpriority end as reason from orders),
+have as (select 'p' || c_custkey || '.md' as path, c_acctbal > 500 as is_file from customer where c_acctbal > 0 union select 'q' || s_suppkey || '.md', true from supplier where s_suppkey % 2 = 0),
+k as (select m.*, case when trim(reason) = '' then 'reason_required' when source = destination then 'source_equals_destination' when source not like '%.md' or destination not like '%.md' then 'only_markdown_notes_can_be_moved'
+  when f.path is null then 'source_missing' when not f.is_file then 'source_not_file' when t.path is not null then 'destination_exists' end as u from m left join have f on f.path = source left join have t on t.path = destination),
+i as (select *, case when u is null then row_number() over (partition by source, u order by n) end as i from k), j as (select *, case when i = 1 then row_number() over (partition by destination, i order by n) end as j from i),
+moved as (select n, coalesce(u, case when i > 1 then 'duplicate_source' when j > 1 then 'duplicate_destination' else 'ready' end) as state from j)"""
+
+
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    source = F.concat(F.lit("p"), "o_custkey", F.when(key % 97 == 0, ".txt").otherwise(".md"))
+    to = F.when(key % 89 == 0, F.concat(F.lit("p"), "o_custkey", F.lit(".md"))).otherwise(F.concat(F.lit("q"), key % 500, F.lit(".md")))
+    moves = table(spark, sf, "orders").select(key.alias("n"), source.alias("source"), to.alias("destination"), F.when(key % 83 == 0, " ").otherwise(F.col("o_orderpriority")).alias("reason"))
+    customers = table(spark, sf, "customer").where("c_acctbal > 0").select(F.concat(F.lit("p"), "c_custkey", F.lit(".md")).alias("path"), (F.col("c_acctbal") > 500).alias("is_file"))
+    suppliers = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("q"), "s_suppkey", F.lit(".md")).alias("path"), F.lit(True).alias("is_file"))
+    return rows.move_plan(moves, customers.union(suppliers), "n")
+
+
+@query("c5_move_plan", f"with {MOVES} select n, state from moved")
 def move_plan(spark, sf):
-    moves = table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("p"), "o_custkey").alias("source"), F.concat(F.lit("q"), F.col("o_orderkey") % 500).alias("destination"))
-    customers = table(spark, sf, "customer").where("c_acctbal > 0").select(F.concat(F.lit("p"), "c_custkey").alias("path"))
-    suppliers = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("q"), "s_suppkey").alias("path"))
-    return rows.move_plan(moves, customers.union(suppliers), "n").select("n", "state")
+    return _moves(spark, sf).select("n", "state")
+
+
+@query("c5_move_status", f"with {MOVES} select 'blocked' as status, count(*) as moves, count(*) filter (state = 'ready') as ready from moved")
+def move_status(spark, sf):
+    return rows.move_status(_moves(spark, sf))

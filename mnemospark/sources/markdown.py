@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from mnemospark.operators.rows import with_running_sum
 
 INTEGER = re.compile(r"[+-]?(?:0|[1-9][0-9]*)\Z")
 FLOAT = re.compile(r"[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
@@ -27,9 +28,10 @@ def scan(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFr
     rows = rows.where(~F.col("relative_path").rlike(r"(^|/)\."))
     if max_bytes is None:
         return rows.withColumn("complete", F.lit(True))
-    sizes = rows.select("relative_path", "size").withColumn("_sum", F.sum("size").over(Window.orderBy("relative_path")))  # a row per file, without its text
-    fits = sizes.withColumn("complete", F.max("_sum").over(Window.partitionBy()) <= max_bytes).where(F.col("_sum") <= max_bytes)
-    return rows.join(fits.select("relative_path", "complete"), "relative_path")
+    sizes = with_running_sum(rows.select("relative_path", "size"), ["relative_path"], "size", "_sum")  # a row per file, without its text
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    fits = sizes.where(F.col("_sum") <= max_bytes).select("relative_path", F.lit(total <= max_bytes).alias("complete"))
+    return rows.join(fits, "relative_path")
 
 
 def scalar(raw: str) -> tuple[str, str | None]:

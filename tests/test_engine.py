@@ -62,7 +62,9 @@ def test_vault(spark, tmp_path):
     files = markdown.scan(spark, str(tmp_path))
     got = {r["relative_path"]: r for r in markdown.notes(files).collect()}
     assert set(got) == {"a/n.md", "b.md"} and got["a/n.md"]["title"] == "A plan" and got["b.md"]["title"] == "b"
-    assert markdown.scan(spark, str(tmp_path), max_bytes=6).select("complete").collect()[0][0] is False if markdown.scan(spark, str(tmp_path), max_bytes=6).count() else True
+    some = markdown.scan(spark, str(tmp_path), max_bytes=len(NOTE) + 2).collect()
+    assert [(r["relative_path"], r["complete"]) for r in some] == [("a/n.md", False)] and markdown.scan(spark, str(tmp_path), max_bytes=3).count() == 0
+    assert {r["complete"] for r in markdown.scan(spark, str(tmp_path), max_bytes=9999).collect()} == {True}
 
 
 def test_fusion(spark):
@@ -94,6 +96,22 @@ def test_oversize_block(spark):
         linkage.candidate_pairs(items, max_block=4)
 
 
+def test_cap_is_greedy(spark):
+    import random
+
+    r = random.Random(2)
+    pairs = sorted({(r.randrange(30), r.randrange(30)) for _ in range(150)})
+    pairs = [(a, b, r.randrange(5) / 4) for a, b in pairs if a < b]
+    for most in (1, 2, 4):
+        used, want = {}, set()
+        for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+            if used.get(a, 0) < most and used.get(b, 0) < most:
+                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+                want.add((a, b))
+        got = linkage.capped(spark.createDataFrame(pairs, "left_id long, right_id long, score double"), most)
+        assert {(x["left_id"], x["right_id"]) for x in got.collect()} == want
+
+
 def test_open_intervals(spark):
     v = spark.createDataFrame([("a", 1, None, "2020-01-05"), ("a", 2, "2020-01-04", None), ("a", 3, "2020-01-06", "2020-01-07"), ("b", 4, "2020-01-06", "2020-01-07")], "k string, id int, s string, e string")
     v = v.select("k", "id", F.to_timestamp("s").alias("s"), F.to_timestamp("e").alias("e"))
