@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.operators import calendar, filters, graph, linkage, retrieval, rows
-from mnemospark.plans import records, upkeep  # noqa: F401  (they register their queries)
+from mnemospark.plans import notes_graph, records, upkeep  # noqa: F401  (they register their queries)
 from mnemospark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from mnemospark.session import table
 from mnemospark.streaming import change_log
