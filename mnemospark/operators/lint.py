@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,71 @@ def lint(df: DataFrame, kind: str, title: str, content: str, summary: str) -> Da
         .otherwise("SAVED")
     )
     return rows.withColumn("status", status)
+
+
+#: Names of fields that hold secrets, and those that only say whether there are any (fixed values).
+SECRET_FIELD, AUDIT_FIELDS = r"(?i)(password|passwd|secret|token|api[_-]?key|credential|private[_-]?key)", {"secret_values_recorded"}
+
+
+def redacted_json(value: Column) -> Column:
+    """A JSON object without its secret fields, at any depth, and with secrets in its texts masked; null for
+    what is no JSON and where a private key is in it. Keys keep their order."""
+
+    @F.pandas_udf("string")
+    def clean(values: pd.Series) -> pd.Series:
+        import json
+        import re
+
+        patterns = [re.compile(p) for p in SECRETS.values()]
+        field, private = re.compile(SECRET_FIELD), re.compile(PRIVATE_KEY)
+
+        def walk(x):
+            if isinstance(x, dict):
+                return {k: walk(v) for k, v in x.items() if not field.search(k) or (k in AUDIT_FIELDS and v is False)}
+            if isinstance(x, list):
+                return [walk(v) for v in x]
+            if isinstance(x, str):
+                for p in patterns:
+                    x = p.sub(MASK, x)
+            return x
+
+        def one(raw):
+            try:
+                return None if raw is None or private.search(raw) else json.dumps(walk(json.loads(raw)), separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return values.map(one)
+
+    return clean(value)
+
+
+#: Metadata fields that are lists, and those that are true or false (fixed values).
+LIST_FIELDS, BOOLEAN_FIELDS, URL_FIELDS = ["tags", "aliases", "source_refs"], ["done", "archived", "pinned"], ["url", "source_url"]
+
+
+def integrity(entries: DataFrame) -> DataFrame:
+    """note_id, field, value, code of the metadata entries (note_id, field, kind, value) that are not what
+    their field asks for."""
+    field, kind, value = F.col("field"), F.col("kind"), F.col("value")
+    code = (
+        F.when(field.isin(LIST_FIELDS) & (kind == "string") & F.trim(value).rlike(r"(?s)^(\(.*\)|\[.*\]|\{.*\})$"), "LEGACY_COLLECTION").when(field.isin(LIST_FIELDS) & ~kind.isin("list", "string", "null"), "WRONG_COLLECTION_TYPE")
+        .when(field.isin(BOOLEAN_FIELDS) & (kind != "boolean") & ~F.lower(F.trim(value)).isin("true", "false"), "WRONG_BOOLEAN_TYPE").when((kind == "string") & (F.trim(value) == ""), "EMPTY_SCALAR")
+        .when(field.isin(URL_FIELDS) & ~value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\s]+"), "UNRECOVERABLE_URL")
+    )
+    return entries.withColumn("code", code).where("code is not null").select("note_id", "field", "value", "code")
+
+
+def replacement(code: Column, value: Column) -> Column:
+    """The JSON that repairs a finding; null where nobody can tell."""
+    inner = F.regexp_replace(F.trim(value), r"^[(\[{]|[)\]}]$", "")
+    items = F.filter(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", "")), lambda x: x != "")
+    return F.when(code == "LEGACY_COLLECTION", F.to_json(items)).when(code == "WRONG_COLLECTION_TYPE", F.to_json(F.array(F.trim(value))))
+
+
+def repair_plan(found: DataFrame) -> DataFrame:
+    """note_id, repairs, plan_hash: what can be repaired in each note, and a hash that tells one plan from
+    another. A note has as many rows as it has fields."""
+    rows = found.withColumn("new", replacement(F.col("code"), F.col("value"))).where("new is not null")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("field", "new"))), lambda x: F.concat_ws("=", x["field"], x["new"]))
+    return rows.groupBy("note_id").agg(F.count(F.lit(1)).alias("repairs"), F.sha2(F.array_join(lines, "\n"), 256).alias("plan_hash"))

@@ -205,3 +205,24 @@ def current_per_project(compacts: DataFrame) -> DataFrame:
     """compacts with status: of a project's the newest is CURRENT, all others are SUPERSEDED."""
     newest = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("updated_at"), "id"))
     return compacts.withColumn("status", F.when(newest == 1, "CURRENT").otherwise("SUPERSEDED"))
+
+
+#: What a context's scope and status may be (fixed values).
+SCOPES, STATUSES = ["GLOBAL", "PROJECT", "AGENT", "USER", "SESSION"], ["active", "current", "saved", "draft", "archived", "superseded"]
+
+
+def context_of(notes: DataFrame) -> DataFrame:
+    """context_id, scope, kind, created_at of notes as contexts: the scope stated, else by the identity at
+    hand; the kind stated, else that of the note; times fall back to when the note was read."""
+    scope = effective_scope(F.col("scope"), F.lit("note"), F.col("project"))
+    kind = F.upper(F.coalesce("kind", "note_type"))
+    return notes.select(F.concat(F.lit("note:"), "note_id").alias("context_id"), scope.alias("scope"), kind.alias("kind"), F.coalesce("created_at", "indexed_at").alias("created_at"))
+
+
+def context_error(scope: Column, status: Column, project: Column, created_at: Column) -> Column:
+    """The first thing that is wrong with a context's front matter; null where nothing is."""
+    name, state = F.upper(F.trim(scope)), F.lower(F.trim(status))
+    return (
+        F.when(F.coalesce(name, F.lit("")) == "", "SCOPE_REQUIRED").when(~name.isin(SCOPES), "SCOPE_INVALID").when(~F.coalesce(state, F.lit("active")).isin(STATUSES), "STATUS_INVALID")
+        .when((name == "PROJECT") & (F.coalesce(F.trim(project), F.lit("")) == ""), "PROJECT_REQUIRED").when(created_at.isNotNull() & F.try_to_timestamp(created_at).isNull(), "TIMESTAMP_INVALID")
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mnemospark.operators.rows import with_running_sum
 
 INTEGER = re.compile(r"[+-]?(?:0|[1-9][0-9]*)\Z")
-FLOAT = re.compile(r"[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
+FLOAT = re.compile(r"[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+|[eE][+-]?[0-9]+)\Z")
 HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#*)?[ \t]*\Z")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|%%.*?(?:%%|\Z)|(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
@@ -35,10 +35,11 @@ def scan(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFr
 
 
 def scalar(raw: str) -> tuple[str, str | None]:
-    """Kind and lexeme of a front-matter value."""
+    """Kind and value of a front-matter value. Numbers have no leading zeros, and either a fraction or an
+    exponent; within single quotes two stand for one."""
     raw = raw.strip()
     if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"":
-        return "string", raw[1:-1]
+        return "string", raw[1:-1].replace("''", "'") if raw[0] == "'" else raw[1:-1]
     if raw in ("", "~") or raw.lower() == "null":
         return "null", None
     if raw.lower() in ("true", "false"):
@@ -51,51 +52,74 @@ def scalar(raw: str) -> tuple[str, str | None]:
 
 
 def inline_items(raw: str) -> list[str]:
-    """The items of [a, 'b, c', [d]]: commas within quotes and brackets don't count."""
-    items, quote, depth, begin = [], "", 0, 1
-    for i, c in enumerate(raw[1:-1], 1):
+    """The items of [a, 'b, c', [d]]: commas within quotes and brackets don't count, and a quote after a
+    backslash ends nothing. Items may be empty; a list of white space has none."""
+    inner = raw[1:-1]
+    if not inner.strip():
+        return []
+    items, quote, depth, begin, skip = [], "", 0, 0, False
+    for i, c in enumerate(inner):
         if quote:
-            quote = "" if c == quote else quote
+            quote = "" if c == quote and not skip else quote
+            skip = c == "\\" and not skip
         elif c in "'\"":
-            quote = c
-        elif c in "[{":
+            quote, skip = c, False
+        elif c in "[{(":
             depth += 1
-        elif c in "]}":
-            depth -= 1
+        elif c in "]})":
+            depth = max(depth - 1, 0)
         elif c == "," and not depth:
-            items.append(raw[begin:i])
+            items.append(inner[begin:i].strip())
             begin = i + 1
-    items.append(raw[begin:-1])
-    return [x.strip() for x in items if x.strip()]
+    return [*items, inner[begin:].strip()]
+
+
+def front_matter(lines: list[str]) -> list[dict] | None:
+    """key, kind, values of the entries between the marks; None where a key stands twice.
+
+    Only lines without indent open an entry. One without a value opens a list, whose items may be
+    indented; any other line of an entry ends it. Empty lines and # lines are passed over."""
+    entries: list[dict] = []
+    open_: list | None = None
+    for raw in lines:
+        line, stripped = raw.rstrip("\r\n"), raw.strip()
+        if not stripped or stripped.startswith("#"):
+            continue
+        if open_ is not None and stripped.startswith("-"):
+            open_.append(scalar(stripped[1:])[1])
+            continue
+        if line != line.lstrip():
+            continue
+        open_ = None
+        key, colon, value = (x.strip() for x in line.partition(":"))
+        if not colon or not key:
+            continue
+        if any(e["key"] == key for e in entries):
+            return None
+        if value == "":
+            open_ = []
+            entries.append({"key": key, "kind": "list", "values": open_})
+        elif value[0] == "[" and value[-1] == "]":
+            entries.append({"key": key, "kind": "list", "values": [scalar(x)[1] for x in inline_items(value)]})
+        else:
+            kind, lexeme = scalar(value)
+            entries.append({"key": key, "kind": kind, "values": [lexeme]})
+    return entries
 
 
 def analyse(text: str) -> dict:
-    """Front matter (key, kind, values), body, headings (level, text, line) and error of a note."""
+    """Front matter (key, kind, values), body, headings (level, text, line) and error of a note. A front
+    matter that isn't closed, or has a key twice, is an error: the note then has no entries."""
     lines = text.splitlines(keepends=True)
     entries: list[dict] = []
     error, body = None, text
     if lines and lines[0].strip() == "---":
         close = next((i for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), None)
-        if close is None:
+        found = None if close is None else front_matter(lines[1:close])
+        if found is None:
             error = "FRONTMATTER_PARSE_ERROR"
         else:
-            body = "".join(lines[close + 1 :])
-            for raw in lines[1:close]:
-                line = raw.rstrip()
-                if line.startswith("- ") and entries and entries[-1]["kind"] in ("open", "list"):
-                    entries[-1]["kind"] = "list"
-                    entries[-1]["values"].append(scalar(line[2:])[1])
-                elif line[:1] not in ("", " ", "\t", "#", "-") and ":" in line:
-                    key, value = (x.strip() for x in line.split(":", 1))
-                    if any(e["key"] == key for e in entries):
-                        error = "FRONTMATTER_DUPLICATE_KEY"
-                    if value[:1] == "[" and value[-1:] == "]":
-                        entries.append({"key": key, "kind": "list", "values": [scalar(x)[1] for x in inline_items(value)]})
-                    else:
-                        kind, lexeme = scalar(value)
-                        entries.append({"key": key, "kind": "open" if value == "" else kind, "values": [] if value == "" else [lexeme]})
-            for e in entries:
-                e["kind"] = "null" if e["kind"] == "open" else e["kind"]
+            entries, body = found, "".join(lines[close + 1 :])
     headings, fence = [], ""
     for i, raw in enumerate(body.splitlines(), 1):
         mark = FENCE.match(raw)
@@ -187,3 +211,75 @@ def rendered(df: DataFrame, fields: list[str], body: str) -> DataFrame:
     """relative_path and text: rows as notes, front matter first, ready for a text or Parquet writer."""
     head = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in fields]
     return df.select("relative_path", F.concat_ws("\n", F.lit("---"), *head, F.lit("---"), F.lit(""), F.coalesce(F.col(body), F.lit(""))).alias("text"))
+
+
+def references(found: DataFrame) -> DataFrame:
+    """note_id, source_path, target_note_id, target_path, relation, source_kind, confidence, edge_id of the
+    links of each note. found: note_id, source_path, place (their order), target_note_id, target_path,
+    relation, source_kind. Links to the note itself go; of links that agree in target, relation and
+    kind the first counts; those of the front matter (confidence 1) stand before those of the body (0.5)."""
+    nil = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = found.where(~(nil("target_path") == F.col("source_path")) & ~F.coalesce(F.col("target_note_id") == F.col("note_id"), F.lit(False)))
+    same = ["note_id", "source_path", "target_path", "relation", "source_kind", "target_note_id"]
+    first = rows.groupBy(*same).agg(F.min(F.struct(F.col("source_kind") != "frontmatter", "place")).alias("_p"))
+    material = F.concat_ws("|", "note_id", "source_path", nil("target_note_id"), nil("target_path"), "relation", "source_kind")
+    return first.select(*same, F.when(F.col("source_kind") == "frontmatter", 1.0).otherwise(0.5).alias("confidence"), F.sha2(material, 256).alias("edge_id"), "_p.place")
+
+
+#: Relations of front-matter fields (fixed values); other fields link nothing.
+RELATION_FIELDS = {"source_ref_links": "cites", "source_refs": "cites"} | {r: r for r in "derived_from related supersedes duplicates supports extends contradicts contains promotes_to blocks resolves".split()}
+
+
+def relation_targets(field: str, raw: str | None) -> list[dict]:
+    """The targets of a relation field: a path, a JSON list of them, or objects with path or target_path, id
+    or target_note_id, and their own relation; source_refs also by detail_path and source_id."""
+    import json
+
+    relation = RELATION_FIELDS.get(field)
+    if relation is None or raw is None or not raw.strip():
+        return []
+    try:
+        value = json.loads(raw)
+    except ValueError:
+        value = raw.strip()
+    out = []
+    for item in value if isinstance(value, list) else [value]:
+        if isinstance(item, str) and item.strip():
+            out.append({"relation": relation, "target_path": item.strip(), "target_note_id": None})
+        elif isinstance(item, dict):
+            more = ("detail_path", "source_id") if field == "source_refs" else ()
+            path = next((item[k] for k in ("path", "target_path", *more[:1]) if isinstance(item.get(k), str) and item[k].strip()), None)
+            note = next((item[k] for k in ("id", "target_note_id", *more[1:]) if isinstance(item.get(k), str) and item[k].strip()), None)
+            if path or note:
+                out.append({"relation": item.get("relation") or relation, "target_path": path, "target_note_id": note})
+    return out
+
+
+def expanded_relations(fields: DataFrame) -> DataFrame:
+    """note_id, place, relation, target_path, target_note_id for each target of the relation fields of notes
+    (note_id, field, value). A note with source_ref_links has its source_refs left out."""
+
+    @F.pandas_udf("array<struct<relation:string,target_path:string,target_note_id:string>>")
+    def targets(field: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([relation_targets(f, v) for f, v in zip(field, value, strict=True)])
+
+    linked = fields.where("field = 'source_ref_links' and trim(value) != ''").select("note_id", F.lit("source_refs").alias("field")).distinct()
+    rows = fields.join(linked, ["note_id", "field"], "left_anti").where(F.col("field").isin(list(RELATION_FIELDS)))
+    return rows.select("note_id", "field", F.posexplode(targets("field", "value")).alias("place", "t")).select("note_id", "field", "place", "t.relation", "t.target_path", "t.target_note_id")
+
+
+#: Texts that look like a collection written out by a program are no values (fixed pattern).
+LEGACY = r"^(\(.*\)|\[.*\]|\{.*\}|(set|frozenset)\(.*\))$"
+
+
+def normalised_list(values):
+    """A metadata list: items trimmed, empty ones and repeats left out; null where one looks like a legacy
+    collection. A null list is empty."""
+    items = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x))
+    return F.when(~F.exists(items, lambda x: F.coalesce(x.rlike("(?s)" + LEGACY), F.lit(False))), F.array_distinct(F.filter(items, lambda x: F.coalesce(x != "", F.lit(False)))))
+
+
+def normalised_boolean(value):
+    """true or false in any case, white space around it aside; null for anything else."""
+    flat = F.lower(F.trim(value))
+    return F.when(flat == "true", True).when(flat == "false", False)

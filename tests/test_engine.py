@@ -39,7 +39,12 @@ def test_analysis():
     assert kinds["ok"] == ("boolean", ["true"]) and kinds["none"] == ("null", [None])
     assert [(h["level"], h["text"]) for h in a["headings"]] == [(1, "First"), (2, "Second")]
     assert markdown.analyse("---\nx: 1\n")["error"] == "FRONTMATTER_PARSE_ERROR"
-    assert markdown.analyse("---\nx: 1\nx: 2\n---\n")["error"] == "FRONTMATTER_DUPLICATE_KEY"
+    assert markdown.analyse("---\nx: 1\nx: 2\n---\n")["error"] == "FRONTMATTER_PARSE_ERROR"
+    text = "---\ntags:\n  - a\n  - 'it''s'\n  nested: no\n  -\nempty:\nx: (a, b)\ny: [(a, b), 'c\\', d', , \"q\"]\nf: 1.5e3\ng: 1e3\nh: -0.5\nnone: []\n---\n"
+    kinds = {e["key"]: (e["kind"], e["values"]) for e in markdown.analyse(text)["frontmatter"]}
+    assert kinds["tags"] == ("list", ["a", "it's", None]) and kinds["empty"] == ("list", []) and kinds["x"] == ("string", ["(a, b)"])
+    assert kinds["y"] == ("list", ["(a, b)", "c\\', d", None, "q"]) and kinds["none"] == ("list", [])
+    assert [kinds[k][0] for k in "fgh"] == ["string", "float", "float"]
 
 
 def test_links_and_chunks():

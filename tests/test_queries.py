@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mnemospark.plans import search  # noqa: F401  (registers its queries)
+from mnemospark.plans import etl, search  # noqa: F401  (they register their queries)
 from mnemospark.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
