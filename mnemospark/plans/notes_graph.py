@@ -12,7 +12,7 @@ from mnemospark.session import table
 
 NOTES = """note as (select 'c' || c_custkey as note_id, 'c/c' || c_custkey || '.md' as relative_path, c_mktsegment || ' ' || c_nationkey as title, c_nationkey::varchar as project, [c_mktsegment] as tags, case when c_acctbal < -500 then 'stale' when c_acctbal > 9500 then 'error' else 'indexed' end as index_status from customer
   union all select 's' || s_suppkey, 's/s' || s_suppkey || '.md', s_name, s_nationkey::varchar, [], 'indexed' from supplier)"""
-LINKS = """link as (select 'c' || o_custkey || '>s' || l_suppkey || ':' || case l_returnflag when 'A' then 'supersedes' when 'N' then 'contains' else 'wikilink' end as edge_id, 'c' || o_custkey as src, 's' || l_suppkey as dst, case l_returnflag when 'A' then 'supersedes' when 'N' then 'contains' else 'wikilink' end as relation from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3, 4)"""
+LINKS = """link as materialized (select 'c' || o_custkey || '>s' || l_suppkey || ':' || case l_returnflag when 'A' then 'supersedes' when 'N' then 'contains' else 'wikilink' end as edge_id, 'c' || o_custkey as src, 's' || l_suppkey as dst, case l_returnflag when 'A' then 'supersedes' when 'N' then 'contains' else 'wikilink' end as relation from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3, 4)"""
 
 
 def _notes(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,17 +70,18 @@ def batches(spark, sf):
     return P.batches(_links(spark, sf).select("edge_id"), ["edge_id"], 1000)
 
 
-WALK = f"""{LINKS}, step as (select distinct src, dst from link where relation in ('supersedes', 'wikilink') union select distinct dst, src from link where relation in ('supersedes', 'wikilink')),
-one as (select dst as id, 1 as depth, 1 + row_number() over (order by dst) as place from step where src = 's1'),
-two as (select id, 2 as depth, (select count(*) + 1 from one) + row_number() over (order by p, id) as place from (select dst as id, min(place) as p from step join one on src = id where dst <> 's1' and dst not in (select id from one) group by 1)),
-walk as (select * from (select 's1' as id, 0 as depth, 1 as place union all from one union all from two) where place <= 300)"""
+WALK = f"""{LINKS}, step as materialized (select distinct src, dst from link where relation in ('supersedes', 'wikilink') union select distinct dst, src from link where relation in ('supersedes', 'wikilink')),
+one as materialized (select dst as id, 1 as depth, 1 + row_number() over (order by dst) as place from step where src = 's1'),
+far as materialized (select dst as id, min(place) as p from step join one on src = one.id where dst <> 's1' group by 1), two as materialized (select far.id, 2 as depth, (select count(*) + 1 from one) + row_number() over (order by p, far.id) as place from far anti join one on one.id = far.id),
+walk as materialized (select * from (select 's1' as id, 0 as depth, 1 as place union all select * from one union all select * from two) where place <= 300),
+beyond as materialized (select count(*) as n from (select distinct step.dst from step join walk on walk.id = step.src) d anti join walk on walk.id = d.dst)"""
 
 
 def _walk(spark: SparkSession, sf: str, start: str = "s1", most: int = 300) -> DataFrame:
     return P.traverse(_notes(spark, sf), _links(spark, sf), start, direction="both", relations=("supersedes", "wikilink"), max_depth=2, max_results=most)
 
 
-@query("g3_traverse", f"with {WALK} select id, depth::int as depth, place::int as place, exists (from step where src in (select id from walk) and dst not in (select id from walk)) as truncated from walk")
+@query("g3_traverse", f"with {WALK} select id, depth::int as depth, place::int as place, beyond.n > 0 as truncated from walk, beyond")
 def traverse(spark, sf):
     return _walk(spark, sf).select("id", "depth", "place", "truncated")
 

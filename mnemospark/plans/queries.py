@@ -292,8 +292,8 @@ def related(spark, sf):
     return graph.related(edges, "s1").withColumn("score", F.round("score", 4))
 
 
-@query("g3_reach", f"""with recursive {EDGES}, e as (select distinct src, dst from edges union select dst, src from edges), r as (select 's1' as id, 0 as depth union select e.dst, depth + 1 from r join e on e.src = r.id where depth < 2)
-select id, min(depth) as depth from r group by 1""")
+@query("g3_reach", f"""with {EDGES}, p as (select distinct src, dst from edges), e as (select src, dst from p union select dst, src from p), one as (select distinct dst as id from e where src = 's1'),
+two as (select distinct dst as id from e where src in (from one) and dst <> 's1' and dst not in (from one)) select 's1' as id, 0 as depth union all select id, 1 from one union all select id, 2 from two""")
 def reach(spark, sf):
     _, edges = _graph(spark, sf)
     return graph.reach(edges, "s1", 2, directed=False)
