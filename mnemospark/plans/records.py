@@ -75,7 +75,7 @@ def exists_in_list(spark, sf):
 @query("j5_hydration", "with r as (select o_custkey as k, row_number() over (order by max(o_totalprice) desc, o_custkey) as rank from orders group by 1 qualify rank <= 100) select c_custkey, c_name, rank from customer join r on k = c_custkey where c_nationkey < 20")
 def hydration(spark, sf):
     best = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top")).orderBy(F.desc("top"), "c_custkey").limit(100)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("top"), "c_custkey")))
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("top"), "c_custkey")).cast("long"))
     return records.hydrated(ranked, table(spark, sf, "customer").where("c_nationkey < 20"), "c_custkey").select("c_custkey", "c_name", "rank")
 
 
