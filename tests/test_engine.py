@@ -173,3 +173,39 @@ def test_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8)], "src int, dst int")
     assert {(r["id"], r["cycle"]) for r in graph.cycles(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
     assert graph.cycles(edges.where("src = 0")).count() == 0
+
+
+def test_plan_fingerprint(spark):
+    from mnemospark.operators import manifest
+
+    plan = spark.createDataFrame([(i, f"a{i % 3}", None) for i in range(40)], "path long, action string, more string")
+    one, two = (manifest.plan_fingerprint(p).first() for p in (plan, plan.repartition(5).orderBy("action")))
+    assert one == two and one["rows"] == 40
+    assert manifest.plan_fingerprint(plan.where("path > 0")).first()["fingerprint"] != one["fingerprint"]
+
+
+def test_canonical_names(spark):
+    from mnemospark.operators import projection
+
+    names = spark.createDataFrame([("Cafe\u0301",), ("CAF\u00c9",), ("stra\u00dfe",), ("STRASSE",)], "n string")
+    got = [r[0] for r in names.select(projection.folded(F.col("n"))).collect()]
+    assert got[0] == got[1] and got[2] == got[3] == "strasse"
+
+
+def test_brief_budget(spark):
+    from mnemospark.operators import briefs
+
+    rows_ = [("q", 1, "h", "intro\n## Next Action\ngo", 0.9, 0), ("q", 2, "h", "x" * 50, 0.8, 1), ("q", 3, "h", "y", 0.7, 2)]
+    m = spark.createDataFrame(rows_, "query string, context int, content_hash string, content string, score double, position int")
+    had = m.where("context = 3").select("query", "context", "content_hash")
+    got = {r["context"]: r for r in briefs.brief(m, had, byte_budget=40, record_budget=9).collect()}
+    assert got[1]["content"] == "#### Next Action\ngo\nintro" and got[2]["content_bytes"] == 40 - got[1]["content_bytes"] and got[3]["state"] == "already_delivered"
+
+
+def test_odd_calendars(spark):
+    from mnemospark.operators import calendar
+
+    p = spark.createDataFrame([("f", "2024-01-01", "2024-01-01")], "family string, day string, created string").withColumn("day", F.to_date("day"))
+    with pytest.raises(ValueError):
+        calendar.coverage(p, "2020-01-01", "2024-01-01", "2024-01-01")
+    assert calendar.coverage(p.limit(0), "2024-01-01", "2024-01-05", "2024-01-03").count() == 0
