@@ -43,8 +43,25 @@ def visible(index_status: Column, status: Column, path: Column, wanted: list[str
 
 
 def containing(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
-    """Rows where one of the columns has needle in it, in any case."""
-    return df.where(F.lower(F.concat_ws("\n", *columns)).contains(needle.lower()))
+    """Rows where one of the columns has needle in it, in any case; upper case first, so that a sharp s
+    is ss as well."""
+    flat = lambda c: F.lower(F.upper(c))
+    return df.where(flat(F.concat_ws("\n", *columns)).contains(flat(F.lit(needle))))
+
+
+def note_filter(*, types=(), not_types=(), statuses=(), not_statuses=(), not_prefixes=(), project: str | None = None, tags=()) -> Column:
+    """What a search keeps of notes (note_type, status, relative_path, project, tags): each given filter
+    must hold, none given keeps all. An empty status counts as active where statuses are asked for."""
+    flat = lambda values: [v.strip().lower() for v in values]
+    state = F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("active"))
+    tests = [F.col("note_type").isin(list(types))] if types else []
+    tests += [~F.col("note_type").isin(list(not_types))] if not_types else []
+    tests += [state.isin(flat(statuses))] if statuses else []
+    tests += [~F.lower("status").isin(flat(not_statuses))] if not_statuses else []
+    tests += [~F.col("relative_path").startswith(p) for p in not_prefixes]
+    tests += [F.col("project") == project] if project is not None else []
+    tests += [has_tags(F.col("tags"), list(tags))] if tags else []
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def valid_at(df: DataFrame, moment: Column, start: str, end: str) -> DataFrame:

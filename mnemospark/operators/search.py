@@ -153,10 +153,11 @@ def _left(at: list[tuple[int, int]], place: int) -> int:
     return bisect_left(at, (place, -1))
 
 
-def note_search(notes: DataFrame, query: str, k: int, *, title: str = "title", aliases: str = "aliases", text: str = "text", modified: str = "modified_at", key: str = "note_id") -> DataFrame:
-    """key, score of the k best notes: the lexical score of the text, 1 more where the title is the query
+def note_search(notes: DataFrame, query: str, k: int, *, title: str = "title", aliases: str = "aliases", text: str = "text", modified: str = "modified_at", key: str = "note_id", keep: Column | None = None) -> DataFrame:
+    """key, score of the k best notes (of those that keep, such as filters.note_filter(), accepts): the lexical score of the text, 1 more where the title is the query
     and 1 more where an alias is. Candidates are found by text, title or alias. A query without words
     gives the notes modified last, with score 0."""
+    notes = notes if keep is None else notes.where(keep)
     if not retrieval.query_tokens(query):
         return notes.orderBy(F.desc(modified), key).limit(k).select(key, F.lit(0.0).alias("score"))
     flat = lambda c: F.lower(single_spaced(c))

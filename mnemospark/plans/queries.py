@@ -72,7 +72,7 @@ def confidence(spark, sf):
 @query("q10_retrieval_metrics", """with hits as (select o_custkey as case_id, o_orderkey as item, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 5),
 expected as (select o_custkey as case_id, o_orderkey as item from orders where o_orderstatus = 'F'),
 found as (select * from expected left join hits using (case_id, item))
-select case_id, round(count(*) filter (rank <= 1) / count(*), 6)::double as recall_1, round(count(*) filter (rank <= 3) / count(*), 6)::double as recall_3, round(count(*) filter (rank <= 5) / count(*), 6)::double as recall_5,
+select case_id, coalesce(bool_or(rank <= 1), false)::int::double as recall_1, coalesce(bool_or(rank <= 3), false)::int::double as recall_3, coalesce(bool_or(rank <= 5), false)::int::double as recall_5,
   round(coalesce(max(1.0 / rank), 0), 6)::double as rr, round(coalesce(sum(case when rank <= 5 then 1 / log2(rank + 1) else 0 end), 0) / list_sum(list_transform(range(1, least(count(*), 5)::bigint + 1), lambda i: 1 / log2(i + 1))), 6)::double as ndcg_5
 from found group by case_id""")
 def retrieval_metrics(spark, sf):
@@ -85,6 +85,53 @@ def retrieval_metrics(spark, sf):
     return retrieval.retrieval_metrics(hits, expected, "case_id", "item")
 
 
+CLASSES = ["TEMPORAL_CURRENT_STATE", "SUPERSESSION", "EXPERIENTIAL_RECALL", "PROCEDURAL_RECALL", "WRONG_PREMISE", "CONFLICT_PRESERVATION", "MULTI_HOP_GRAPH", "CROSS_LANGUAGE", "EXACT_TITLE", "SEMANTIC"]
+CASES = f"""cases as (select c_custkey as "case", {CLASSES}[c_nationkey % 10 + 1] as query_class, c_acctbal < 0 as abstains from customer),
+ranked as (select o_custkey as "case", o_orderpriority, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank, o_orderstatus from orders),
+t as (select o_custkey as "case", count(*) filter (o_orderstatus = 'F') as e, count(*) filter (o_orderstatus = 'P') as f from orders group by 1),
+h as (select "case", count(*) as n, min(rank) filter (o_orderstatus = 'F') as r, count(*) filter (o_orderstatus = 'F' and rank <= 5) as g, count(*) filter (o_orderstatus = 'P' and rank <= 5) as b,
+  coalesce(sum(1 / log2(rank + 1)) filter (o_orderstatus = 'F' and rank <= 5), 0) as gain, bool_or(o_orderpriority = '1-URGENT') as urgent from ranked where rank <= 8 group by 1),
+x as (select cases.*, coalesce(e, 0) as e, coalesce(f, 0) as f, coalesce(n, 0) as n, r, coalesce(g, 0) as g, coalesce(b, 0) as b, coalesce(gain, 0) as gain, coalesce(urgent, false) as urgent from cases left join t using ("case") left join h using ("case")),
+y as (select *, coalesce(r <= 1, false)::int::double as r1, coalesce(r <= 3, false)::int::double as r3, coalesce(r <= 5, false)::int::double as r5 from x),
+m as (select "case", query_class, case when not abstains then r1 end as recall_1, case when not abstains then r3 end as recall_3, case when not abstains then r5 end as recall_5, case when not abstains then round(coalesce(1.0 / r, 0), 6)::double end as rr,
+  case when not abstains and e > 0 then round(gain / list_sum(list_transform(range(1, least(e, 5)::bigint + 1), lambda i: 1 / log2(i + 1))), 6)::double end as ndcg_5,
+  case when f > 0 then round(b / greatest(1, least(n, 5)), 6)::double end as obsolete_rate,
+  case when query_class = 'TEMPORAL_CURRENT_STATE' then (coalesce(r = 1, false) and b = 0)::int::double end as temporal_correctness, case when query_class = 'SUPERSESSION' then (b > 0)::int::double end as superseded_leakage,
+  case when query_class in ('TEMPORAL_CURRENT_STATE', 'SUPERSESSION') then round(g / greatest(1, g + b), 6)::double end as current_precision,
+  case when query_class = 'EXPERIENTIAL_RECALL' then r3 end as experiential_recall, case when query_class = 'PROCEDURAL_RECALL' then r3 end as procedural_recall, case when query_class = 'CROSS_LANGUAGE' then r3 end as cross_language,
+  case when query_class = 'WRONG_PREMISE' then (r3 = 1 and b = 0)::int::double end as wrong_premise, case when query_class = 'CONFLICT_PRESERVATION' then (g < 2)::int::double end as conflict_collapse,
+  case when abstains then (n > 0)::int::double else (r is null or b > 0)::int::double end as wrong_memory, case when abstains then (n = 0)::int::double end as abstention,
+  case when query_class = 'MULTI_HOP_GRAPH' then (g >= 2 and urgent and n >= 3)::int::double end as multi_hop from y)"""
+
+
+def _case_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as cases: their eight dearest orders are the hits, finished orders are expected, pending ones forbidden."""
+    from pyspark.sql.window import Window
+
+    kind = F.get(F.array(*map(F.lit, CLASSES)), F.col("c_nationkey") % 10)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("item"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    top = F.row_number().over(Window.partitionBy("case").orderBy(F.desc("o_totalprice"), "item"))
+    hits = o.withColumn("rank", top).where("rank <= 8")
+    walks = hits.groupBy("case").agg(F.collect_set("o_orderpriority").alias("seen"), F.count(F.lit(1)).alias("seen_distance"))  # eight rows a case at most
+    cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("case"), kind.alias("query_class"), (F.col("c_acctbal") < 0).alias("abstains"), F.lit(2).alias("least"), F.array(F.lit("1-URGENT")).alias("required"), F.lit(3).alias("least_distance"))
+    cases = cases.join(walks, "case", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).fillna(0, ["seen_distance"])
+    truth = o.where("o_orderstatus in ('F', 'P')").select("case", "item", (F.col("o_orderstatus") == "F").alias("expected"))
+    return retrieval.case_metrics(cases, truth, hits.select("case", "item", "rank"))
+
+
+@query("q10_case_metrics", f"with {CASES} select * from m")
+def case_metrics(spark, sf):
+    return _case_metrics(spark, sf)
+
+
+MEANS = ["recall_1", "recall_3", "recall_5", "rr", "ndcg_5", "obsolete_rate", "temporal_correctness", "superseded_leakage", "current_precision", "experiential_recall", "procedural_recall", "cross_language", "wrong_premise", "conflict_collapse", "wrong_memory", "abstention", "multi_hop"]
+
+
+@query("q10_mean_metrics", f"with {CASES} select query_class, count(*) as cases, {', '.join(f'round(avg({c}), 6)::double as {c}' for c in MEANS)} from m group by 1")
+def mean_metrics(spark, sf):
+    return retrieval.mean_metrics(_case_metrics(spark, sf), "query_class")
+
+
 # -- text ----------------------------------------------------------------------------------------------
 
 @query("d8_token_count", rf"select doc_id, len(regexp_extract_all(text, '{WORDS}'))::int as tokens from documents")
@@ -251,6 +298,17 @@ def delta_read(spark, sf):
     return change_log.delta(table(spark, sf, "events"), 500, sequence="event_id").select("event_id", "event_type", "has_more")
 
 
+ENTRY = """'{"event_id":' || event_id || ',"event_type":"' || event_type || '"}'"""
+
+
+@query("t1_delta_page", f"""with n as (select event_id, event_type, row_number() over (order by event_id) as r, sum(strlen({ENTRY})) over (order by event_id) as b, count(*) over () as total from events where event_id > 500),
+page as (select * from n where r <= 64 and (r = 1 or b <= 2000))
+select event_id, event_type, (select count(*) from page) < total as has_more, translate(to_base64(encode('{{"v":1,"scope":"context-change-log","last_sequence":' || (select max(event_id) from page) || '}}')), '+/', '-_') as next_cursor from page""")
+def delta_page(spark, sf):
+    log = table(spark, sf, "events").select("event_id", "event_type")
+    return change_log.delta_page(log, change_log.cursor_token(500), sequence="event_id", most_bytes=2000)
+
+
 @query("t7_windowed_counts", "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def windowed_counts(spark, sf):
     return change_log.windowed_counts(table(spark, sf, "events"), "ts", ["event_type"], "value", "1 hour").withColumn("total", F.round("total", 4))

@@ -106,6 +106,17 @@ def note_rank(spark, sf):
     return search.note_search(notes, " Red  RING", 30).select("note_id", F.round("score", 6).alias("score"))
 
 
+@query("r4_filtered_notes", r"""select note_id, round(a * 0.1 / (1 + a * 0.1), 6)::double as score from (select p_partkey as note_id, len(regexp_extract_all(lower(p_name || ' ' || p_type), '(^|[^\p{L}\p{N}_])r')) as a from part
+  where p_type in ('ECONOMY', 'SMALL') and p_size > 10 and not starts_with(p_brand, 'Brand#1') and p_size % 2 = 0) where a > 0 order by a desc, note_id limit 40""")
+def filtered_notes(spark, sf):
+    p = table(spark, sf, "part")
+    status = F.when(F.col("p_size") <= 10, "Draft").when(F.col("p_size") <= 30, " ").otherwise("ACTIVE")
+    notes = p.select(F.col("p_partkey").alias("note_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("aliases"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_size").alias("modified_at"),
+                     F.col("p_type").alias("note_type"), status.alias("status"), F.col("p_brand").alias("relative_path"), F.lit("x").alias("project"), F.array(F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd")).alias("tags"))
+    keep = filters.note_filter(types=["ECONOMY", "SMALL"], statuses=["Active "], not_prefixes=["Brand#1"], project="x", tags=["even"])
+    return search.note_search(notes, "r", 40, keep=keep).select("note_id", F.round("score", 6).alias("score"))
+
+
 @query("r5_recent_notes", "select p_partkey as note_id, 0.0::double as score from part order by p_size desc, p_partkey limit 10")
 def recent_notes(spark, sf):
     notes = table(spark, sf, "part").select(F.col("p_partkey").alias("note_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("aliases"), F.col("p_type").alias("text"), F.col("p_size").alias("modified_at"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def fixed_window(calls: DataFrame, subject: str, time: str, call: str, limit: int, seconds: int) -> DataFrame:
@@ -15,16 +16,18 @@ def fixed_window(calls: DataFrame, subject: str, time: str, call: str, limit: in
     call that no window holds and lasts so many seconds; its first limit calls are allowed.
     retry_after: whole seconds until the window ends, at least 1.
 
-    Windows aren't aligned to a clock, so where one begins depends on all before: the calls of a
-    subject are read in order, batch by batch, and only the open window is carried on. A subject
-    with very many calls takes time in one task, but no memory."""
+    Windows aren't aligned to a clock, so where one begins depends on those before. But after a pause
+    of a window's length one begins whatever came before, so a subject's calls are cut there and its
+    parts are dealt to tasks. The pauses are found among the first and last calls of each stretch of
+    that length, a row each. The calls of a part are read in order, batch by batch, and only the open
+    window is carried on: calls without a pause take time in one task, but no memory."""
     if limit < 1 or seconds < 1:
         raise ValueError("limit and seconds must be positive")
     width = seconds * 1_000_000
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: tuple = (None, 0, 0)  # subject, begin of its window, calls in it so far
-        for batch in batches:
+        for batch in batches:  # a part's first call is beyond the window of the part before, so parts need no mark
             t, who = batch["_t"].to_numpy(), batch[subject].to_numpy()
             count, ends = np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=np.int64)
             i = 0
@@ -42,5 +45,11 @@ def fixed_window(calls: DataFrame, subject: str, time: str, call: str, limit: in
 
     kinds = dict(calls.dtypes)
     rows = calls.where(F.col(subject).isNotNull() & F.col(time).isNotNull()).select(subject, call, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
-    ordered = rows.repartition(subject).sortWithinPartitions(subject, "_t", call)
+    rows = rows.withColumn("_d", F.expr(f"_t div {width}"))  # as it rounds, so near 1970 a stretch is twice as long: a pause is found by its length
+    stretches = rows.groupBy(subject, "_d").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    order = Window.partitionBy(subject).orderBy("_d")
+    pause = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) >= width, F.lit(True)).cast("int")
+    parts = stretches.withColumn("_pause", pause).select(F.col(subject).alias("_s"), F.col("_d").alias("_e"), F.sum("_pause").over(order).alias("_part"))
+    rows = rows.join(parts, (F.col(subject) == F.col("_s")) & (F.col("_d") == F.col("_e")))
+    ordered = rows.select(subject, call, "_t", "_part").repartition(subject, "_part").sortWithinPartitions(subject, "_t", call)
     return ordered.mapInPandas(decide, f"{subject} {kinds[subject]}, {call} {kinds[call]}, allowed boolean, remaining long, retry_after long")

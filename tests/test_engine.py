@@ -169,6 +169,54 @@ def test_rate_limit(spark):
     assert got == {0: (True, 1, 10), 1: (True, 0, 5), 2: (False, 0, 1), 3: (True, 1, 10), 4: (True, 1, 10), 9: (True, 1, 10)}
 
 
+def test_rate_limit_against_a_loop(spark):
+    import random
+
+    draw = random.Random(5)
+    calls = sorted({(draw.choice("ab"), draw.randrange(-400, 4000) if draw.random() < 0.5 else draw.randrange(900, 1100)) for _ in range(300)})
+    want, begin, n = {}, {}, {}
+    for s, t in calls:
+        if s not in begin or t >= begin[s] + 30:
+            begin[s], n[s] = t, 0
+        n[s] += 1
+        want[s, t] = (n[s] <= 2, begin[s] + 30 - t)
+    df = spark.createDataFrame(calls, "s string, n int").withColumn("t", F.timestamp_seconds("n")).repartition(3)
+    got = limits.fixed_window(df, "s", "t", "n", limit=2, seconds=30).collect()
+    assert {(r["s"], r["n"]): (r["allowed"], r["retry_after"]) for r in got} == want and len(got) == len(calls)
+
+
+def test_delta_page(spark):
+    log = spark.createDataFrame([(i, "x" * i) for i in range(1, 9)], "sequence int, c string")
+    page = change_log.delta_page(log, None, most=5).orderBy("sequence").collect()
+    assert [r["sequence"] for r in page] == [1, 2, 3, 4, 5] and page[0]["has_more"] and change_log.cursor_place(page[0]["next_cursor"]) == 5
+    rest = change_log.delta_page(log, page[0]["next_cursor"], most=5).collect()
+    assert sorted(r["sequence"] for r in rest) == [6, 7, 8] and not rest[0]["has_more"] and rest[0]["next_cursor"] == change_log.cursor_token(8)
+    assert [r["sequence"] for r in change_log.delta_page(log, None, most_bytes=1).collect()] == [1]  # the first always comes
+    assert change_log.delta_page(log, change_log.cursor_token(8)).count() == 0
+    for bad, error in (("?", ValueError), (change_log.base64.urlsafe_b64encode(b"{}").decode(), ValueError), (change_log.base64.urlsafe_b64encode(b'{"v":2,"scope":"context-change-log","last_sequence":1}').decode(), LookupError)):
+        with pytest.raises(error):
+            change_log.delta_page(log, bad)
+
+
+def test_lexical_match_at_word_begins(spark):
+    docs = spark.createDataFrame([(1, "The theme, bathe the-the"), (2, "other"), (3, None), (4, ""), (5, "thethe the"), (6, "Éthe")], "k int, t string")
+    assert {r["k"]: r["hits"] for r in retrieval.lexical_match(docs, "t", "THE").collect()} == {1: 4, 5: 2}
+    assert retrieval.lexical_match(docs, "t", " ?").count() == 0
+
+
+def test_case_metrics(spark):
+    cases = spark.createDataFrame([("a", "MULTI_HOP_GRAPH", False, 2, ["r"], ["r", "q"], 2, 2), ("b", "SUPERSESSION", False, 1, [], [], 0, 0), ("c", "X", True, 0, [], [], 0, 0), ("d", "WRONG_PREMISE", False, 1, [], [], 0, 0)], "case string, query_class string, abstains boolean, least int, required array<string>, seen array<string>, least_distance int, seen_distance int")
+    truth = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 1, True), ("b", 9, False), ("d", 1, True)], "case string, item int, expected boolean")
+    hits = spark.createDataFrame([("a", 7, 1), ("a", 1, 2), ("a", 2, 6), ("b", 9, 1), ("b", 1, 4)], "case string, item int, rank int")
+    got = {r["case"]: r for r in retrieval.case_metrics(cases, truth, hits).collect()}
+    assert [got["a"][k] for k in ("recall_1", "recall_3", "rr", "multi_hop", "wrong_memory", "obsolete_rate")] == [0.0, 1.0, 0.5, 0.0, 0.0, None]
+    assert [got["b"][k] for k in ("superseded_leakage", "current_precision", "obsolete_rate", "wrong_memory", "recall_5")] == [1.0, 0.5, 0.5, 1.0, 1.0]
+    assert [got["c"][k] for k in ("abstention", "wrong_memory", "recall_1", "rr", "ndcg_5")] == [1.0, 0.0, None, None, None]
+    assert [got["d"][k] for k in ("wrong_premise", "rr", "ndcg_5", "wrong_memory")] == [0.0, 0.0, 0.0, 1.0]
+    means = {r["query_class"]: r for r in retrieval.mean_metrics(retrieval.case_metrics(cases, truth, hits), "query_class").collect()}
+    assert means["X"]["cases"] == 1 and means["X"]["recall_1"] is None and means["X"]["abstention"] == 1.0
+
+
 def test_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (5, 8)], "src int, dst int")
     assert {(r["id"], r["cycle"]) for r in graph.cycles(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
