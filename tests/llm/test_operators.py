@@ -155,6 +155,20 @@ def test_near_duplicates_edge_cases(odd, empty):
     assert by[None, True]["component_id"] is None and by[3, True]["n_shingles"] == 1
 
 
+@pytest.mark.parametrize("union,common", [(360, 288), (35, 28), (370, 315)])
+def test_bands_find_pairs_at_the_threshold(union, common):
+    """Of 3,000 pairs at 0.8 and 0.85 none is without a shared band, and pairs share as many as
+    independent values would: minima and maxima of one permutation can be counted as two."""
+    rng, n = np.random.default_rng(7), 3000
+    grams, left = rng.integers(0, 2**63, (n, union), dtype=np.uint64), common + (union - common) // 2
+    sides = [grams[:, :left], np.concatenate([grams[:, :common], grams[:, left:]], axis=1)]
+    keys = [minhash.band_keys(np.sort(s, axis=1).ravel(), np.full(n, s.shape[1]), minhash.ROWS, minhash.BANDS) for s in sides]
+    shared = (keys[0] == keys[1]).sum(axis=1)
+    p = (common / union) ** minhash.ROWS
+    assert shared.min() > 0
+    assert abs(shared.mean() / (minhash.BANDS * p) - 1) < 0.03 and shared.var() < 1.15 * minhash.BANDS * p * (1 - p)
+
+
 def test_chain_of_links(spark):
     e = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 17 != 16")
     got = {r["node"]: r["root"] for r in minhash.connected(e, "test").collect()}
