@@ -19,19 +19,27 @@ HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|%%.*?(?:%%|\Z)|(?<!`)(`+)(?!`).*?(?<!`)\
 LINK = re.compile(r"(!?)\[\[([^\[\]|#\n]*)(?:#([^\[\]|\n]*))?(?:\|([^\[\]\n]*))?\]\]")
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """relative_path, size, modified_at, text, complete of the visible .md files under root, in path
-    order. With max_bytes only the files that fit, and complete tells whether all did."""
+def scan(spark: SparkSession, root: str, max_bytes: int | None = None, *, max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
+    """relative_path, size, modified_at, text, complete of the visible .md files under root. With limits
+    only the files that fit, in path order: max_bytes in all, max_files, max_file_bytes each (larger ones
+    are passed over unread); complete tells whether all did."""
+    limits = [x for x in (max_bytes, max_files, max_file_bytes) if x is not None]
+    if any(x <= 0 for x in limits):
+        raise ValueError("limits of a scan must be positive")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/+", "/", root).rstrip("/")) + "/", "")
     rows = files.select(path.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.col("content").cast("string").alias("text"))
     rows = rows.where(~F.col("relative_path").rlike(r"(^|/)\."))
-    if max_bytes is None:
+    if not limits:
         return rows.withColumn("complete", F.lit(True))
-    sizes = with_running_sum(rows.select("relative_path", "size"), ["relative_path"], "size", "_sum")  # a row per file, without its text
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    fits = sizes.where(F.col("_sum") <= max_bytes).select("relative_path", F.lit(total <= max_bytes).alias("complete"))
-    return rows.join(fits, "relative_path")
+    sizes = rows.select("relative_path", "size", F.lit(1).alias("_one"))  # a row per file, without its text
+    fits = sizes if max_file_bytes is None else sizes.where(F.col("size") <= max_file_bytes)
+    for most, value in ((max_bytes, "size"), (max_files, "_one")):
+        if most is not None:
+            fits = with_running_sum(fits, ["relative_path"], value, "_sum").where(F.col("_sum") <= most).drop("_sum")
+    complete = fits.count() == sizes.count()
+    rows = rows if max_file_bytes is None else rows.where(F.col("size") <= max_file_bytes)
+    return rows.join(fits.select("relative_path", F.lit(complete).alias("complete")), "relative_path")
 
 
 def scalar(raw: str) -> tuple[str, str | None]:

@@ -70,6 +70,11 @@ def test_vault(spark, tmp_path):
     some = markdown.scan(spark, str(tmp_path), max_bytes=len(NOTE) + 2).collect()
     assert [(r["relative_path"], r["complete"]) for r in some] == [("a/n.md", False)] and markdown.scan(spark, str(tmp_path), max_bytes=3).count() == 0
     assert {r["complete"] for r in markdown.scan(spark, str(tmp_path), max_bytes=9999).collect()} == {True}
+    found = lambda **most: [(r["relative_path"], r["complete"]) for r in markdown.scan(spark, str(tmp_path), **most).orderBy("relative_path").collect()]
+    assert found(max_files=1) == [("a/n.md", False)] and found(max_file_bytes=5) == [("b.md", False)] and found(max_file_bytes=4) == []
+    assert found(max_files=2, max_file_bytes=9999, max_bytes=9999) == [("a/n.md", True), ("b.md", True)]
+    with pytest.raises(ValueError):
+        markdown.scan(spark, str(tmp_path), max_files=0)
 
 
 def test_fusion(spark):
