@@ -237,7 +237,7 @@ def removed_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-UNSURE = pa.list_(pa.struct([("anchor", pa.int64()), ("own", pa.int64()), ("spot", pa.int64()), ("bytes", pa.binary())]))
+UNSURE = pa.list_(pa.struct([("anchor", pa.int64()), ("spot", pa.int64()), ("bytes", pa.binary())]))
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 100) -> DataFrame:
@@ -258,7 +258,10 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     if not GRAM < window <= GRAM + 200:
         raise ValueError(f"window must be {GRAM + 1} to {GRAM + 200} bytes")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(key).cast("long").alias("doc_id"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
+    # where each key is there once, texts need no mark beside it: 8 bytes less in every row that moves
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alone = several.isEmpty()
+    rows = rows.withColumn("mark", F.lit(0).cast("long") if alone else F.xxhash64("text"))
     anchors = stored(_anchors(rows, window), "suffix-anchors")
     met = stored(_pieces(rows, window).join(anchors, "anchor"), "suffix-met")
     me = F.struct("key", "mark", "spot")
@@ -267,29 +270,29 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     mixed_ = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("mixed"))
     known = firsts.join(mixed_, "anchor", "left")
     flagged = met.join(known, ["anchor", "own"]).where((me > F.col("first")) | F.col("mixed"))
-    flagged = flagged.select("key", "mark", F.struct("spot", F.when(me == F.col("first"), F.struct("anchor", "own")).alias("open")).alias("flag"))
-    flags = flagged.groupBy("key", "mark").agg(F.collect_set("flag").alias("flags"))
+    open_ = me == F.col("first")
+    flags = flagged.groupBy("key", "mark").agg(F.collect_set(F.when(~open_, F.col("spot"))).alias("copies"), F.collect_set(F.when(open_, F.struct("spot", "anchor"))).alias("open"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "text"):
             gone, unsure = [], []
-            for t, fs in zip(s.column("text").cast(pa.binary()).to_pylist(), s.column("flags").to_pylist(), strict=True):
-                fs = fs or []
-                spots = [(f["spot"] >> 8, (f["spot"] >> 8) + (f["spot"] & 255) + window - 1) for f in fs if f["open"] is None]
+            for t, copies, open_ in zip(s.column("text").cast(pa.binary()).to_pylist(), s.column("copies").to_pylist(), s.column("open").to_pylist(), strict=True):
+                spots = [(x >> 8, (x >> 8) + (x & 255) + window - 1) for x in copies or []]
                 gone.append([x for span in removed_spans(spots) for x in span])
-                unsure.append([{"anchor": f["open"]["anchor"], "own": f["open"]["own"], "spot": f["spot"], "bytes": t[f["spot"] >> 8 : (f["spot"] >> 8) + (f["spot"] & 255) + window - 1]} for f in fs if f["open"]])
+                unsure.append([{"anchor": f["anchor"], "spot": f["spot"], "bytes": t[f["spot"] >> 8 : (f["spot"] >> 8) + (f["spot"] & 255) + window - 1]} for f in open_ or []])
             yield pa.RecordBatch.from_arrays([*(s.column(c) for c in ("key", "mark", "doc_id", "text")), pa.array(gone, pa.list_(pa.int64())), pa.array(unsure, UNSURE), pa.array([bool(u) for u in unsure])], ["key", "mark", "doc_id", "text", "gone", "unsure", "pending"])
 
-    table = rows.join(flags, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "flags")
-    table = table.mapInArrow(gather, "key bigint, mark bigint, doc_id bigint, text string, gone array<bigint>, unsure array<struct<anchor:bigint,own:bigint,spot:bigint,bytes:binary>>, pending boolean")
+    table = rows.join(flags, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "copies", "open")
+    table = table.mapInArrow(gather, "key bigint, mark bigint, doc_id bigint, text string, gone array<bigint>, unsure array<struct<anchor:bigint,spot:bigint,bytes:binary>>, pending boolean")
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "suffix")
     table.write.option("compression", "zstd").partitionBy("pending").parquet(path)
     table = spark.read.schema(table.schema).parquet(path)
     waiting = table.where("pending")
-    # repeated rows give their pieces more than once
-    pieces = waiting.select("key", "mark", F.explode("unsure").alias("u")).select("key", "mark", "u.*").dropDuplicates(["anchor", "own"])
+    # rows alike in key and text are one document, whose pieces count once
+    once = waiting if alone else waiting.dropDuplicates(["key", "mark"])
+    pieces = once.select("key", "mark", F.explode("unsure").alias("u")).select("key", "mark", "u.*")
     pieces = stored(pieces.withColumn("place", F.shiftright("spot", 8)).withColumn("piece", F.monotonically_increasing_id()), "suffix-pieces")
-    runs = _sorted_pieces(pieces.drop("own", "spot"), window, tuple(w for w in ((GRAM + window) // 2, window) if w > GRAM))
+    runs = _sorted_pieces(pieces.drop("spot"), window, tuple(w for w in ((GRAM + window) // 2, window) if w > GRAM))
     late = pieces.select("piece", "key", "mark", "place").join(runs, "piece")
     late = late.groupBy("key", "mark").agg(F.collect_list(F.struct("place", "runs")).alias("late"))
 
