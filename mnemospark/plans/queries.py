@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators import calendar, filters, graph, linkage, retrieval, rows
-from mnemospark.plans import notes_graph, records, upkeep  # noqa: F401  (they register their queries)
+from mnemospark.operators import calendar, filters, graph, linkage, retrieval, rows, text_index
+from mnemospark.plans import index, notes_graph, records, upkeep  # noqa: F401  (they register their queries)
 from mnemospark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from mnemospark.session import table
 from mnemospark.streaming import change_log
@@ -35,8 +35,9 @@ def _probe(vectors: DataFrame) -> list[float]:
 
 
 def _lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    lexical = retrieval.ranked(retrieval.lexical_match(docs, "text", "the of"), "doc_id", [F.desc("hits"), F.asc("doc_id")], 50)
+    vectors = table(spark, sf, "embeddings")
+    found = text_index.counted(index.documents_index(spark, sf), "the of").withColumnRenamed("doc", "doc_id")
+    lexical = retrieval.ranked(found, "doc_id", [F.desc("hits"), F.asc("doc_id")], 50)
     nearest = retrieval.vector_recall(vectors, "vec_id", "embedding", _probe(vectors), 50).withColumnRenamed("vec_id", "doc_id")
     return lexical, retrieval.ranked(nearest, "doc_id", [F.asc("distance"), F.asc("doc_id")], 50)
 
@@ -59,7 +60,8 @@ def vector_recall(spark, sf):
 @query("r2_lexical_match", r"""select doc_id, (a + b)::int as hits, round((a + b) * 0.1 / (1 + (a + b) * 0.1), 6)::double as score from (
   select doc_id, len(regexp_extract_all(lower(text), '(^|[^\p{L}\p{N}_])the')) as a, len(regexp_extract_all(lower(text), '(^|[^\p{L}\p{N}_])of')) as b from documents) where a > 0 and b > 0""")
 def lexical_match(spark, sf):
-    return retrieval.lexical_match(table(spark, sf, "documents"), "text", "The of").select("doc_id", "hits", F.round("score", 6).alias("score"))
+    found = text_index.counted(index.documents_index(spark, sf), "The of")
+    return found.select(F.col("doc").alias("doc_id"), F.col("hits").cast("int").alias("hits"), F.round(text_index.score(F.col("hits") * text_index.WEIGHT), 6).alias("score"))
 
 
 @query("r22_confidence", """select event_id, case when event_type = 'purchase' then 1.0::double else round(least(least(greatest(value / 100, 0), 1) + case when value > 50 then 0.1 else 0 end, 1), 6)::double end as confidence from events""")

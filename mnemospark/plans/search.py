@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemospark.operators import briefs, filters, retrieval, search
+from mnemospark.operators import briefs, filters, retrieval, search, text_index
+from mnemospark.plans import index
 from mnemospark.plans import queries as base
 from mnemospark.plans.registry import query
 from mnemospark.session import table
@@ -91,7 +92,8 @@ t as (select doc_id, p, x, lag(x) over o as px, lag(p) over o as pp from w where
 r as (select doc_id, sum(0.1 / (p - pp)) as rank from t where x <> px group by 1)
 select doc_id, round(coalesce(rank, 0), 6)::double as rank, round(coalesce(rank, 0) / (1 + coalesce(rank, 0)), 6)::double as score from documents left join r using (doc_id)""")
 def cover_density(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", search.cover_density(F.col("text"), ["that", "for"]).alias("rank"))
+    found = text_index.ranks(index.documents_index(spark, sf), "that for", whole=True).select(F.col("doc").alias("doc_id"), "rank")
+    rows = table(spark, sf, "documents").select("doc_id").join(found, "doc_id", "left").fillna(0.0, ["rank"])
     return rows.select("doc_id", F.round("rank", 6).alias("rank"), F.round(F.col("rank") / (1 + F.col("rank")), 6).alias("score"))
 
 
