@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mnemospark.functions.text import cosine_to, distance_score, dot
+from mnemospark.session import kept_folder
 
 #: Vectors of a cell and queries of a block, about: a task compares so many with so many at once.
 CELL, QUERY_BLOCK = 4096, 1024
@@ -142,6 +143,12 @@ def write_index(rows: DataFrame, path: str, key: str, vector: str, *, dims: int,
     return index
 
 
+def kept_index(source: DataFrame, name: str, key: str, vector: str, *, dims: int, keep: tuple[str, ...] = ()) -> VectorIndex:
+    """The index of a table in the shared folder, written where it isn't there yet for these files."""
+    path = kept_folder(source, f"vector-index-{name}", "vectors", lambda to: write_index(source, to, key, vector, dims=dims, keep=keep))
+    return VectorIndex(source.sparkSession, path)
+
+
 def search(index: VectorIndex, query: list[float], k: int, *, probes: int | None = None, keep: Column | None = None) -> DataFrame:
     """key, distance, score of the k nearest vectors; ties by key. probes: how many lists are read, the nearest
     first (unless given all are, which is exact). keep: which rows may be found, such as those of a model and

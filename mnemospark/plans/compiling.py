@@ -123,20 +123,43 @@ def rendered_notes(spark, sf):
     return markdown.rendered(p, ["p_name", "p_size"], "p_type").select(F.col("relative_path").cast("long").alias("p_partkey"), F.sha2("text", 256).alias("digest"))
 
 
+TRICKY = """case p_partkey % 8 when 0 then 'true' when 1 then '12' when 2 then p_name || ': x' when 3 then '''q''' when 4 then '[a, b]' when 5 then '- item' when 6 then ' ' || p_name else p_name end"""
+
+
+@query("s10_round_trip", f"""with p as (select p_partkey, {TRICKY} as t, * exclude (p_partkey) from part), e as (select p_partkey, unnest([{{'key': 'title', 'kind': 'string', 'v': t}}, {{'key': 'size', 'kind': 'integer', 'v': p_size::varchar}}, {{'key': 'tags', 'kind': 'list', 'v': p_type || '|' || t}},
+  {{'key': 'none', 'kind': 'list', 'v': ''}}, {{'key': 'gone', 'kind': 'null', 'v': '-'}}, {{'key': 'done', 'kind': 'boolean', 'v': 'true'}}]) as x from p) select p_partkey, x.key as key, x.kind as kind, x.v as value from e""")
+def round_trip(spark, sf):
+    """Notes are rendered and read again."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 8
+    tricky = F.when(k == 0, "true").when(k == 1, "12").when(k == 2, F.concat("p_name", F.lit(": x"))).when(k == 3, "'q'").when(k == 4, "[a, b]").when(k == 5, "- item").when(k == 6, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    rows = p.select(F.col("p_partkey").cast("string").alias("relative_path"), tricky.alias("title"), F.col("p_size").alias("size"), F.array(F.col("p_type"), tricky).alias("tags"), F.array().cast("array<string>").alias("none"), F.lit(None).cast("int").alias("gone"), F.lit(True).alias("done"), "p_type")
+    n = markdown.notes(markdown.rendered(rows, ["title", "size", "tags", "none", "gone", "done"], "p_type")).select("relative_path", F.explode("frontmatter").alias("e"))
+    value = F.array_join(F.transform("e.values", lambda x: F.coalesce(x, F.lit("-"))), "|")
+    return n.select(F.col("relative_path").cast("long").alias("p_partkey"), "e.key", "e.kind", value.alias("value"))
+
+
 # -- linkage -------------------------------------------------------------------------------------------
 
 
-@query("l1_evidence", f"with {base.PAIRS} select reasons, count(*) as n from (select case when score >= 0.3 then 'vector_similarity,' else '' end || 'temporal_overlap' || case when a.label % 2 = 0 and a.vec_id % 2 = b.vec_id % 2 then ',graph_neighborhood' else '' end || case when b.vec_id - a.vec_id = 1 then ',lineage_structure' else '' end as reasons, score >= 0.3 or (a.label % 2 = 0 and a.vec_id % 2 = b.vec_id % 2) or b.vec_id - a.vec_id = 1 as good from pairs join embeddings a on a.vec_id = left_id join embeddings b on b.vec_id = right_id union all select 'temporal_overlap,lineage_structure', true from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 and a.label <> b.label where false) where good group by 1")
+NAMED = base.KEYED.replace("met as (", "near as (") + """,
+named as (select vec_id as x, vec_id - 1 as y from embeddings union all select vec_id, vec_id % 2 from embeddings where label % 2 = 0),
+met as (from near union select least(x, y), greatest(x, y) from named where x <> y and y in (select vec_id from embeddings))"""
+
+
+@query("l1_evidence", f"""with {NAMED}, pairs as ({base.SCORED}),
+e as (select score >= 0.3 as near, left_label % 2 = 0 and right_label % 2 = 0 and left_id % 2 = right_id % 2 as linked, right_id - left_id = 1 as descends, left_label = right_label as same_label from pairs)
+select case when near then 'vector_similarity,' else '' end || 'temporal_overlap' || case when linked then ',graph_neighborhood' else '' end || case when descends then ',lineage_structure' else '' end as reasons, same_label, count(*) as n
+from e where near or linked or descends group by 1, 2""")
 def evidence(spark, sf):
-    k = F.col("vec_id")
-    items = table(spark, sf, "embeddings").select(
-        k.alias("item_id"), F.lit(None).cast("string").alias("content_hash"), "embedding", F.array(F.col("label").cast("string")).alias("blocks"),
+    k, vectors = F.col("vec_id"), table(spark, sf, "embeddings")
+    items = vectors.select(
+        k.alias("item_id"), F.lit(None).cast("string").alias("content_hash"), "embedding", base._blocks(vectors).alias("blocks"),
         F.when(F.col("label") % 2 == 0, F.array(k % 2)).otherwise(F.array().cast("array<bigint>")).alias("neighbours"), F.array(k - 1).alias("ancestors"),
     )
     pairs = linkage.candidate_pairs(items, vector=0.3)
-    same = items.select("item_id", F.col("blocks")[0].alias("b"))
-    kept = pairs.join(same.select(F.col("item_id").alias("left_id"), F.col("b").alias("lb")), "left_id").join(same.select(F.col("item_id").alias("right_id"), F.col("b").alias("rb")), "right_id").where("lb = rb")
-    return kept.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+    label = lambda side: vectors.select(k.alias(f"{side}_id"), F.col("label").alias(side))
+    both = pairs.join(label("left"), "left_id").join(label("right"), "right_id")
+    return both.groupBy(F.array_join("reasons", ",").alias("reasons"), (F.col("left") == F.col("right")).alias("same_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l3_capped_pairs")

@@ -47,21 +47,49 @@ def headings(spark, sf):
     return n.select(F.col("relative_path").alias("path"), "h.level", "h.text")
 
 
-@query("d6_chunks", f"""with {NOTE}, k as (select path, unnest([{{'i': 0, 'h': p_type, 't': 'About [[c/' || p_type || '#Top|it]] and ![[' || p_name || '.png]], `[[no]]`.' || chr(10) || '```'}}, {{'i': 1, 'h': 'code', 't': '```'}}, {{'i': 2, 'h': 'code>' || p_brand || ' ##', 't': p_name}}]) as x from note where not (twice or unclosed))
+@query("d6_chunks", f"""with {NOTE}, k as (select path, unnest([{{'i': 0, 'h': p_type, 't': '# ' || p_type || chr(10) || 'About [[c/' || p_type || '#Top|it]] and ![[' || p_name || '.png]], `[[no]]`.' || chr(10) || '```'}}, {{'i': 1, 'h': 'code', 't': '# code' || chr(10) || '```'}}, {{'i': 2, 'h': 'code>' || p_brand || ' ##', 't': '## ' || p_brand || ' ##' || chr(10) || p_name}}]) as x from note where not (twice or unclosed))
 select path, x.i as chunk_index, x.h as heading_path, sha256(x.t) as content_hash from k""")
 def chunks(spark, sf):
     n = markdown.notes(_notes(spark, sf)).where("error is null").select("relative_path", F.explode("chunks").alias("c"))
     return n.select(F.col("relative_path").alias("path"), F.col("c.index").alias("chunk_index"), F.array_join("c.heading_path", ">").alias("heading_path"), F.sha2("c.content", 256).alias("content_hash"))
 
 
-@query("d7_chunk_cuts", "select doc_id, true as within, true as gapless from documents")
+def _last(mark: str, width: int) -> str:
+    """Where a cut after the last mark in the second half of a chunk lies; null where there is none."""
+    return f"case when strpos(reverse(half), reverse({mark})) > 0 then start + 350 + length(half) - (strpos(reverse(half), reverse({mark})) - 1) - length({mark}) + {width} end"
+
+
+@query("d7_chunk_cuts", rf"""with recursive raw as (select doc_id, coalesce(replace(text, '#', '+'), '') as t from documents),
+src as (select doc_id, length(t) - length(regexp_replace(t, '^\s+', '')) as lead, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') as t from raw where regexp_matches(t, '\S')),
+cut as (select doc_id, 0::bigint as start, (select 0)::bigint as stop, false as done from src where false union all select doc_id, start, stop, done from (
+  select doc_id, start, case when start + 700 >= n then n else coalesce({_last("chr(10) || chr(10)", 2)}, {_last("chr(10)", 1)}, {_last("'. '", 1)}, {_last("' '", 1)}, start + 700) end as stop, start + 700 >= n as done from (
+    select doc_id, 0::bigint as start, length(t) as n, substring(t, 351, 350) as half from src))
+  union all select doc_id, start, case when start + 700 >= n then n else coalesce({_last("chr(10) || chr(10)", 2)}, {_last("chr(10)", 1)}, {_last("'. '", 1)}, {_last("' '", 1)}, start + 700) end as stop, start + 700 >= n as done from (
+    select doc_id, start, length(t) as n, substring(t, start + 351, 350) as half from (
+      select c.doc_id, t, low + length(regexp_extract(substring(t, low::bigint, stop - low), '^\S*')) as start from (select *, greatest(start + 1, stop - 80) as low from cut where not done) c join src using (doc_id)))),
+piece as (select doc_id, lead, start, substring(t, start + 1, stop - start) as x from cut join src using (doc_id)),
+bare as (select doc_id, lead + start + length(x) - length(regexp_replace(x, '^\s+', '')) as start, regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '') as x from piece)
+select doc_id, start::bigint as start, (start + length(x))::bigint as stop, sha256(x) as content_hash from bare where x <> ''""")
 def chunk_cuts(spark, sf):
-    """Whether the chunks of a text are within their bound and leave out nothing but white space."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), F.coalesce("text", F.lit("")).alias("text"))
-    n = markdown.notes(d, most=700, overlap=80).select("relative_path", F.col("body").alias("t"), "chunks")
-    between = F.zip_with("chunks", F.slice("chunks", F.lit(2), F.size("chunks")), lambda x, y: F.when(y["start"] > x["end"], F.expr("1")).otherwise(F.lit(0)))
-    heads = F.regexp_count("t", F.lit(r"(?m)^#{1,6}\s+.+$"))
-    return n.select(F.col("relative_path").cast("long").alias("doc_id"), (~F.exists("chunks", lambda c: c["end"] - c["start"] > 700)).alias("within"), (F.aggregate(between, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) <= heads).alias("gapless"))
+    """Texts without headings, so that a text is one section, which is cut by size."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), F.replace("text", F.lit("#"), F.lit("+")).alias("text"))
+    n = markdown.notes(d, most=700, overlap=80).select("relative_path", F.explode("chunks").alias("c")).where("c.kind = 'content'")
+    return n.select(F.col("relative_path").cast("long").alias("doc_id"), F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("stop"), F.sha2("c.content", 256).alias("content_hash"))
+
+
+@query("d6_source_ranges", "select p_partkey, true as chunks_lie_there, true as links_lie_there, 3 as chunks, 2 as links from part where p_partkey % 11 > 0 and p_partkey % 13 > 0")
+def source_ranges(spark, sf):
+    """Whether ranges in the whole file, in characters and in bytes, hold the chunks and links; files with signs of
+    two to four bytes and lines that end in two signs."""
+    f = _notes(spark, sf).withColumn("text", F.replace(F.concat("text", F.lit("\nend 𝄞 [[é ß]]")), F.lit("About"), F.lit("Über 你好\r\n")))
+    f = f.withColumn("text", F.regexp_replace("text", r"`\[\[no\]\]`\.", "."))
+    n = markdown.notes(f).where("error is null").join(f, "relative_path")
+    raw = F.encode("text", "UTF-8")
+    lies = lambda x, content: (F.substring("text", x["start"] + 1, x["end"] - x["start"]) == content) & (F.decode(F.substring(raw, x["byte_start"] + 1, x["byte_end"] - x["byte_start"]), "UTF-8") == content)
+    return n.select(
+        F.regexp_extract("relative_path", "[0-9]+", 0).cast("long").alias("p_partkey"), F.forall("chunks", lambda c: lies(c, c["content"])).alias("chunks_lie_there"), F.forall("links", lambda x: lies(x, x["raw"])).alias("links_lie_there"),
+        F.size("chunks").alias("chunks"), (F.size("links") - 1).alias("links"),
+    )
 
 
 @query("d9_links", f"with {NOTE}, l as (select path, unnest([{{'kind': 'wikilink', 'target': 'c/' || p_type, 'heading': 'Top', 'alias': 'it'}}, {{'kind': 'embed', 'target': p_name || '.png', 'heading': '', 'alias': ''}}]) as x from note where not (twice or unclosed)) select path, x.kind as kind, x.target as target, x.heading as heading, x.alias as alias from l")

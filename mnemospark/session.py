@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def kept_folder(source: DataFrame, name: str, last: str, write: Callable[[str], object]) -> str:
+    """A folder of tables in the shared folder that are written once for the files of source: found again by
+    their paths, sizes and times, by this session or a later one. last: the table that write() writes
+    last; a folder without it was not finished, and is written anew."""
+    spark = source.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    files = []
+    for file in sorted(source.inputFiles()):
+        status = path(file).getFileSystem(conf).getFileStatus(path(file))
+        files.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    folder = f"{shared_folder(spark)}/{name}-{hashlib.sha256(chr(10).join(files).encode()).hexdigest()[:32]}"
+    store = path(folder).getFileSystem(conf)
+    if not store.exists(path(f"{folder}/{last}/_SUCCESS")):
+        store.delete(path(folder), True)
+        write(folder)
+    return folder

@@ -15,8 +15,11 @@ INTEGER = re.compile(r"[+-]?(?:0|[1-9][0-9]*)\Z")
 FLOAT = re.compile(r"[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+|[eE][+-]?[0-9]+)\Z")
 HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#*)?[ \t]*\Z")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|%%.*?(?:%%|\Z)|(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
-LINK = re.compile(r"(!?)\[\[([^\[\]|#\n]*)(?:#([^\[\]|\n]*))?(?:\|([^\[\]\n]*))?\]\]")
+#: What is left out one after the other before links are looked for, and a link (fixed patterns).
+HIDDEN = [re.compile(r"<!--.*?-->", re.S), re.compile(r"%%.*?%%", re.S), re.compile(r"(`+).*?\1", re.S)]
+LINK = re.compile(r"(!?)\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]")
+OPENING = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
+SECTION = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
 
 
 def scan(spark: SparkSession, root: str, max_bytes: int | None = None, *, max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
@@ -162,62 +165,151 @@ def cut_points(text: str, most: int = 1400, overlap: int = 160) -> list[tuple[in
     return spans
 
 
+def byte_places(text: str, places: list[int]) -> dict[int, int]:
+    """Where characters begin in the UTF-8 of a text, in one pass over it."""
+    if text.isascii():
+        return {p: p for p in places}
+    out, last, size = {}, 0, 0
+    for p in sorted(set(places)):
+        size += len(text[last:p].encode("utf-8", "surrogatepass"))
+        out[p], last = size, p
+    return out
+
+
+def with_ranges(found: list[dict], text: str, base: int) -> list[dict]:
+    """found with start and end moved by base, and byte_start, byte_end: places in text, of which base
+    characters stand before what was searched."""
+    at = byte_places(text, [base + x[k] for x in found for k in ("start", "end")])
+    return [{**x, "start": base + x["start"], "end": base + x["end"], "byte_start": at[base + x["start"]], "byte_end": at[base + x["end"]]} for x in found]
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """A range without white space at its ends."""
+    part = text[a:b]
+    return a + len(part) - len(part.lstrip()), a + max(len(part.rstrip()), len(part) - len(part.lstrip()))
+
+
 def chunks(title: str, body: str, most: int = 1400, overlap: int = 160) -> list[dict]:
-    """The chunks of a note: cut at headings, then by size; each with its path of headings."""
-    sections, path, at = [], [], 0
-    for m in re.finditer(r"^(#{1,6})\s+(.+)$", body, re.M):
-        sections.append((list(path) or [title], at, m.start()))
-        path = path[: len(m[1]) - 1] + [m[2].strip()]
-        at = m.end()
-    sections.append((list(path) or [title], at, len(body)))
-    found = []
-    for names, a, b in sections:
-        raw = body[a:b]
-        lead = len(raw) - len(raw.lstrip())
-        for s, e in cut_points(raw.strip(), most, overlap) if raw.strip() else []:
-            found.append({"index": len(found), "heading": names[-1], "heading_path": names, "content": raw.strip()[s:e].strip(), "start": a + lead + s, "end": a + lead + e})
-    return found or [{"index": 0, "heading": title, "heading_path": [title], "content": title, "start": 0, "end": 0}]
+    """The chunks of a body: cut at headings, which stay with what follows, then by size; each with its path of
+    headings and its range in body, so that body[start:end] is the content. What comes before the first
+    heading has the title's name. A blank body has one chunk of the title, of kind title_fallback and
+    without a range; pieces of white space alone are none."""
+    a, b = _bare(body, 0, len(body))
+    kind = "content"
+    if a == b:
+        body, kind = title, "title_fallback"
+        a, b = _bare(body, 0, len(body))
+    text = body[a:b]
+    heads, path = list(SECTION.finditer(text)), []
+    sections = [([title] if title else [], title, *((0, len(text)) if not heads else _bare(text, 0, heads[0].start())))]
+    for m, end in zip(heads, [*(h.start() for h in heads[1:]), len(text)], strict=False):
+        path = [*path[: len(m[1]) - 1], m[2].strip()]
+        sections.append((path, path[-1], *_bare(text, m.start(), end)))
+    found: list[dict] = []
+    for names, name, begin, end in sections:
+        for s, e in cut_points(text[begin:end], most, overlap):
+            s, e = _bare(text, begin + s, begin + e)
+            if s < e:
+                range_ = (a + s, a + e) if kind == "content" else (0, 0)
+                found.append({"index": len(found), "heading": name, "heading_path": names, "content": text[s:e], "kind": kind, "start": range_[0], "end": range_[1]})
+    return found
 
 
 def links(body: str) -> list[dict]:
-    """[[target#heading|alias]] outside code and comments, ! before it an embed."""
-    out, fence = [], ""
-    for line in body.split("\n"):  # code lines as blanks, so that places in the text stay
-        mark = FENCE.match(line)
-        code = bool(fence) or bool(mark) or line.startswith(("\t", "    "))
-        if mark:
-            fence = "" if fence and mark[1][0] == fence[0] else (fence or mark[1])
-        out.append(" " * len(line) if code else line)
-    seen = HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), "\n".join(out))
-    return [{"kind": "embed" if m[1] else "wikilink", "target": m[2].strip(), "heading": m[3], "alias": m[4], "start": m.start(), "end": m.end()} for m in LINK.finditer(seen) if m[2].strip()]
+    """[[target#heading|alias]] outside code and comments, ! before it an embed; start and end are places in
+    body, of which raw can leave out comments that stand within the link.
+
+    Lines in fences (closed by a line of the same sign, as long at least) and indented ones go, then closed
+    comments, then code within lines; what isn't closed hides nothing."""
+    seen: list[str] = []
+    origin: list[int] = []  # where each visible character stands
+    fence, at = "", 0
+    for line in body.splitlines(keepends=True):
+        if fence:
+            bare = line.strip()
+            fence = "" if bare and set(bare) == {fence[0]} and len(bare) >= len(fence) else fence
+            hide = True
+        else:
+            mark = OPENING.match(line)
+            fence = mark[1] if mark else ""
+            hide = bool(mark) or line.startswith(("\t", "    "))
+        if not hide:
+            seen.append(line)
+            origin.extend(range(at, at + len(line)))
+        elif line.endswith("\n"):
+            seen.append("\n")
+            origin.append(at + len(line) - 1)
+        at += len(line)
+    text = "".join(seen)
+    for pattern in HIDDEN:
+        parts, places, last = [], [], 0
+        for m in pattern.finditer(text):
+            parts.append(text[last : m.start()])
+            places.extend(origin[last : m.start()])
+            last = m.end()
+        text, origin = "".join(parts) + text[last:], places + origin[last:]
+    return [
+        {"kind": "embed" if m[1] else "wikilink", "target": m[2].strip(), "heading": m[3], "alias": m[4], "raw": m[0], "start": origin[m.start()], "end": origin[m.end() - 1] + 1}
+        for m in LINK.finditer(text)
+    ]
 
 
 ANALYSIS = "array<struct<key:string,kind:string,values:array<string>>>"
 HEADINGS = "array<struct<level:int,text:string,line:int>>"
-CHUNKS = "array<struct<index:int,heading:string,heading_path:array<string>,content:string,start:int,end:int>>"
-LINKS = "array<struct<kind:string,target:string,heading:string,alias:string,start:int,end:int>>"
+CHUNKS = "array<struct<index:int,heading:string,heading_path:array<string>,content:string,kind:string,start:int,end:int,byte_start:int,byte_end:int>>"
+LINKS = "array<struct<kind:string,target:string,heading:string,alias:string,raw:string,start:int,end:int,byte_start:int,byte_end:int>>"
 
 
 def notes(files: DataFrame, most: int = 1400, overlap: int = 160) -> DataFrame:
     """files (relative_path, text) with everything read from the text: front matter, body, headings,
-    chunks, links, error and hashes. Null texts are empty; errors are a column, never an exception."""
+    chunks, links, error and hashes. Ranges of chunks and links are places in the whole text, in characters
+    and in bytes of its UTF-8. Null texts are empty; errors are a column, never an exception."""
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for path, text in zip(f["relative_path"], f["text"], strict=True):
-                a = analyse(text or "")
+                text = text or ""
+                a = analyse(text)
+                base = len(text) - len(a["body"])
                 title = next((e["values"][0] for e in a["frontmatter"] if e["key"] == "title" and e["values"] and e["values"][0]), None) or re.sub(r"\.md$", "", (path or "").rpartition("/")[2])
-                rows.append((path, title, a["frontmatter"], a["body"], a["headings"], chunks(title, a["body"], most, overlap), links(a["body"]), a["error"]))
+                rows.append((path, title, a["frontmatter"], a["body"], a["headings"], with_ranges(chunks(title, a["body"], most, overlap), text, base), with_ranges(links(a["body"]), text, base), a["error"]))
             yield pd.DataFrame(rows, columns=["relative_path", "title", "frontmatter", "body", "headings", "chunks", "links", "error"])
 
     schema = f"relative_path string, title string, frontmatter {ANALYSIS}, body string, headings {HEADINGS}, chunks {CHUNKS}, links {LINKS}, error string"
     return files.select("relative_path", "text").mapInPandas(apply, schema).withColumn("content_hash", F.sha2("body", 256))
 
 
+#: Texts that would be read as something else than themselves, or be cut (see scalar() and front_matter()).
+AMBIGUOUS = r"""(?i)^$|^(~|null|true|false)$|^[+-]?(0|[1-9][0-9]*)(\.[0-9]+|e[+-]?[0-9]+)?$|^['"\[{#-]|^\s|\s$"""
+LINE_ENDS = r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]+"
+
+
+def _value(column, kind: str):
+    """A value as front matter: texts bare, or in single quotes where bare they would be read as something else;
+    line ends within them become a space."""
+    text = column.cast("string")
+    if kind in ("string", "date", "timestamp", "timestamp_ntz"):
+        flat = F.regexp_replace(text, LINE_ENDS, " ")
+        text = F.when(flat.rlike(AMBIGUOUS), F.concat(F.lit("'"), F.replace(flat, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(flat)
+    return F.coalesce(text, F.lit("null"))
+
+
+def _item(kind: str):
+    return lambda x: F.concat(F.lit("\n  - "), _value(x, kind))
+
+
 def rendered(df: DataFrame, fields: list[str], body: str) -> DataFrame:
-    """relative_path and text: rows as notes, front matter first, ready for a text or Parquet writer."""
-    head = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in fields]
+    """relative_path and text: rows as notes, front matter first, ready for a text or Parquet writer. What is
+    written reads back as it was: texts as texts, arrays as lists (null and empty ones as []), null as null."""
+    head = []
+    for c in fields:
+        kind = df.schema[c].dataType.simpleString()
+        if kind.startswith("array<"):
+            items = F.transform(c, _item(kind[6:-1]))
+            head.append(F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.lit(f"{c}: []")).otherwise(F.concat(F.lit(f"{c}:"), F.array_join(items, ""))))
+        else:
+            head.append(F.concat(F.lit(f"{c}: "), _value(F.col(c), kind)))
     return df.select("relative_path", F.concat_ws("\n", F.lit("---"), *head, F.lit("---"), F.lit(""), F.coalesce(F.col(body), F.lit(""))).alias("text"))
 
 

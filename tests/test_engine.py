@@ -50,9 +50,6 @@ def test_analysis():
 def test_links_and_chunks():
     found = markdown.links(markdown.analyse(NOTE)["body"])
     assert [(x["kind"], x["target"], x["heading"], x["alias"]) for x in found] == [("wikilink", "Target", "Part", "name"), ("embed", "pic.png", None, None)]
-    c = markdown.chunks("T", "intro\n# A\none\n## B\ntwo\n# C\nthree")
-    assert [x["heading_path"] for x in c] == [["T"], ["A"], ["A", "B"], ["C"]]
-    assert markdown.chunks("T", "  ")[0]["content"] == "T"
     spans = markdown.cut_points("word " * 1000, 1400, 160)
     assert spans[0][0] == 0 and spans[-1][1] == 5000 and all(b - a <= 1400 for a, b in spans)
     assert all(x[1] >= y[0] for x, y in zip(spans, spans[1:], strict=False))
