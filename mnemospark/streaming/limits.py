@@ -53,3 +53,57 @@ def fixed_window(calls: DataFrame, subject: str, time: str, call: str, limit: in
     rows = rows.join(parts, (F.col(subject) == F.col("_s")) & (F.col("_d") == F.col("_e")))
     ordered = rows.select(subject, call, "_t", "_part").repartition(subject, "_part").sortWithinPartitions(subject, "_t", call)
     return ordered.mapInPandas(decide, f"{subject} {kinds[subject]}, {call} {kinds[call]}, allowed boolean, remaining long, retry_after long")
+
+
+def fixed_window_stream(calls: DataFrame, subject: str, time: str, call: str, limit: int, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """fixed_window() over a stream of calls: a subject's open window is its state, which goes when the
+    watermark has passed the window's end. Calls of a micro-batch are taken in order of their time, then of
+    call; those beyond the watermark go. The session needs the RocksDB state store
+    (STATE_STORE), and output mode append or update.
+
+    A subject's calls of one micro-batch meet in one task, so a source's maxFilesPerTrigger or the like
+    bounds them; what is carried from batch to batch is two numbers a subject."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    if limit < 1 or seconds < 1:
+        raise ValueError("limit and seconds must be positive")
+    kinds = dict(calls.dtypes)
+    width = seconds * 1_000_000
+
+    class Limiter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.window = handle, handle.getValueState("window", "begin long, n long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values(["at_micros", call], kind="stable")
+            begin, n = self.window.get() if self.window.exists() else (None, 0)
+            was, out = begin, []
+            for t in batch["at_micros"].tolist():
+                if begin is None or t >= begin + width:
+                    begin, n = t, 0
+                n += 1
+                out.append((n <= limit, max(limit - n, 0), max((begin + width - t + 500_000) // 1_000_000, 1)))
+            self.window.update((begin, n))
+            if was != begin:
+                if was is not None:
+                    self.handle.deleteTimer(-(-(was + width) // 1000))
+                self.handle.registerTimer(-(-(begin + width) // 1000))
+            allowed, remaining, wait = zip(*out, strict=True)
+            yield pd.DataFrame({subject: batch[subject].to_numpy(), call: batch[call].to_numpy(), "allowed": allowed, "remaining": remaining, "retry_after": wait})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.window.exists() and self.window.get()[0] + width <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+                self.window.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    rows = calls.where(F.col(subject).isNotNull() & F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    rows = rows.select(F.col(subject).alias("window_key"), subject, call, F.unix_micros(time).alias("at_micros"), time)
+    schema = f"{subject} {kinds[subject]}, {call} {kinds[call]}, allowed boolean, remaining long, retry_after long"
+    return rows.groupBy("window_key").transformWithStateInPandas(Limiter(), schema, "Append", "eventTime")
+
+
+#: What a session needs for states with expiry.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

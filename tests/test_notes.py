@@ -110,6 +110,7 @@ def test_neighbours_in_two_blocks_are_a_pair(spark):
 
 @pytest.mark.parametrize("name", ["l1_candidates", "l1_evidence", "l4_clusters", "l12_linkage_recall"])
 def test_linkage_of_ten_times_the_table(spark, tmp_path, name):
+    from mnemospark.plans import compiling  # noqa: F401  (it registers queries)
     from mnemospark.plans.queries import QUERIES
 
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
