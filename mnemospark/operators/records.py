@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions.text import single_spaced
-from mnemospark.operators.rows import best_per_key
+from mnemospark.operators.rows import best_per_key, with_running_sum
 
 #: Identities of a context, in the order in which a probe compares them (fixed values).
 IDENTITIES = ["project", "workspace_id", "agent_id", "user_id", "session_id"]
@@ -157,8 +157,10 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 def with_sequence(changes: DataFrame, last: int, order: list[str]) -> DataFrame:
     """changes with the next sequence numbers after last, without gaps, in the given order. One write
-    at a time allocates them; a batch is what one write brings."""
-    return changes.withColumn("sequence", F.row_number().over(Window.orderBy(*order)) + F.lit(last))
+    at a time allocates them; a batch is what one write brings. The order has no ties; its ranges are
+    numbered each by itself."""
+    numbered = with_running_sum(changes.withColumn("_one", F.lit(1).cast("long")), order, "_one", "sequence")
+    return numbered.withColumn("sequence", F.col("sequence") + F.lit(last)).drop("_one")
 
 
 def access_counters(events: DataFrame, key: str, at: str) -> DataFrame:

@@ -20,22 +20,27 @@ def query_tokens(query: str, most: int = 32, longest: int = 64) -> list[str]:
     return [t[:longest].lower() for t in regex.findall(r"[\p{L}\p{N}_]+", query)[:most]]
 
 
-def lexical_match(docs: DataFrame, text: str, query: str) -> DataFrame:
-    """docs with hits and score, where every query token begins some word of the text: hits counts
-    the words begun, rank is a tenth of them, score rank / (1 + rank). An empty query matches none.
+def token_tests(text: Column, query: str) -> tuple[Column, Column]:
+    """Whether every token of the query begins some word of the text, and how many words they begin. An
+    empty query matches none.
 
-    A plain search for the tokens leaves out most texts, and only those with all tokens at words' begins
+    A plain search for the tokens decides about most texts, and only those with all tokens at words' begins
     are counted. A pattern begins with its token and looks back from its end, so that the engine stops at
     the token's places alone; nothing is split into arrays, so texts of any length cost their bytes."""
     tokens = list(dict.fromkeys(query_tokens(query)))
     if not tokens:
-        return docs.where(F.lit(False)).withColumn("hits", F.lit(0)).withColumn("score", F.lit(0.0))
-    low, begins = F.lower(F.col(text)), [rf"{t}(?<![\p{{L}}\p{{N}}_]{t})" for t in tokens]
+        return F.lit(False), F.lit(0)
+    low, begins = F.lower(text), [rf"{t}(?<![\p{{L}}\p{{N}}_]{t})" for t in tokens]
     found = [*(low.contains(t) for t in tokens), *(low.rlike(b) for b in begins)]
-    rows = docs.where(reduce(lambda a, b: a & b, found))
-    rows = rows.withColumn("hits", reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(b)) for b in begins]))
+    return reduce(lambda a, b: a & b, found), reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(b)) for b in begins])
+
+
+def lexical_match(docs: DataFrame, text: str, query: str) -> DataFrame:
+    """docs with hits and score where token_tests() finds the query: rank is a tenth of the hits, score
+    rank / (1 + rank). This reads all texts; text_index answers from an index."""
+    found, hits = token_tests(F.col(text), query)
     rank = F.col("hits") * F.lit(0.1)
-    return rows.withColumn("score", rank / (1 + rank))
+    return docs.where(found).withColumn("hits", hits).withColumn("score", rank / (1 + rank))
 
 
 def vector_recall(vectors: DataFrame, key: str, column: str, query: list[float], k: int, norm: str | None = None) -> DataFrame:

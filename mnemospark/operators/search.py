@@ -10,11 +10,13 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import single_spaced, word_tokens
 from mnemospark.operators import retrieval
+from mnemospark.operators.graph import checkpointed
 from mnemospark.operators.rows import best_per_key
 
 #: Words that focused variants of a query leave out (fixed values).
@@ -51,13 +53,35 @@ def query_variants(query: str, most: int = 16) -> list[str]:
     return [v for v in found if v][:most]
 
 
+def variants(query: Column, most: int = 16) -> Column:
+    """query_variants() of a column of queries: an array, empty where query is null."""
+    stop = [F.lit(w) for w in sorted(STOP_WORDS)]
+
+    def runs(segment: Column) -> Column:
+        words = F.filter(word_tokens(segment), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*stop))
+        none, n = F.array().cast("array<array<string>>"), F.size(words)
+
+        def windows(size: int) -> Column:
+            inner = F.when(n - size > 1, F.transform(F.sequence(F.lit(1), n - size - 1), lambda i: F.slice(words, i + 1, F.lit(size)))).otherwise(none)
+            return F.when(n > size, F.concat(F.array(F.slice(words, 1, size), F.slice(words, -size, size)), inner)).otherwise(none)
+
+        return F.concat(F.array(words), *[windows(size) for size in (4, 3, 2)])
+
+    segments = F.split(query, SEGMENT.pattern)
+    found = F.transform(F.flatten(F.transform(segments, runs)), lambda r: F.array_join(r, " "))
+    every = F.array_distinct(F.concat(F.array(single_spaced(query)), found))
+    return F.coalesce(F.slice(F.filter(every, lambda v: v != ""), 1, most), F.array().cast("array<string>"))
+
+
 def first_variant_matches(docs: DataFrame, key: str, text: str, variants: list[str]) -> DataFrame:
     """key, hits, variant (its place, from 0) of the documents that the first variant with any match
-    finds. All variants are looked for in one scan."""
-    lanes = [retrieval.lexical_match(docs, text, v).select(key, "hits", F.lit(i).alias("variant")) for i, v in enumerate(variants)]
-    found = reduce(DataFrame.unionByName, lanes)
-    first = found.agg(F.min("variant").alias("variant"))
-    return found.join(F.broadcast(first), "variant").select(key, "hits", "variant")
+    finds. All variants are looked for in one scan, whose matches are stored before the first is known."""
+    tests = [retrieval.token_tests(F.col(text), v) for v in variants]
+    each = [F.when(found, F.struct(F.lit(i).alias("variant"), hits.alias("hits"))) for i, (found, hits) in enumerate(tests)]
+    met = docs.select(key, F.explode(F.array_compact(F.array(*each))).alias("m")).select(key, "m.hits", "m.variant")
+    met = checkpointed(met)
+    first = met.agg(F.min("variant").alias("variant"))
+    return met.join(F.broadcast(first), "variant").select(key, "hits", "variant")
 
 
 def hybrid_limit(k: Column) -> Column:
@@ -192,6 +216,10 @@ def fusion_trace(lexical: DataFrame, vector: DataFrame, key: str, k: int) -> Dat
 # -- cascades ----------------------------------------------------------------------------------------
 
 
+class LaneUnavailable(RuntimeError):
+    """A lane of a search cannot answer now."""
+
+
 def resolve_scopes(requested: list[str], identities: dict[str, str | None], strict: bool) -> tuple[list[str], list[str]]:
     """The scopes to search and those left out for want of an identity. strict: a missing one is an error;
     else, with nothing left, GLOBAL is searched."""
@@ -202,6 +230,17 @@ def resolve_scopes(requested: list[str], identities: dict[str, str | None], stri
     return [s for s in asked if s not in missing] or ["GLOBAL"], [f"{s}:identity_unavailable" for s in missing]
 
 
+def scopes(requested: Column, have: Column, strict: Column) -> Column:
+    """resolve_scopes() of columns: searched (null where strict and a scope has no identity, which is an
+    error) and skipped. have: the scopes with an identity."""
+    lits = lambda names: F.array(*map(F.lit, names))
+    asked = F.array_distinct(F.when(F.coalesce(F.size(requested), F.lit(0)) > 0, requested).when(strict, lits(["GLOBAL"])).otherwise(lits(["PROJECT", "AGENT", "SESSION", "USER", "GLOBAL"])))
+    missing = F.filter(asked, lambda s: (s != "GLOBAL") & ~F.array_contains(have, s))
+    left = F.array_except(asked, missing)
+    searched = F.when(~(strict & (F.size(missing) > 0)), F.when(F.size(left) > 0, left).otherwise(lits(["GLOBAL"])))
+    return F.struct(searched.alias("searched"), F.transform(missing, lambda s: F.concat(s, F.lit(":identity_unavailable"))).alias("skipped"))
+
+
 def deduplicated(matches: DataFrame, limit: int) -> DataFrame:
     """The best match of each context (context, affinity, confidence, score, ...): the nearest project, then
     confidence, then score; the first limit in that order."""
@@ -212,14 +251,15 @@ def deduplicated(matches: DataFrame, limit: int) -> DataFrame:
 
 def cascade(stages: list[tuple[str, Callable[[], DataFrame]]], limit: int) -> tuple[DataFrame, list[str]]:
     """The matches of stages run one after the other until one brings a confident match, and the names of
-    those that ran. A stage that fails is left out and named with :failed."""
+    those that ran. Each is run once, and its rows are stored. A stage that fails in Spark or is unavailable is
+    left out and named with :failed; other errors are the caller's."""
     found: DataFrame | None = None
     ran: list[str] = []
     for name, stage in stages:
         try:
-            rows = stage()
+            rows = checkpointed(stage())
             sure = not rows.where(F.col("confidence") >= CONFIDENT).isEmpty()
-        except Exception:  # a lane that is down must not take the others with it
+        except (PySparkException, LaneUnavailable):  # a lane that is down must not take the others with it
             ran.append(f"{name}:failed")
             continue
         ran.append(name)

@@ -9,16 +9,22 @@ from pyspark.sql.window import Window
 from mnemospark.operators import briefs, filters, retrieval, search, text_index
 from mnemospark.plans import index
 from mnemospark.plans import queries as base
+from mnemospark.operators.rows import with_running_sum
 from mnemospark.plans.registry import query
 from mnemospark.session import table
 
-QUESTION = "What about the latest deploy steps of the search index, and why? Show root cause."
+STOP = ", ".join(f"'{w}'" for w in sorted(search.STOP_WORDS))
 
 
-@query("r10_query_variants", """select * from (values (0, 'What about the latest deploy steps of the search index, and why? Show root cause.'), (1, 'the latest deploy steps of the search index'), (2, 'the latest deploy steps'), (3, 'of the search index'), (4, 'latest deploy steps of'), (5, 'deploy steps of the'), (6, 'steps of the search'),
-(7, 'the latest deploy'), (8, 'the search index'), (9, 'latest deploy steps'), (10, 'deploy steps of'), (11, 'steps of the'), (12, 'of the search'), (13, 'the latest'), (14, 'search index'), (15, 'latest deploy')) t(place, variant)""")
+@query("r10_query_variants", rf"""with s as (select conv_id, turn, unnest(regexp_split_to_array(text, '[,;\n.!?。]+')) as s, generate_subscripts(regexp_split_to_array(text, '[,;\n.!?。]+'), 1) as k from conversations),
+w as (select conv_id, turn, k, list_filter(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1 and lower(x) not in ({STOP})) as w from s),
+z as (select conv_id, turn, k, w, z.o as o, z.n as n, unnest(range(0, len(w) - z.n + 1)) as j from (select *, unnest([{{'o': 1, 'n': 4}}, {{'o': 2, 'n': 3}}, {{'o': 3, 'n': 2}}]) as z from w) where len(w) > z.n),
+v as (select conv_id, turn, 0 as k, 0 as o, 0 as j, trim(regexp_replace(text, '\s+', ' ', 'g')) as v from conversations union all select conv_id, turn, k, 0, 0, array_to_string(w, ' ') from w
+  union all select conv_id, turn, k, o, j, array_to_string(case j when 0 then w[1:n] when 1 then w[len(w) - n + 1:len(w)] else w[j:j + n - 1] end, ' ') from z),
+f as (select conv_id, turn, v, min([k, o, j]) as p from v where v <> '' group by 1, 2, 3)
+select conv_id, turn, (row_number() over (partition by conv_id, turn order by p) - 1)::int as place, v as variant from f qualify place < 16""")
 def query_variants(spark, sf):
-    return spark.createDataFrame(list(enumerate(search.query_variants(QUESTION))), "place int, variant string")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(search.variants(F.col("text"))).alias("place", "variant"))
 
 
 @query("r11_first_variant", r"select doc_id, len(regexp_extract_all(lower(text), '(^|[^\p{L}\p{N}_])the'))::int as hits, 1 as variant from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])the')")
@@ -179,10 +185,18 @@ def recall_outcome(spark, sf):
     return search.outcome(_stage(spark, sf, "PRIMARY", source="src1"), degraded=False)
 
 
-@query("r25_scopes", "select * from (values ('AGENT', false), ('GLOBAL', true), ('PROJECT', true), ('SESSION', false), ('USER', false)) t(scope, searched)")
+@query("r25_scopes", """with r as (select event_id, event_id % 3 = 0 as strict, case event_id % 4 when 0 then []::varchar[] when 1 then ['PROJECT', 'GLOBAL'] when 2 then ['USER', 'SESSION'] else ['GLOBAL'] end as requested,
+  list_filter(['PROJECT', 'AGENT', 'SESSION', 'USER'], lambda x, i: (user_id >> (i - 1)) % 2 = 1) as have from events),
+a as (select *, case when len(requested) > 0 then requested when strict then ['GLOBAL'] else ['PROJECT', 'AGENT', 'SESSION', 'USER', 'GLOBAL'] end as asked from r),
+m as (select *, list_filter(asked, lambda x: x <> 'GLOBAL' and not list_contains(have, x)) as missing, list_filter(asked, lambda x: x = 'GLOBAL' or list_contains(have, x)) as rest from a)
+select event_id, case when strict and len(missing) > 0 then 'error' when len(rest) > 0 then array_to_string(rest, ',') else 'GLOBAL' end as searched, array_to_string(list_transform(missing, lambda x: x || ':identity_unavailable'), ',') as skipped from m""")
 def scopes(spark, sf):
-    good, skipped = search.resolve_scopes([], {"PROJECT": "p"}, strict=False)
-    return spark.createDataFrame([(s, True) for s in good] + [(s.split(":")[0], False) for s in skipped], "scope string, searched boolean")
+    k = F.col("event_id") % 4
+    lits = lambda *names: F.array(*map(F.lit, names))
+    requested = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, lits("PROJECT", "GLOBAL")).when(k == 2, lits("USER", "USER", "SESSION")).otherwise(lits("GLOBAL"))
+    have = F.filter(lits("PROJECT", "AGENT", "SESSION", "USER"), lambda x, i: F.call_function("shiftright", F.col("user_id"), i) % 2 == 1)
+    found = table(spark, sf, "events").select("event_id", search.scopes(requested, have, F.col("event_id") % 3 == 0).alias("s"))
+    return found.select("event_id", F.coalesce(F.array_join("s.searched", ","), F.lit("error")).alias("searched"), F.array_join("s.skipped", ",").alias("skipped"))
 
 
 @query("r26_historical_cascade", "with s as (select l_orderkey, max(l_shipdate) as e from lineitem group by 1) select o_orderkey as context, 'PRIMARY' as affinity from orders left join s on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT' and o_orderdate <= timestamp '1997-06-30' and (e is null or e >= timestamp '1997-06-30') order by o_totalprice desc, o_orderkey limit 40")
@@ -227,9 +241,15 @@ def soft_rebuild(spark, sf):
     return status(e, "before").union(status(e.withColumn("current", F.lit(True)), "after"))
 
 
-@query("q11_ranking_stability", "select event_type, 1::bigint as rankings, true as stable from events group by 1")
+@query("q11_ranking_stability", "select event_type, 1::bigint as rankings, sum(place * (event_id % 1000003))::bigint as ranking from (select *, row_number() over (partition by event_type order by value desc, event_id) as place from events) group by 1")
 def ranking_stability(spark, sf):
-    e = table(spark, sf, "events")
-    run = lambda n, rows: rows.groupBy("event_type").agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("value"), "event_id"))), lambda x: x["event_id"])), 256).alias("ranking")).withColumn("run", F.lit(n))
-    runs = run(1, e).union(run(2, e.repartition(7)))
-    return runs.groupBy("event_type").agg(F.countDistinct("ranking").alias("rankings")).withColumn("stable", F.col("rankings") == 1)
+    """Two runs over differently dealt rows: as many different rankings, and a sum that tells what the ranking is."""
+    e = table(spark, sf, "events").select("event_type", "event_id", (-F.col("value")).alias("down"), F.lit(1).cast("long").alias("one"))
+
+    def run(rows):
+        at, h = with_running_sum(rows, ["event_type", "down", "event_id"], "one", "at"), F.col("event_id") % 1000003
+        sums = at.groupBy("event_type").agg(F.sum(F.col("at") * h).alias("a"), F.sum(h).alias("h"), F.min("at").alias("first"))
+        return sums.select("event_type", (F.col("a") - (F.col("first") - 1) * F.col("h")).alias("ranking"))
+
+    runs = run(e).union(run(e.repartition(7)))
+    return runs.groupBy("event_type").agg(F.countDistinct("ranking").alias("rankings"), F.min("ranking").alias("ranking"))
