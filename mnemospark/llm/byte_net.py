@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mnemospark.llm.common import raw_bytes, slices
@@ -192,24 +193,24 @@ def spread(text: Column, longest: int, window: int) -> Column:
     return F.when(F.length(text) <= longest, text).otherwise(cut)
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, *, key: str, text: str, per_label: int, longest: int, window: int = 256, labels_most: int = 512, rows_most: int = 8_192) -> list[tuple]:
+def labelled_sample(docs: DataFrame, marks: DataFrame, *, key: str, text: str, per_label: int, longest: int, window: int = 256, rows_most: int = 8_192) -> list[tuple]:
     """The (label, text) pairs that a network is fitted on: for each label of marks (columns key and
     label) the per_label keys with the smallest hashes (fewer where labels are many, so that all
-    together are rows_most), and their texts; of a text over longest characters, windows spread over
-    the whole of it. So the sample is bounded by rows_most * longest characters, and no label is left
+    together are rows_most; of over rows_most labels one row each, as none is left out), and their texts; of a text over longest characters, windows spread over
+    the whole of it. So the sample is bounded by rows_most (or as many as there are labels) * longest characters, and no label is left
     out for the length of its texts. Where several rows have a key, one text of it is taken.
 
     Labels are counted first; only keys whose hash is low enough for their label's count are
     sorted. The keys picked are as few as the bound says, so they are broadcast to the texts."""
     rows = marks.select(F.col(key).alias("_k"), F.col("label").alias("_label"), F.xxhash64(F.col(key), F.lit(29)).alias("_h")).where("_label is not null and _k is not null")
-    counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_label").limit(labels_most).collect()}
+    counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label, as the network has an output for each
     if not counts:
         return []
     per_label = max(1, min(per_label, rows_most // len(counts)))
     # four times the rows wanted: that a label has fewer than per_label under it is out of question
     share = {k: min(1.0, (4 * per_label + 100) / n) for k, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for k, b in share.items() for x in (k, 2**63 - 1 if b == 1 else int(b * 2**64) - 2**63)])
-    low = rows.where(F.col("_h") <= limit[F.col("_label")]).distinct()
+    limits = docs.sparkSession.createDataFrame([(k, 2**63 - 1 if b == 1 else int(b * 2**64) - 2**63) for k, b in share.items()], T.StructType([T.StructField("_label", marks.schema["label"].dataType), T.StructField("_most", T.LongType())]))
+    low = rows.join(F.broadcast(limits), "_label").where(F.col("_h") <= F.col("_most")).select("_k", "_label", "_h").distinct()
     picked = low.withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_k"))).where(F.col("_r") <= per_label)
     texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), "_k")
     found = texts.groupBy("_label", "_h", "_k").agg(F.min(spread(F.col("_text"), longest, window)).alias("_text")).collect()

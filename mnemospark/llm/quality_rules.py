@@ -65,10 +65,11 @@ def host_name(host: Column) -> Column:
     return F.when(host.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), host.cast("string")))
 
 
-def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
-    """h, documents of the lines (h: hash of host and line; text_hash) that over max_documents different
-    texts have. Counts are summed before each shuffle."""
-    seen = lines.groupBy("h", "text_hash").agg(F.lit(1).alias("one"))
+def frequent_lines(lines: DataFrame, max_documents: int, copies_once: bool) -> DataFrame:
+    """h, documents of the lines (h: hash of host and line; _row, text_hash) that over max_documents
+    documents have, or where copies_once is set over so many different texts. Counts are summed
+    before each shuffle."""
+    seen = lines.groupBy("h", "text_hash" if copies_once else "_row").agg(F.lit(1).alias("one"))
     return seen.groupBy("h").agg(F.count("one").alias("documents")).where(F.col("documents") > max_documents)
 
 
@@ -79,15 +80,16 @@ def judge(
     host: str = "source",
     text: str = "text",
     max_documents: int = 50,
+    copies_once: bool = False,
     least_words: int = 50,
     least_share: float = 0.3,
     max_repeat_share: float = 0.5,
 ) -> DataFrame:
     """One row per document: the base counts, base_failed, boilerplate_chars, kept.
 
-    A line is boilerplate where over max_documents different texts of its host have it (lines are
-    compared in lower case, digits as 0, without white space; equal texts count as one, so groups of
-    exact copies don't condemn their own lines). Boilerplate lines are removed; a document that
+    A line is boilerplate where over max_documents documents of its host have it (lines are compared in
+    lower case, digits as 0, without white space). copies_once: equal texts count as one document, so that
+    groups of exact copies, which are another operator's to thin out, don't condemn their own lines. Boilerplate lines are removed; a document that
     keeps under least_share of its characters is depleted and not kept. Before that, base rules reject
     texts under least_words words and those with over max_repeat_share of their words in repeated
     3-word windows.
@@ -101,7 +103,7 @@ def judge(
     base = base_features(docs, key, host, text).withColumn("_row", F.monotonically_increasing_id())
     base = stored(base.withColumn("_host", host_name(F.col("host"))), "rules")
     lines = base.select("_row", "_host", "text_hash", F.explode("lines").alias("l")).select("_row", F.xxhash64("_host", "l.h").alias("h"), "text_hash", F.col("l.n").alias("n"))
-    frequent = stored(frequent_lines(lines, max_documents), "rules-lines")
+    frequent = stored(frequent_lines(lines, max_documents, copies_once), "rules-lines")
     removed = lines.join(frequent, "h").groupBy("_row").agg(F.sum("n").alias("boilerplate_chars"))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     left = F.col("word_chars") - F.col("boilerplate_chars")
@@ -115,17 +117,17 @@ def judge(
     )
 
 
-def without_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_documents: int = 50) -> DataFrame:
-    """docs with the lines taken out of text that judge() calls boilerplate: over max_documents
-    different texts of the host have them.
+def without_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_documents: int = 50, copies_once: bool = False) -> DataFrame:
+    """docs with the lines taken out of text that judge() calls boilerplate: over max_documents documents
+    of the host (with copies_once different texts) have them.
 
     Lines are matched by host and content, row by row; a text without such lines is unchanged, null
     stays null, a text of nothing else is empty. Repeated rows and null keys keep their rows; an empty
     table gives none; all columns of docs stay."""
     numbered = stored(docs.withColumn("_id", F.monotonically_increasing_id()), "rules-docs")
     split = numbered.select("_id", host_name(F.col(host)).alias("_host"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)).alias("text_hash"), F.posexplode(F.split(normalised(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("_p", "_line")).where("_line != ''")
-    split = split.select("_id", "_p", "text_hash", F.xxhash64("_host", F.xxhash64(F.lower("_line"))).alias("h"))
-    frequent = stored(frequent_lines(split, max_documents), "rules-lines")
+    split = split.select("_id", F.col("_id").alias("_row"), "_p", "text_hash", F.xxhash64("_host", F.xxhash64(F.lower("_line"))).alias("h"))
+    frequent = stored(frequent_lines(split, max_documents, copies_once), "rules-lines")
     gone = split.join(frequent, "h", "left_semi").groupBy("_id").agg(F.collect_set("_p").alias("_gone"))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return numbered.join(gone, "_id", "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_id", "_gone")

@@ -213,3 +213,29 @@ def test_resampling_query_against_brute_force(spark):
     want, drawn = resampled_by_hand(docs, target)
     rank = {i: n + 1 for n, (_, _, i) in enumerate(drawn)}
     assert sorted(tuple(r) for r in queries.op11_resampling(spark, SF).select("doc_id", "n_features", "weight", "score", F.coalesce("rank", F.lit(0))).collect()) == sorted((*w, rank.get(w[0], 0)) for w in want)
+
+
+def test_boilerplate_counts_documents_or_texts(spark):
+    from mnemospark.llm import quality_rules
+
+    own = "A line of its own, which no other text has, about " + prose(1, 60)
+    rows = [(i, own) for i in range(60)] + [(100 + i, prose(200 + i, 80)) for i in range(5)]
+    d = frame(spark, rows, source=lambda i: "s")
+    each = {r["doc_id"]: (r["boilerplate_chars"] > 0, r["kept"]) for r in quality_rules.judge(d).collect()}
+    once = {r["doc_id"]: (r["boilerplate_chars"] > 0, r["kept"]) for r in quality_rules.judge(d, copies_once=True).collect()}
+    assert {each[i] for i in range(60)} == {(True, False)} and {once[i] for i in range(60)} == {(False, True)}
+    assert {each[100 + i] for i in range(5)} == {(False, True)}
+    assert {r["text"] for r in quality_rules.without_boilerplate(d).where("doc_id < 60").collect()} == {""}
+    assert {r["text"] for r in quality_rules.without_boilerplate(d, copies_once=True).where("doc_id < 60").collect()} == {own}
+
+
+def test_no_label_is_left_out(spark):
+    from mnemospark.llm import byte_net
+
+    rows = [(i, prose(i, 12), f"l{i % 600}") for i in range(1800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    sample = byte_net.labelled_sample(d, d.select("doc_id", "label"), key="doc_id", text="text", per_label=2, longest=1000)
+    seen = [y for y, _ in sample]
+    assert len(set(seen)) == 600 and max(map(seen.count, set(seen))) == 2
+    few = byte_net.labelled_sample(d, d.select("doc_id", "label"), key="doc_id", text="text", per_label=2, longest=1000, rows_most=100)
+    assert len(few) == 600
