@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mnemospark.plans import compiling, etl, search, streams  # noqa: F401  (they register their queries)
+from mnemospark.plans import compiling, etl, search, stores, streams  # noqa: F401  (they register their queries)
 from mnemospark.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
