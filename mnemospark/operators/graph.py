@@ -23,10 +23,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back)
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, out_degree, in_degree of every node (distinct neighbours). Edges are read once: both ends of
+def degrees(nodes: DataFrame, edges: DataFrame, distinct: bool = False) -> DataFrame:
+    """id, out_degree, in_degree of every node (distinct neighbours). distinct: no edge comes twice. Edges are read once: both ends of
     each different edge count in one sum, partly before they move, so a hub is no burden."""
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst") if distinct else edges.select("src", "dst").distinct()
     end = lambda c, o, i: F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
     ends = e.select(F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))
     sums = ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
@@ -51,7 +51,7 @@ def related(edges: DataFrame, seed) -> DataFrame:
 def reach(edges: DataFrame, start, depth: int, directed: bool = True) -> DataFrame:
     """id and depth of all nodes within depth steps of start, each at its least depth. The frontier
     alone is joined in each step; steps are as few as the depth asked for."""
-    e = (edges if directed else both_ways(edges)).select("src", "dst").distinct()
+    e = checkpointed((edges if directed else both_ways(edges)).select("src", "dst").distinct())
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], f"id {dict(edges.dtypes)['src']}, depth int")
     frontier = seen

@@ -130,11 +130,14 @@ def resolve_identity(requests: DataFrame, notes: DataFrame) -> DataFrame:
     asked = requests.withColumn("_p", flat(F.col("project"))).withColumn("_r", flat(F.col("report"))).withColumn("_e", flat(F.col("entity"))).withColumn("_ed", F.coalesce(flat(F.col("edition")), F.lit("")))
     same = family.groupBy("_p", "_r", "_e", "_d", "_ed").agg(F.countDistinct("note_id").alias("_n"), F.min("note_id").alias("note_id"), F.min_by("path", "note_id").alias("_path"))
     found = asked.join(same.withColumnRenamed("_d", "date"), ["_p", "_r", "_e", "_ed", "date"], "left")
-    earlier = asked.select("request", "_p", "_r", "_e", F.col("date").alias("_to")).join(family, ["_p", "_r", "_e"]).where(F.col("_d") < F.col("_to"))
-    latest = earlier.groupBy("request").agg(F.max_by(F.struct("path", "_d"), F.col("_d")).alias("_s"), F.max("_d").alias("_m"))
-    ties = earlier.join(latest, "request").where(F.col("_d") == F.col("_m")).groupBy("request").agg(F.countDistinct("note_id").alias("_same"))
-    rows = found.join(latest, "request", "left").join(ties, "request", "left")
+    # of each family the notes of one date are a row; a request sees the last such row before its date
+    dated = family.groupBy("_p", "_r", "_e", "_d").agg(F.countDistinct("note_id").alias("_same"), F.min_by("path", "note_id").alias("path"))
+    dated = dated.select("_p", "_r", "_e", F.col("_d").alias("_at"), F.lit(1).alias("_late"), F.struct("path", "_d", "_same").alias("_s"))
+    line = dated.withColumn("request", F.lit(None).cast(dict(requests.dtypes)["request"])).unionByName(asked.where("date is not null").select("_p", "_r", "_e", F.col("date").alias("_at"), F.lit(0).alias("_late"), F.lit(None).cast(dated.schema["_s"].dataType).alias("_s"), "request"))
+    before = Window.partitionBy("_p", "_r", "_e").orderBy("_at", "_late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = line.withColumn("_s", F.last("_s", ignorenulls=True).over(before)).where("_late = 0 and _s is not null").select("request", "_s").dropDuplicates(["request"])
+    rows = found.join(latest, "request", "left")
     fresh = F.concat(F.concat_ws("/", "project", "report", F.concat_ws("-", "date", "entity")), F.lit(".md"))
-    moved = F.when((F.col("_same") == 1) & F.col("_s.path").contains(F.col("_s._d")), F.replace(F.col("_s.path"), F.col("_s._d"), F.col("date")))
+    moved = F.when((F.col("_s._same") == 1) & F.col("_s.path").contains(F.col("_s._d")), F.replace(F.col("_s.path"), F.col("_s._d"), F.col("date")))
     resolution = F.when(F.col("_n") == 1, "EXISTING_CANONICAL_FAMILY").when(F.col("_n") > 1, "AMBIGUOUS_CANONICAL_IDENTITY").otherwise("NEW_CANONICAL_IDENTITY")
     return rows.select("request", resolution.alias("resolution"), F.when(F.col("_n") == 1, F.col("note_id")).alias("note_id"), F.when(F.col("_n") == 1, F.col("_path")).otherwise(F.coalesce(moved, fresh)).alias("path"))

@@ -97,7 +97,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start, *, direction: str = "out
 
     Each step joins the frontier, as small as max_results, with the edges; the places within a step
     are given to max_results rows at most."""
-    e = _steps(edges, direction, list(relations))
+    e = checkpointed(_steps(edges, direction, list(relations)))  # once, for all steps
     kind = dict(nodes.dtypes)["note_id"]
     spark = nodes.sparkSession
     if not nodes.where(F.col("note_id") == F.lit(start)).take(1):

@@ -53,7 +53,9 @@ def overlapping_pairs(df: DataFrame, block: str, key: str, start: str, end: str)
     Two intervals overlap where one begins within the other. So each row has one place, the stretch of
     days its start lies in, and meets the rows of its block that span this stretch: only one side is
     dealt to all its stretches, and no pair is made twice. A stretch is as long as the mean interval,
-    so that a row is in about two; a large block is spread over its stretches."""
+    so that a row is in about two; a large block is spread over its stretches. The intervals are stored
+    once: their bounds, their mean and both sides are read from there."""
+    df = checkpointed(df.select(block, key, start, end))
     time = lambda c: F.col(c).cast("timestamp")
     low, high = F.least(F.min(time(start)), F.min(time(end))), F.greatest(F.max(time(start)), F.max(time(end)))
     bounds = df.groupBy(block).agg(low.alias("_lo"), high.alias("_hi"))

@@ -27,12 +27,18 @@ def _states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), "l_returnflag", "l_shipdate", "l_discount", "l_linenumber", "l_partkey", F.concat(F.lit("e"), "l_suppkey").alias("edge"), digest.alias("h"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), "o_orderstatus", "o_orderpriority")
 
-    def state(lines: DataFrame, content) -> DataFrame:
-        lists = lines.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "h", content.alias("c")))), lambda x: x["c"]).alias("chunks"), F.collect_set("edge").alias("edges"))
-        return lists.withColumn("source_hash", F.sha2(F.array_join("chunks", ","), 256)).join(o, "path")
+    def lists(name: str, kept, content) -> list:
+        line = F.when(kept, F.struct("l_linenumber", "l_partkey", "h", content.alias("c")))
+        return [F.transform(F.array_sort(F.collect_list(line)), lambda x: x["c"]).alias(f"{name}_chunks"), F.collect_set(F.when(kept, F.col("edge"))).alias(f"{name}_edges")]
 
-    now = state(li.where("l_returnflag <> 'R'"), F.when(F.col("l_discount") > 0.08, F.sha2("h", 256)).otherwise(F.col("h")))
-    then = state(li.where("l_shipdate < timestamp '2000-01-01'"), F.col("h"))
+    shown = F.when(F.col("l_discount") > 0.08, F.sha2("h", 256)).otherwise(F.col("h"))
+    both = li.groupBy("path").agg(*lists("now", F.col("l_returnflag") != "R", shown), *lists("then", F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp"), F.col("h"))).join(o, "path")
+
+    def side(name: str) -> DataFrame:
+        rows = both.where(F.size(f"{name}_chunks") > 0).select("path", F.col(f"{name}_chunks").alias("chunks"), F.col(f"{name}_edges").alias("edges"), "o_orderstatus", "o_orderpriority")
+        return rows.withColumn("source_hash", F.sha2(F.array_join("chunks", ","), 256))
+
+    now, then = side("now"), side("then")
     now = now.withColumn("fingerprint", F.when(F.col("o_orderstatus") == "F", "new").otherwise("old"))
     return now, then.withColumn("fingerprint", F.lit("old")).withColumn("chunks", F.when(F.col("o_orderpriority") != "5-LOW", F.col("chunks")))
 
