@@ -2,12 +2,14 @@
 
 For a tokenizer whose pieces never cross white space, the ids of a text are the ids of its words
 one after the other. Prose repeats its words, so a table of the words met so far saves most of the
-work; the library itself encodes each word that isn't in the table."""
+work; the library itself encodes each word that isn't in the table. Whether a tokenizer is of this
+kind is probed when it is loaded; with any other one the library encodes whole texts."""
 
 from __future__ import annotations
 
 import gc
 import os
+from string import ascii_lowercase, ascii_uppercase
 from unicodedata import is_normalized
 
 import numpy as np
@@ -15,6 +17,9 @@ import numpy as np
 #: ASCII marks that end a word. After a letter they're a piece of their own (an apostrophe isn't
 #: here: it may begin a contraction; words with "<" may be special tokens and stay whole).
 MARKS = b".,;:!?|%&$*#"
+#: What stands between the words that a tokenizer is probed with, and the words.
+GAPS = (" ", "\t", "\n", "\x0b", "\f", "\r", "  ", "\r\n", " \n\t ")
+PROBES = ("The", "quick", "QUICK", "it's", "a1b2", "x-y", "Été", "...", "42", "A.", "(see", "你好", "$5", "don't,", "_x_")
 
 
 class _Codes(dict):
@@ -44,13 +49,30 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        self.tokenizer.no_truncation()  # texts are encoded whole, and are not filled up
+        self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         ending = [i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
         self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, dtype=bool)
         self.ends_word[ending] = True
+        self._probe()
         self._empty()
 
+    def _probe(self) -> None:
+        """Sets what the tokenizer allows. whole: words alone don't have the ids they have in a text, so texts
+        are encoded as they are. folds: an ASCII capital has the ids of its small letter. marks: MARKS
+        after a letter are pieces of their own."""
+        ids = lambda *parts: [i for p in parts for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        spaced = any(a.lstrip or a.rstrip or a.content.split() != [a.content] for a in added)
+        self.whole = spaced or self.tokenizer.pre_tokenizer is None or any(ids(g + g.join(PROBES) + g) != ids(*PROBES) for g in GAPS)
+        known = all("<" in a.content for a in added)  # words with "<" are neither folded nor cut
+        normalizer = self.tokenizer.normalizer
+        self.folds = known and normalizer is not None and normalizer.normalize_str(ascii_uppercase) == ascii_lowercase
+        runs = [a + b for a in MARKS.decode() for b in ["", *MARKS.decode()]]
+        self.marks = known and all(ids(w + m) == ids(w, m) for w in ("ab", "X", "zebra") for m in runs)
+
     def _empty(self) -> None:
         self.new: list[bytes] = []
         self.codes = _Codes(self.new, 1)
@@ -77,10 +99,10 @@ class WordIds:
         pieces = []
         for word in self.new:
             core = word.rstrip(MARKS)
-            if not core or b"<" in word or not core[-1:].isalpha():
+            if not self.marks or not core or b"<" in word or not core[-1:].isalpha():
                 pieces.append((word,))
             else:
-                low = core.lower() if core.isascii() else core
+                low = core.lower() if self.folds and core.isascii() else core
                 pieces.append((low, word[len(core) :]) if len(core) < len(word) else (low,))
         self._encode_parts(list({p for ps in pieces for p in ps if p not in self.parts}))
         ids = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in pieces]
@@ -117,6 +139,10 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, end ids with them, and how many each text has."""
+        if self.whole:
+            end = [] if self.end_id is None else [self.end_id]
+            found = [e.ids + end for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
         if self.known > self.most:
             self._empty()
         codes: list[int] = []

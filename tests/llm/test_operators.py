@@ -192,6 +192,33 @@ def test_word_ids_are_the_library_s():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("kind", ["word_bpe", "cased", "crosses_spaces", "no_pieces", "plain_special"])
+def test_word_ids_of_other_tokenizers(tmp_path, kind):
+    from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
+
+    path = TOKENS
+    if kind != "word_bpe":
+        signs = [chr(i) for i in range(33, 127)] + ["Ġ", "é", "the", "The", "b,", " "]
+        model = models.BPE(vocab={s: i for i, s in enumerate(signs + ["?u", "th", "Th"])}, merges=[("t", "h"), ("T", "h"), ("th", "e"), ("Th", "e"), ("b", ",")], unk_token="?u")
+        t = Tokenizer(model)
+        if kind == "plain_special":
+            t.normalizer = normalizers.Lowercase()
+            t.add_special_tokens([AddedToken("[END]", normalized=False)])
+        if kind != "no_pieces":
+            t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False) if kind == "crosses_spaces" else pre_tokenizers.WhitespaceSplit()
+        t.enable_truncation(5)
+        t.save(path := str(tmp_path / "t.json"))
+    coder, t = word_ids.WordIds(path, 7), Tokenizer.from_file(path)
+    t.no_truncation()
+    assert (coder.whole, coder.folds, coder.marks) == {
+        "word_bpe": (False, True, True), "cased": (False, False, False), "crosses_spaces": (True, False, True), "no_pieces": (True, False, False), "plain_special": (False, False, False),
+    }[kind]
+    texts = ["The the THE a b, ab. AB.", "", "  ", " x\ty [END] [END]x. é", "the " * 50]
+    ids, n = coder.encode([x.encode() for x in texts])
+    at = np.concatenate([[0], np.cumsum(n)])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids + [7] for x in texts]
+
+
 def test_token_files(spark, odd, empty):
     path = shared_path(spark, "test-ids")
     token_output.write_ids(odd, path, TOKENS, chunk_ids=3000, block=1024)
@@ -332,6 +359,17 @@ def test_pipeline_keeps_nameless_documents(spark, tmp_path):
     assert {t for t, _ in seen["mixing"]} <= {t for t, _ in seen["repeated_passages"]} and seen["mixing"]
 
 
+def test_equal_nameless_rows_keep_the_same_one(spark):
+    import corpus_pipeline
+
+    rows = [(None, prose(3, 40), lang, source, 1) for source in ("c", "a", "b") for lang in ("de", "en")] + [(None, None, "x", "y", 1)] * 2 + [(None, " ", "x", "y", 1)] * 2
+    for part in (1, 4):
+        docs = spark.createDataFrame(rows[::-1] if part > 1 else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(part)
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+        assert [(r["lang"], r["source"]) for r in got if r["text"] == prose(3, 40)] == [("de", "a")]
+        assert len(got) == 5
+
+
 def test_main_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
     <div class="ad">Buy this, buy that, buy it all.</div><article><h1>Title &amp; more</h1><p>First   paragraph, with commas, and
