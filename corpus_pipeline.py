@@ -32,11 +32,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the one with the smallest doc_id.
 
     Rows that share a doc_id are one document, so they stay or go together. Of equal texts without
-    a doc_id one is kept; texts without words are no duplicates of anything. All columns stay; an
-    empty table gives none."""
+    a doc_id one is kept, the row whose other columns come first as JSON; texts without words are no
+    duplicates of anything. All columns stay; an empty table gives none."""
     # rows that share a key are one document, so of equal texts without a doc_id one is taken first
     nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    rows = _keyed(docs.where(~nameless).unionByName(docs.where(nameless).dropDuplicates(["text"])))
+    row = F.struct(*docs.columns)
+    one = docs.where(nameless).groupBy("text").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    rows = _keyed(docs.where(~nameless).unionByName(one))
     kept = minhash.components(rows, key="_key", width=5).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return rows.join(kept, "_key", "left_semi").select(docs.columns)
 
