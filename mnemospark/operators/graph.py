@@ -80,21 +80,53 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _shortened(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """e (src, dst, each once, no self links) with its chains, nodes that have one link in and one out, as single links; their nodes
+    (id, src, dst: from where to where their chain leads); and rings (id, cycle) of such nodes alone. None without any.
+    Steps along a chain double, so one of 10,000 nodes takes 14 joins."""
+    one = lambda c, other, as_: e.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias(as_)).where("n = 1").drop("n")
+    plain = checkpointed(one("dst", "src", "before").join(one("src", "dst", "after"), "id"))
+    n = plain.count()
+    if not n:
+        return None
+    ids = plain.select(F.col("id").alias("_id"), F.lit(True).alias("_in"))
+    first = F.when(F.col("_in"), F.col("after")).otherwise(F.col("id"))
+    walk = checkpointed(plain.join(ids, plain["after"] == ids["_id"], "left").select("id", first.alias("at"), F.col("_in").isNotNull().alias("on"), F.least("id", first).alias("low")))
+    steps = 1
+    while steps <= n and walk.where("on").limit(1).count():
+        far = walk.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("on").alias("_on"), F.col("low").alias("_low"))
+        walk = checkpointed(walk.join(far, "at").select("id", F.col("_at").alias("at"), F.col("_on").alias("on"), F.least("low", "_low").alias("low")))
+        steps *= 2
+    lines = walk.where("not on").select("id", "at").join(plain, "id")
+    begin = lines.join(ids, lines["before"] == ids["_id"], "left_anti").select("at", F.col("before").alias("src"))
+    chains = begin.join(plain.select(F.col("id").alias("at"), F.col("after").alias("dst")), "at")
+    members = checkpointed(lines.select("id", "at").join(chains, "at").select("id", "src", "dst"))
+    rest = e.join(ids, e["src"] == ids["_id"], "left_anti").join(ids, F.col("dst") == F.col("_id"), "left_anti")
+    rest = rest.unionByName(members.where("src != dst").select("src", "dst")).distinct()
+    return checkpointed(rest), members, walk.where("on").select("id", F.col("low").alias("cycle"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """id and cycle (its smallest member) of all nodes on a directed cycle, self links among them.
 
-    Nodes without a link in or out are on none and are trimmed away until all have both. Then every
+    Nodes without a link in or out are on none and are trimmed, and chains become single links, until all
+    nodes have both and several of one: in turn, so that trees and chains of any depth take few rounds. Then every
     node takes the largest id that leads to it as its colour; what reaches a colour's own node within
-    the colour is one strongly connected set. Sets found leave the graph, and the rest goes on. Each
-    round is joins on node ids, cut from its lineage; every colour yields a set each round."""
+    the colour is one strongly connected set. Sets found leave the graph, and the rest goes on. At last the nodes of
+    chains that lead from a set into itself join it. Each round is joins on node ids, cut from its lineage; every
+    colour yields a set each round."""
     loops = edges.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")).distinct()
     e = checkpointed(edges.where("src != dst").select("src", "dst").distinct())
-    found = loops
+    found, shortened = loops.limit(0), []
     while True:
         n = -1
         while n != (n := e.count()):
             heads, tails = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
             e = checkpointed(e.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+            if parts := _shortened(e):
+                e, members, rings = parts
+                shortened.append(members)
+                found = found.unionByName(rings)
         if n == 0:
             break
         colours = checkpointed(e.select(F.col("src").alias("id"), F.col("src").alias("colour")).distinct())
@@ -115,6 +147,13 @@ def cycles(edges: DataFrame) -> DataFrame:
         found = found.unionByName(members.join(least, "colour").select("id", "cycle"))
         gone = members.select("id")
         e = checkpointed(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    for members in reversed(shortened):  # a chain is on a cycle where both its ends are in one set, or are one node
+        at = lambda c: found.select(F.col("id").alias(c), F.col("cycle").alias(f"_{c}"))  # noqa: B023, E731
+        met = members.join(at("src"), "src", "left").join(at("dst"), "dst", "left").where("src = dst or _src = _dst")
+        met = met.select(F.inline(F.array(F.struct("id", F.coalesce("_src", "src").alias("cycle")), F.struct(F.col("src").alias("id"), F.coalesce("_src", "src").alias("cycle")))))
+        found = checkpointed(found.unionByName(met).distinct())
+    least = found.groupBy("cycle").agg(F.min("id").alias("_least"))
+    found = found.join(least, "cycle").select("id", F.col("_least").alias("cycle")).unionByName(loops)
     return found.groupBy("id").agg(F.min("cycle").alias("cycle"))
 
 

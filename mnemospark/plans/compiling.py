@@ -94,16 +94,21 @@ def validate_manifest(spark, sf):
     return manifest.validate_manifest(c)
 
 
-@query("c3_change_report", """select doc_id, case when doc_id % 9 = 0 then 'missing_previous' when doc_id % 5 = 0 then 'changed' else 'unchanged' end as content, case when doc_id % 4 = 0 then 'not_compared' else 'unchanged' end as fingerprint, case when n_chars % 2 = 0 then 'unchanged' else 'changed' end as chunks,
- (doc_id % 9 > 0 and doc_id % 5 = 0) or n_chars % 2 = 1 as any_changed, doc_id % 9 = 0 or doc_id % 5 = 0 or n_chars % 2 = 1 as requires_refresh from documents""")
+COMPARED = "case when {c}1 is null then 'not_compared' when {c}0 is null then 'missing_previous' when {c}0 = {c}1 then 'unchanged' else 'changed' end"
+
+
+@query("c3_change_report", f"""with {STATES}, n as (select path, sha256(string_agg(h, ',' order by i)) as v, list_sort(list_distinct(list(h))) as k, list_sort(list_distinct(list(edge))) as e from cur group by 1),
+o as (select path, sha256(string_agg(h, ',' order by i)) as v, list_sort(list_distinct(list(h))) as k, list_sort(list_distinct(list(edge))) as e from old group by 1),
+b as (select path, o.v as h0, n.v as h1, case when o.v is not null then 'old' end as f0, case when n.v is null then null when o_orderstatus = 'F' then 'new' else 'old' end as f1,
+  case when o_orderpriority <> '5-LOW' then o.k end as k0, n.k as k1, o.e as e0, n.e as e1 from n full join o using (path) join orders on o_orderkey = path),
+s as (select path, {COMPARED.format(c="h")} as content, {COMPARED.format(c="f")} as fingerprint, {COMPARED.format(c="k")} as chunks, {COMPARED.format(c="e")} as edges from b)
+select *, 'changed' in (content, fingerprint, chunks, edges) as any_changed, 'changed' in (content, fingerprint, chunks, edges) or 'missing_previous' in (content, fingerprint, chunks, edges) as requires_refresh from s""")
 def change_report(spark, sf):
-    k, digest = F.col("doc_id"), F.sha2("text", 256)
-    d = table(spark, sf, "documents").select(
-        "doc_id", F.when(k % 9 != 0, F.when(k % 5 == 0, "old").otherwise(digest)).alias("h0"), digest.alias("h1"), F.lit("m").alias("f0"), F.when(k % 4 != 0, "m").alias("f1"),
-        F.array(F.lit("a"), F.lit("b")).alias("k0"), F.when(F.col("n_chars") % 2 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("k1"),
-    )
-    out = manifest.change_report(d, {"content": ("h0", "h1"), "fingerprint": ("f0", "f1")}, {"chunks": ("k0", "k1")})
-    return out.select("doc_id", "content", "fingerprint", "chunks", "any_changed", "requires_refresh")
+    now, then = _states(spark, sf)
+    side = lambda df, i: df.select("path", *[F.col(c).alias(f"{k}{i}") for k, c in {"h": "source_hash", "f": "fingerprint", "k": "chunks", "e": "edges"}.items()])
+    both = side(then, 0).join(side(now, 1), "path", "full_outer")
+    out = manifest.change_report(both, {"content": ("h0", "h1"), "fingerprint": ("f0", "f1")}, {"chunks": ("k0", "k1"), "edges": ("e0", "e1")})
+    return out.select("path", "content", "fingerprint", "chunks", "edges", "any_changed", "requires_refresh")
 
 
 @query("c4_identity", """with n as (select o_orderkey as note_id, o_orderpriority as project, o_orderstatus as report, o_orderdate::date::varchar as date, o_custkey as entity, o_orderpriority || '/' || o_orderstatus || '/' || o_orderdate::date || '-x' || o_custkey || '-' || o_orderkey || '.md' as path from orders),
@@ -173,13 +178,18 @@ def capped_pairs(spark, sf):
     return linkage.capped(base._linked(spark, sf).select("left_id", "right_id", "score"), 5).select("left_id", "right_id")
 
 
-@query("l5_lineage", "select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'left_descends_from_right' when 1 then 'right_descends_from_left' when 2 then 'shared_ancestor' else 'none' end as lineage from lineitem")
+@query("l5_lineage", """with x as (select o_orderkey as id, o_custkey, row_number() over w as n, list_filter([lag(o_orderkey, 1) over w, lag(o_orderkey, 3) over w], lambda i: i is not null) as above from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+p as (select case when a.id % 2 = 0 then a else b end as l, case when a.id % 2 = 0 then b else a end as r from x a join x b on a.o_custkey = b.o_custkey and b.n - a.n between 1 and 3)
+select l.id as left_id, r.id as right_id, case when list_contains(l.above, r.id) then 'left_descends_from_right' when list_contains(r.above, l.id) then 'right_descends_from_left' when len(list_intersect(l.above, r.above)) > 0 then 'shared_ancestor' else 'none' end as lineage from p""")
 def lineage(spark, sf):
-    k = F.col("l_linenumber") % 4
-    item = lambda i, more: F.struct(F.lit(i).alias("item_id"), more.alias("ancestors"))
-    left = item(1, F.when(k == 0, F.array(F.lit(9), F.lit(2))).otherwise(F.array(F.lit(7))))
-    right = item(2, F.when(k == 1, F.array(F.lit(1))).when(k == 2, F.array(F.lit(7), F.lit(8))).otherwise(F.array(F.lit(5))))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", linkage.lineage(left, right).alias("lineage"))
+    """Each order with the next three of its customer; an order descends from the one before it and the third before it."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    above = F.array_compact(F.array(F.lag("o_orderkey", 1).over(w), F.lag("o_orderkey", 3).over(w)))
+    x = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.struct(F.col("o_orderkey").alias("item_id"), above.alias("ancestors")).alias("a"))
+    pairs = x.select("a", F.array_compact(F.array(*[F.lead("a", i).over(w) for i in (1, 2, 3)])).alias("later")).select("a", F.explode("later").alias("b"))
+    even = F.col("a.item_id") % 2 == 0
+    pairs = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("r"))
+    return pairs.select(F.col("l.item_id").alias("left_id"), F.col("r.item_id").alias("right_id"), linkage.lineage(F.col("l"), F.col("r")).alias("lineage"))
 
 
 PLANS = f"""{upkeep.DECIDED}, cand as (select l_orderkey as o, l_linenumber as candidate from lineitem), plan as (select c.o, c.candidate, relation, coalesce(relation in ('CONTRADICTS', 'SUPERSEDES', 'UNKNOWN'), false) as review from cand c left join chosen using (o, candidate))"""
@@ -245,7 +255,10 @@ def fact_categories(spark, sf):
     return _facts(spark, sf).select("context_id", "category")
 
 
-@query("l15_safety_issues", "select unnest(['UNSUPPORTED_MERGE', 'SUPERSEDED_FACT_PRESENTED_AS_CURRENT']) as issue")
+@query("l15_safety_issues", f"""with {FACTS}, f as (select o_orderkey as id, category, 'total ' || o_orderkey as t, o_orderkey % 5 > 0 as supported, o_orderkey % 11 = 0 as disputed, o_orderkey % 2 = 0 or o_orderstatus = 'F' as past from fact join orders on o_orderkey = context_id)
+select 'TEMPORAL_STATE_COLLAPSE' as issue where exists (select 1 from f group by id having count(distinct category) > 1) union all select 'DUPLICATE_CLAIM_INFLATION' where exists (select 1 from f group by t having count(distinct id) > 1)
+union all select 'UNSUPPORTED_MERGE' where exists (select 1 from f where category = 'CURRENT' and not supported) union all select 'SUPERSEDED_FACT_PRESENTED_AS_CURRENT' where exists (select 1 from f where category = 'CURRENT' and past)
+union all select 'UNRESOLVED_CONTRADICTION_LEAKAGE' where exists (select 1 from f where category = 'CURRENT' and disputed)""")
 def safety_issues(spark, sf):
     return reconcile.safety_issues(_facts(spark, sf))
 

@@ -86,9 +86,19 @@ def traverse(spark, sf):
     return _walk(spark, sf).select("id", "depth", "place", "truncated")
 
 
-@query("g4_lineage", f"with {LINKS} select dst as id, 1::int as depth, 'supersedes' as way from link where src = 'c1' and relation = 'supersedes'")
+@query("g4_lineage", """with recursive o as (select o_orderkey as id, lag(o_orderkey, 1) over w as p, case when o_orderkey % 3 = 0 then lag(o_orderkey, 2) over w end as q from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+e as (select id as src, p as dst from o where p is not null union select id, q from o where q is not null), s as (select min(o_orderkey) as id from orders),
+a as (select id, 0 as depth from s union select dst, depth + 1 from a join e on src = a.id where depth < 8), b as (select id, 0 as depth from s union select src, depth + 1 from b join e on dst = b.id where depth < 8)
+select id, min(depth)::int as depth, 'supersedes' as way from a group by 1 having min(depth) > 0 union all select id, min(depth)::int, 'superseded_by' from b group by 1 having min(depth) > 0""")
 def note_lineage(spark, sf):
-    return P.note_lineage(_notes(spark, sf), _links(spark, sf), "c1", max_results=500)
+    """Orders as notes: each supersedes its customer's order before, every third one the order before that too, and links to the third before."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("note_id"), "o_orderkey")
+    before = lambda i, way: F.struct(F.lag("o_orderkey", i).over(w).alias("dst"), F.lit(way).alias("relation"))
+    ways = F.array(before(1, "supersedes"), F.when(F.col("o_orderkey") % 3 == 0, before(2, "supersedes")), before(3, "wikilink"))
+    edges = orders.select(F.col("o_orderkey").alias("src"), ways.alias("ways")).select("src", F.explode("ways").alias("e")).select("src", "e.dst", "e.relation").where("dst is not null")
+    start = orders.agg(F.min("note_id")).first()[0]
+    return P.note_lineage(orders, edges, start, max_results=500)
 
 
 @query("g5_candidates", f"""with {WALK}, {NOTES}, grams as (select id, depth, place, list_distinct(list_transform(range(1, length(t) - 1), lambda i: t[i:i+2])) as g from (select id, depth, place, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') as t from walk join note on note_id = id where id <> 's1')),

@@ -137,7 +137,7 @@ def context_recall(spark, sf):
     return search.context_recall(chunks, "the", 8, F.col("lang") == "en").select("note_id", F.round("score", 6).alias("score"))
 
 
-@query("r14_fusion_trace", f"with {base.LANE} select (select count(*) from lex) as lexical_rows, (select count(*) from lex) as lexical_unique, (select count(*) from vec) as vector_rows, (select count(*) from vec) as vector_unique, (select count(*) from lex join vec using (doc_id)) as cross_lane, (select count(*) from (select doc_id from lex union select doc_id from vec)) as fused, 0::bigint as lexical_repeated, 0::bigint as vector_repeated, 20::bigint as returned")
+@query("r14_fusion_trace", f"with {base.LANE} select (select count(*) from lex) as lexical_rows, (select count(distinct doc_id) from lex) as lexical_unique, (select count(*) from vec) as vector_rows, (select count(distinct doc_id) from vec) as vector_unique, (select count(*) from lex join vec using (doc_id)) as cross_lane, (select count(*) from (select doc_id from lex union select doc_id from vec)) as fused, (select count(*) - count(distinct doc_id) from lex) as lexical_repeated, (select count(*) - count(distinct doc_id) from vec) as vector_repeated, (select least(count(*), 20) from (select doc_id from lex union select doc_id from vec)) as returned")
 def fusion_trace(spark, sf):
     lexical, vector = base._lanes(spark, sf)
     out = search.fusion_trace(lexical, vector, "doc_id", 20)
@@ -234,11 +234,16 @@ def reindex_selection(spark, sf):
     return search.reindex_selection(e, F.col("label") != 3, "at", "vec_id", 480, force=True).select("vec_id")
 
 
-@query("r32_soft_rebuild", "select 'before' as moment, count(*) as total, count(*) filter (label % 2 = 0) as current, count(*) - count(*) filter (label % 2 = 0) as stale from embeddings union all select 'after', count(*), count(*), 0 from embeddings")
+@query("r32_soft_rebuild", """with e as (select vec_id, label % 2 = 0 as fresh, case when vec_id % 4 > 0 then label end as since from embeddings), picked as (select vec_id from e where not fresh order by since nulls first, vec_id limit 100),
+moments as (select 'before' as moment, fresh from e union all select 'after', fresh or vec_id in (select vec_id from picked) from e)
+select moment, count(*) as total, count(*) filter (fresh) as current, count(*) - count(*) filter (fresh) as stale from moments group by 1""")
 def soft_rebuild(spark, sf):
-    e = table(spark, sf, "embeddings").select((F.col("label") % 2 == 0).alias("current"))
+    """How many embeddings are current before and after a rebuild of at most 100 stale ones, which leaves the others as they are."""
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2 == 0).alias("current"), F.when(F.col("vec_id") % 4 > 0, F.col("label")).alias("since"))
+    picked = search.reindex_selection(e, ~F.col("current"), "since", "vec_id", 100).select("vec_id", F.lit(True).alias("new"))
+    rebuilt = e.join(F.broadcast(picked), "vec_id", "left").select((F.col("current") | F.coalesce("new", F.lit(False))).alias("current"))
     status = lambda df, moment: df.agg(F.count(F.lit(1)).alias("total"), F.count_if("current").alias("current")).select(F.lit(moment).alias("moment"), "total", "current", (F.col("total") - F.col("current")).alias("stale"))
-    return status(e, "before").union(status(e.withColumn("current", F.lit(True)), "after"))
+    return status(e, "before").union(status(rebuilt, "after"))
 
 
 @query("q11_ranking_stability", "select event_type, 1::bigint as rankings, sum(place * (event_id % 1000003))::bigint as ranking from (select *, row_number() over (partition by event_type order by value desc, event_id) as place from events) group by 1")

@@ -1,5 +1,7 @@
 """Notes, links, plans and streams on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +227,34 @@ def test_cycles(spark):
     assert graph.cycles(edges.where("src = 0")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_against_reach(spark, seed):
+    r = random.Random(seed)
+    links = [(r.randrange(14), r.randrange(14)) for _ in range((8, 14, 20, 30)[seed])]
+    links += [(i, i + 1) for i in range(20, 29)] + [(29, 20)] + [(i, i + 1) for i in range(40, 46)] + [(46, 3), (5, 40)]  # a ring, a chain between two nodes
+    links += [(50, 51), (51, 50), (50, 52), (52, 50), (60, 61), (62, 61), (61, 63)]
+    ids = {x for link in links for x in link}
+    to = {i: {b for a, b in links if a == i} for i in ids}
+    for k in ids:
+        for i in ids:
+            if k in to[i]:
+                to[i] |= to[k]
+    want = {(i, min(j for j in ids if j in to[i] and i in to[j])) for i in ids if i in to[i]}
+    edges = spark.createDataFrame(links + links[:5], "src long, dst long")
+    got = graph.cycles(edges).collect()
+    assert {(x["id"], x["cycle"]) for x in got} == want and len(got) == len(want)
+
+
+def test_cycles_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or real(df))
+    chain = spark.range(10_000).selectExpr("id as src", "id + 1 as dst")
+    assert graph.cycles(chain).count() == 0 and len(rounds) < 40
+    ring = chain.union(spark.createDataFrame([(10_000, 0)], "src long, dst long"))
+    got = graph.cycles(ring).groupBy("cycle").count().collect()
+    assert [(x["cycle"], x["count"]) for x in got] == [(0, 10_001)] and len(rounds) < 80
+
+
 def test_plan_fingerprint(spark):
     from mnemospark.operators import manifest
 
