@@ -128,6 +128,39 @@ def byte_embedding(spark, sf):
     return e.select("c_custkey", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[7], 6).alias("last"))
 
 
+@query("d14_inferred", """with b as (select p_partkey, p_name, list_transform(range(8), lambda k: list_sum(list_transform(list_filter(range(length(p_name)), lambda i: i % 8 = k), lambda i: ord(p_name[i + 1]) / 255))) as v from part)
+select p_partkey, case when p_name like '%red%' then -1 else round(v[1] / n, 6)::double end as first, case when p_name like '%red%' then 'INFERENCE_FAILED' else '-' end as error from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from b)""")
+def inferred(spark, sf):
+    """Parts in batches of 16; those that the model refuses are set aside one by one."""
+    e = embedding.inferred(table(spark, sf, "part"), "p_partkey", "p_name", embedding.ByteProvider(refused="red"), 16)
+    return e.select("p_partkey", F.coalesce(F.round(F.col("embedding")[0], 6), F.lit(-1.0)).alias("first"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
+@query("u1_provider_in_sql", """with b as (select c_custkey, list_transform(range(8), lambda k: list_sum(list_transform(list_filter(range(length(c_name)), lambda i: i % 8 = k), lambda i: ord(c_name[i + 1]) / 255))) as v from customer)
+select c_custkey, round(v[2] / n, 6)::double as second from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from b)""")
+def provider_in_sql(spark, sf):
+    embedding.register_provider(spark, "mnemo_embed_bytes", embedding.ByteProvider())
+    table(spark, sf, "customer").createOrReplaceTempView("mnemospark_customer")
+    return spark.sql("select c_custkey, round(mnemo_embed_bytes(c_name)[1], 6) as second from mnemospark_customer")
+
+
+@query("r31_shared_budget", """with r as (select 0 as n, 'customer' as source, c_custkey as k, c_name as text, c_custkey % 3 > 0 as stale, case when c_custkey % 4 > 0 then c_nationkey end as since from customer
+ union all select 1, 'part', p_partkey, p_name, p_partkey % 5 > 0, case when p_partkey % 2 > 0 then p_size end from part),
+top as (select * from r order by stale desc, n, since nulls first, k limit (select (select count(*) from customer) + (select count(*) from part) * 4 // 5)), b as (select *, list_transform(range(8), lambda k: list_sum(list_transform(list_filter(range(length(text)), lambda i: i % 8 = k), lambda i: ord(text[i + 1]) / 255))) as v from top)
+select source, k as key, round(v[1] / len, 6)::double as first from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as len from b)""")
+def shared_budget(spark, sf):
+    """A forced reindex over two sources, with vectors: the budget covers all stale rows and some that are current."""
+    c, p = table(spark, sf, "customer"), table(spark, sf, "part")
+    k = F.col("c_custkey")
+    one = c.select(k.alias("key"), F.col("c_name").alias("text"), (k % 3 > 0).alias("stale"), F.when(k % 4 > 0, F.col("c_nationkey")).alias("embedded_at"), k.alias("created_at"))
+    k = F.col("p_partkey")
+    two = p.select(k.alias("key"), F.col("p_name").alias("text"), (k % 5 > 0).alias("stale"), F.when(k % 2 > 0, F.col("p_size")).alias("embedded_at"), k.alias("created_at"))
+    picked = embedding.reindex_selection_of([("customer", one), ("part", two)], c.count() + p.count() * 4 // 5, force=True)
+    named = picked.withColumn("id", F.concat_ws(":", "source", "key"))
+    e = embedding.inferred(named, "id", "text", embedding.ByteProvider())
+    return e.select(F.split_part("id", F.lit(":"), F.lit(1)).alias("source"), F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("key"), F.round(F.col("embedding")[0], 6).alias("first"))
+
+
 @query("d16_relation_fields", """select s_suppkey as note_id, f.field, f.place, f.relation, f.target from (select s_suppkey, unnest(case s_suppkey % 3 when 0 then [{'field': 'related', 'place': 0, 'relation': 'related', 'target': 'n/' || s_suppkey || '.md'}] when 1 then [{'field': 'supersedes', 'place': 0, 'relation': 'supersedes', 'target': 'a.md'}, {'field': 'supersedes', 'place': 1, 'relation': 'extends', 'target': 'id' || s_suppkey}]
   else [{'field': 'source_ref_links', 'place': 0, 'relation': 'cites', 'target': 'x.md'}, {'field': 'blocks', 'place': 0, 'relation': 'blocks', 'target': 'y.md'}] end) as f from supplier)""")
 def relation_fields(spark, sf):

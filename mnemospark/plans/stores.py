@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import front_json
 from mnemospark.plans.registry import query
 from mnemospark.session import shared_folder, table
+from mnemospark.sources import markdown, vault
 from mnemospark.sources.note_store import NoteStore, write_files
 
 _c = F.concat
@@ -50,6 +51,35 @@ def files(spark, sf):
     return receipt.join(seen, "p_partkey", "left").fillna("-", ["found"])
 
 
+def _vault(spark: SparkSession, sf: str) -> tuple[str, int]:
+    """Parts as notes in three folders, and their number; every seventh has front matter that is never closed."""
+    p, root = table(spark, sf, "part"), f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    path = _c(F.lit("d"), F.col("p_partkey") % 3, F.lit("/"), "p_partkey", F.lit(".md"))
+    text = F.when(F.col("p_partkey") % 7 == 0, _c(F.lit("---\ntitle: "), "p_name")).otherwise(_c(F.lit("---\ntitle: "), "p_name", F.lit("\n---\n# "), "p_brand"))
+    write_files(p.select(path.alias("relative_path"), text.alias("text")), root).write.parquet(f"{root}-receipt")
+    return root, p.count()
+
+
+@query("s2_bounded_scan", """with p as (select p_partkey, case when p_partkey % 7 = 0 then '---' || chr(10) || 'title: ' || p_name else '---' || chr(10) || 'title: ' || p_name || chr(10) || '---' || chr(10) || '# ' || p_brand end as text, row_number() over (order by p_partkey % 3 desc, p_partkey || '.md') as n, count(*) over () as files from part)
+select p_partkey, sha256(text) as digest, '-' as error, false as complete from p where n <= files // 2 union all select -1, '-', 'SOURCE_SCAN_LIMIT_EXCEEDED', false from (select count(*) as n from part) where n > 0""")
+def bounded_scan(spark, sf):
+    """A vault of parts, scanned with a ceiling of half its files (at least one): folders come last name first."""
+    root, files = _vault(spark, sf)
+    key = F.coalesce(F.regexp_extract("relative_path", r"([0-9]+)\.md$", 1).cast("long"), F.lit(-1).cast("long"))
+    found = vault.bounded_scan(spark, root, max_files=max(files // 2, 1))
+    return found.select(key.alias("p_partkey"), F.coalesce(F.sha2("text", 256), F.lit("-")).alias("digest"), F.coalesce("error", F.lit("-")).alias("error"), "complete")
+
+
+@query("s4_source_snapshot", """select p_partkey, case when p_partkey % 7 = 0 then 'FRONTMATTER_PARSE_ERROR' else '-' end as error, case when p_partkey % 7 = 0 then '-' else p_name end as title, case when p_partkey % 7 = 0 then '-' else p_brand end as heading from part where p_partkey % 3 = 1""")
+def source_snapshot(spark, sf):
+    """Notes of one folder with what is read from them, or the code of what went wrong."""
+    root, _ = _vault(spark, sf)
+    found = vault.bounded_scan(spark, root).where(F.col("relative_path").startswith("d1/"))
+    notes = markdown.notes(found)
+    read = lambda c: F.when(F.col("error").isNull(), c).otherwise("-")
+    return notes.select(F.regexp_extract("relative_path", r"([0-9]+)\.md$", 1).cast("long").alias("p_partkey"), F.coalesce("error", F.lit("-")).alias("error"), read(F.col("title")).alias("title"), read(F.get("headings", F.lit(0))["text"]).alias("heading"))
+
+
 # -- front matter as JSON ------------------------------------------------------------------------------
 
 

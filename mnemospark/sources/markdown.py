@@ -263,12 +263,17 @@ LINKS = "array<struct<kind:string,target:string,heading:string,alias:string,raw:
 def notes(files: DataFrame, most: int = 1400, overlap: int = 160) -> DataFrame:
     """files (relative_path, text) with everything read from the text: front matter, body, headings,
     chunks, links, error and hashes. Ranges of chunks and links are places in the whole text, in characters
-    and in bytes of its UTF-8. Null texts are empty; errors are a column, never an exception."""
+    and in bytes of its UTF-8. Null texts are empty; errors are a column, never an exception. Where files has a
+    column error (of a bounded scan), rows with one keep it, with nothing read from them."""
+    failed = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path, text in zip(f["relative_path"], f["text"], strict=True):
+            for path, text, failure in zip(f["relative_path"], f["text"], f["_failed"], strict=True):
+                if failure is not None:
+                    rows.append((path, None, [], None, [], [], [], failure))
+                    continue
                 text = text or ""
                 a = analyse(text)
                 base = len(text) - len(a["body"])
@@ -277,7 +282,7 @@ def notes(files: DataFrame, most: int = 1400, overlap: int = 160) -> DataFrame:
             yield pd.DataFrame(rows, columns=["relative_path", "title", "frontmatter", "body", "headings", "chunks", "links", "error"])
 
     schema = f"relative_path string, title string, frontmatter {ANALYSIS}, body string, headings {HEADINGS}, chunks {CHUNKS}, links {LINKS}, error string"
-    return files.select("relative_path", "text").mapInPandas(apply, schema).withColumn("content_hash", F.sha2("body", 256))
+    return files.select("relative_path", "text", failed.alias("_failed")).mapInPandas(apply, schema).withColumn("content_hash", F.sha2("body", 256))
 
 
 #: Texts that would be read as something else than themselves, or be cut (see scalar() and front_matter()).
