@@ -35,6 +35,11 @@ def in_scopes(scope: Column, identities: dict[str, tuple[Column, object]]) -> Co
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def in_workspace(workspace: Column, wanted: str | None) -> Column:
+    """Rows of the wanted workspace; without one, those of before there were any (null or empty)."""
+    return F.coalesce(workspace == wanted, F.lit(False)) if wanted is not None else F.coalesce(workspace, F.lit("")) == ""
+
+
 def visible(index_status: Column, status: Column, path: Column, wanted: list[str]) -> Column:
     """Indexed rows whose lifecycle status (active where empty) is wanted, outside the operations folder."""
     values = sorted({v for w in wanted for v in LIFECYCLE[w]})

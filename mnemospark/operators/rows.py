@@ -23,6 +23,17 @@ def duplicate_groups(df: DataFrame, digest: str, member: str) -> DataFrame:
     return df.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(member).alias("first_member"), F.count(F.lit(1)).alias("members")).where("members > 1")
 
 
+def duplicate_members(df: DataFrame, digest: str, member: str) -> DataFrame:
+    """digest, place (from 1, by member), member of the groups of duplicate_groups(), as rows: a group may hold a third
+    of them. Places are running numbers over ranges of (digest, member) less what comes before the group, so no
+    group is sorted by one task. Repeated members of a digest are one."""
+    one = df.where(F.col(digest).isNotNull() & F.col(member).isNotNull()).select(digest, member).distinct()
+    sizes = one.groupBy(digest).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    before = with_running_sum(sizes, [digest], "_size", "_sum").select(digest, (F.col("_sum") - F.col("_size")).alias("_before"))
+    rows = one.join(before, digest).withColumn("_one", F.lit(1))
+    return with_running_sum(rows, [digest, member], "_one", "_n").select(digest, (F.col("_n") - F.col("_before")).cast("long").alias("place"), member)
+
+
 def snapshot_diff(current: DataFrame, previous: DataFrame, key: str, digest: str) -> DataFrame:
     """key and change (added, removed, updated) between two snapshots; unchanged keys are left out."""
     c, p = current.select(key, F.col(digest).alias("_new")), previous.select(key, F.col(digest).alias("_old"))

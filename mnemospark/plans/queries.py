@@ -186,6 +186,15 @@ def scope_predicate(spark, sf):
     return d.where(filters.in_scopes(F.col("scope"), {"PROJECT": (F.col("source"), "src1"), "GLOBAL": (F.col("source"), None)})).select("doc_id")
 
 
+@query("f3_workspace", "select doc_id, 'named' as asked from documents where source = 'src1' and doc_id % 3 = 1 union all select doc_id, 'none' from documents where source = 'src1' and doc_id % 3 <> 1")
+def workspace(spark, sf):
+    """One project, asked for within a workspace and without one."""
+    k = F.col("doc_id") % 3
+    d = table(spark, sf, "documents").withColumn("workspace", F.when(k == 1, "w").when(k == 2, "")).where(filters.in_scopes(F.lit("PROJECT"), {"PROJECT": (F.col("source"), "src1")}))
+    asked = [F.when(filters.in_workspace(F.col("workspace"), w), F.lit(name)) for w, name in (("w", "named"), (None, "none"))]
+    return d.select("doc_id", F.explode(F.array_compact(F.array(*asked))).alias("asked"))
+
+
 @query("f5_lifecycle", "select p_partkey from part where p_size <= 20 and not starts_with(p_brand, '_Ops/')")
 def lifecycle(spark, sf):
     p = table(spark, sf, "part").withColumn("status", F.when(F.col("p_size") <= 10, " ").when(F.col("p_size") <= 20, "SAVED ").otherwise("archived"))
@@ -218,6 +227,11 @@ def exact_duplicates(spark, sf):
     return rows.duplicate_groups(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest")), "digest", "doc_id")
 
 
+@query("a6_duplicate_members", "select digest, row_number() over (partition by digest order by doc_id) as place, doc_id from (select distinct sha256(text) as digest, doc_id from documents where text is not null and doc_id is not null) qualify count(*) over (partition by digest) > 1")
+def duplicate_members(spark, sf):
+    return rows.duplicate_members(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest")), "digest", "doc_id")
+
+
 @query("a7_best_per_key", "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by value desc, event_id) = 1")
 def best_per_key(spark, sf):
     return rows.best_per_key(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.asc("event_id")])
@@ -230,6 +244,13 @@ def percentiles(spark, sf):
     return e.agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
 
 
+@query("a14_summary", "select event_type, count(value) as samples, round(quantile_disc(value, 0.5), 3) as p50, round(quantile_disc(value, 0.95), 3) as p95, round(avg(value), 3) as mean, round(min(value), 3) as low, round(max(value), 3) as high from events group by 1")
+def summary(spark, sf):
+    disc = lambda p: F.round(F.expr(f"percentile_disc({p}) within group (order by value)"), 3)
+    of = lambda f: F.round(f("value"), 3)
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("value").alias("samples"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), of(F.avg).alias("mean"), of(F.min).alias("low"), of(F.max).alias("high"))
+
+
 @query("a17_key_difference", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def key_difference(spark, sf):
     open_ = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))

@@ -130,6 +130,21 @@ def context_pack(spark, sf):
     return packs.context_pack(m, "q", "context", budget=2000).select("q", "position", "context", F.round("score", 6).alias("score"), "section", F.sha2("content", 256).alias("content_hash"))
 
 
+@query("r29_evidence_refs", """with m as (select lang as q, doc_id % 40 as context, doc_id as position, n_chars % 997 as score, list_concat([source, ' '], string_split(text, ' ')) as refs from documents where lang is not null and doc_id % 4 < 2 and doc_id % 5 <> 2),
+best as (select *, min(position) over (partition by q, context) as first from m qualify row_number() over (partition by q, context order by score desc, position) = 1),
+ten as (select *, row_number() over (partition by q order by score desc, first, context) as n from best qualify n <= 10),
+r as (select q, n, unnest(refs) as ref, generate_subscripts(refs, 1) as i from ten), t as (select q, n, i, case when length(ref) > 300 then ref[1:299] || '…' else ref end as reference from r where regexp_matches(ref, '[^\\s\\p{Z}]')),
+f as (select q, reference, min(n * 10000000 + i) as spot from t group by 1, 2)
+select q, row_number() over (partition by q order by spot)::int as place, reference from f qualify place <= 20""")
+def evidence_refs(spark, sf):
+    """Of eligible documents, the words of the ten best of each language as what they refer to."""
+    k = F.col("doc_id")
+    d = table(spark, sf, "documents").where("lang is not null")
+    ok = packs.eligible(F.when(k % 4 < 2, "SAVED").otherwise("PENDING_REVIEW"), k % 5 == 2, F.when(k % 2 == 0, "Active"))
+    m = d.where(ok).select(F.col("lang").alias("q"), (k % 40).alias("context"), k.alias("position"), (F.col("n_chars") % 997).alias("score"), F.array("source", F.lit(" ")).alias("artifact_refs"), F.split("text", " ").alias("refs"))
+    return packs.evidence_references(packs.selected(m, "q", "context"), "q", ["artifact_refs", "refs"])
+
+
 @query("t3_rate_limit", """with recursive e as (select user_id, event_id, epoch_us(ts::timestamp) as t from events),
 w as (select user_id, min(t) as s from e group by 1 union all select w.user_id, min(e.t) from w join e on e.user_id = w.user_id and e.t >= w.s + 86400000000 group by w.user_id, w.s),
 held as (select e.*, w.s, row_number() over (partition by e.user_id, w.s order by t, event_id) as n from e asof join w on e.user_id = w.user_id and e.t >= w.s)
