@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from mnemospark.operators import expansion, linkage
@@ -117,3 +118,38 @@ def test_linkage_of_ten_times_the_table(spark, tmp_path, name):
     more = e.crossJoin(spark.range(10)).selectExpr("vec_id * 10 + id as vec_id", "transform(embedding, (x, i) -> cast(x + 0.05 * sin(vec_id * 7 + id * 13 + i) as float)) as embedding", "label")
     more.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+@pytest.fixture(scope="module")
+def grown(spark, tmp_path_factory):
+    """sf0.01's vectors six times over, moved a little, some of them equal: about 300 of a label, and their pairs by hand."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    more = e.crossJoin(spark.range(6)).selectExpr("vec_id * 6 + id as vec_id", "transform(embedding, (x, i) -> cast(x + 0.3 * (id % 5) * sin(vec_id * 7 + id * 13 + i) as float)) as embedding", "label")
+    path = str(tmp_path_factory.mktemp("grown"))
+    more.coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["label"], r["embedding"]) for r in more.collect())
+    ids, label, v = (np.array([r[k] for r in rows], dtype=t) for k, t in enumerate((int, int, float)))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    return path, ids, label, np.round(v @ v.T, 6)
+
+
+def linked_by_hand(grown):
+    path, ids, label, like = grown
+    x, y = np.nonzero((label[:, None] == label[None, :]) & (ids[:, None] < ids[None, :]) & (like >= 0.3))
+    return {(int(ids[a]), int(ids[b])): like[a, b] for a, b in zip(x, y, strict=True)}
+
+
+def grown_rows(spark, grown, name):
+    from mnemospark.plans import compiling  # noqa: F401  (it registers queries)
+    from mnemospark.plans.queries import QUERIES
+
+    return QUERIES[name](spark, grown[0]).collect()
+
+
+@pytest.mark.parametrize("part", [2048, 70])
+def test_l1_candidates_compares_whole_labels(spark, grown, monkeypatch, part):
+    monkeypatch.setattr(linkage, "PART", part)
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in grown_rows(spark, grown, "l1_candidates")}
+    want = linked_by_hand(grown)
+    assert max(np.bincount(grown[2])) > 256 and len(want) > 3000
+    assert got.keys() == want.keys() and all(abs(got[p] - s) <= 1e-6 for p, s in want.items())
