@@ -153,3 +153,17 @@ def test_l1_candidates_compares_whole_labels(spark, grown, monkeypatch, part):
     want = linked_by_hand(grown)
     assert max(np.bincount(grown[2])) > 256 and len(want) > 3000
     assert got.keys() == want.keys() and all(abs(got[p] - s) <= 1e-6 for p, s in want.items())
+
+
+def test_l4_clusters_join_whole_labels(spark, grown):
+    low = {i: i for p in linked_by_hand(grown) for i in p}
+
+    def first(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in linked_by_hand(grown):
+        a, b = sorted((first(a), first(b)))
+        low[b] = a
+    assert {(r["item_id"], r["cluster"]) for r in grown_rows(spark, grown, "l4_clusters")} == {(i, first(i)) for i in low}
