@@ -167,3 +167,19 @@ def test_l4_clusters_join_whole_labels(spark, grown):
         a, b = sorted((first(a), first(b)))
         low[b] = a
     assert {(r["item_id"], r["cluster"]) for r in grown_rows(spark, grown, "l4_clusters")} == {(i, first(i)) for i in low}
+
+
+def test_l1_evidence_counts_whole_labels(spark, grown):
+    _, ids, label, like = grown
+    at = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+    where = {i: label[k] for i, k in at.items()}
+    met = {(a, b) for a in at for b in at if a < b and where[a] == where[b]}
+    met |= {(i - 1, i) for i in at if i - 1 in at} | {tuple(sorted((i, i % 2))) for i in at if where[i] % 2 == 0 and i > 1}
+    want = {}
+    for a, b in met:
+        near, linked, descends = bool(like[at[a], at[b]] >= 0.3), bool(where[a] % 2 == 0 and where[b] % 2 == 0 and a % 2 == b % 2), b - a == 1
+        if near or linked or descends:
+            names = ["vector_similarity"] * near + ["temporal_overlap"] + ["graph_neighborhood"] * linked + ["lineage_structure"] * descends
+            key = (",".join(names), where[a] == where[b])
+            want[key] = want.get(key, 0) + 1
+    assert {(r["reasons"], r["same_label"]): r["n"] for r in grown_rows(spark, grown, "l1_evidence")} == want
