@@ -183,3 +183,12 @@ def test_l1_evidence_counts_whole_labels(spark, grown):
             key = (",".join(names), where[a] == where[b])
             want[key] = want.get(key, 0) + 1
     assert {(r["reasons"], r["same_label"]): r["n"] for r in grown_rows(spark, grown, "l1_evidence")} == want
+
+
+def test_l12_linkage_recall_ranks_whole_labels(spark, grown):
+    near = {}
+    for (a, b), s in linked_by_hand(grown).items():
+        near.setdefault(a, []).append((-s, b))
+        near.setdefault(b, []).append((-s, a))
+    want = {(a, b, k) for a, x in near.items() for k, (_, b) in enumerate(sorted(x)[:3], 1)}
+    assert {(r["item"], r["other"], r["place"]) for r in grown_rows(spark, grown, "l12_linkage_recall")} == want
