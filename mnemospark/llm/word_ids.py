@@ -42,9 +42,9 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordIds:
-    """most: words in the table before it is emptied. Its memory is about 300 bytes a word."""
+    """most: words in the table before those go that were not met again. Its memory is about 200 bytes a word."""
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 700_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,15 +75,43 @@ class WordIds:
 
     def _empty(self) -> None:
         self.new: list[bytes] = []
-        self.codes = _Codes(self.new, 1)
-        self.parts: dict[bytes, bytes] = {}  # ids as bytes: a list would take five times the memory
+        self.codes = _Codes(self.new, 1)  # in the order of their numbers
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 16, dtype=np.int64)
         self.sizes = np.zeros(1 << 16, dtype=np.int64)
+        self.again = np.zeros(1 << 16, dtype=bool)  # met again after they were learned
         self.used, self.known = 0, 1  # code 0 ends a text
         if self.end_id is not None:
             self.flat[0], self.sizes[0], self.used = self.end_id, 1, 1
 
+    def _shrink(self) -> None:
+        """Leaves the words that were met again, the oldest, half a table of them at most; they have to be met again to stay once more."""
+        stay = np.flatnonzero(self.again[1 : self.known])[: self.most // 2]
+        words = np.array(list(self.codes), dtype=object)[stay].tolist()
+        ids, sizes = self._ids_of(stay + 1)
+        self._empty()
+        n, used = len(words) + 1, self.used + len(ids)
+        self.codes.update(zip(words, range(1, n), strict=True))
+        self.codes.next = self.known = n
+        self.starts, self.sizes, self.again, self.flat = (_grown(x, k) for x, k in ((self.starts, n), (self.sizes, n), (self.again, n), (self.flat, used)))
+        self.flat[self.used : used] = ids
+        self.starts[1:n], self.sizes[1:n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = used
+
+    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words with these numbers one after the other, and how many each has."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)], sizes
+
+    def _add(self, ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        """Words' ids go into the table."""
+        used = self.used + len(ids)
+        self.flat = _grown(self.flat, used)
+        self.flat[self.used : used] = ids
+        self.starts[at], self.sizes[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = used
+
     def _learn(self) -> None:
         """Adds the new words to the table. Nothing made here refers back to itself, so the search for
         such cycles, which walks through the whole table, waits until the end."""
@@ -96,46 +124,61 @@ class WordIds:
                 gc.enable()
 
     def _add_words(self) -> None:
-        pieces = []
-        for word in self.new:
-            core = word.rstrip(MARKS)
-            if not self.marks or not core or b"<" in word or not core[-1:].isalpha():
-                pieces.append((word,))
+        """A word of letters with marks behind is made of both, one with capitals is as its small letters: these are
+        words of the table themselves, and the library encodes only what can't be made so."""
+        number, begin, new = self.codes.__getitem__, self.known, self.new
+        plain, folded, joined = [], [], []  # numbers and words; numbers; numbers of a word and of its two parts
+        for code, word in enumerate(new, begin):  # parts that aren't in the table come in on the way
+            core = word.rstrip(MARKS) if self.marks else b""
+            if not core or b"<" in word or not core[-1:].isalpha():
+                plain.append((code, word))
+                continue
+            low = core.lower() if self.folds and core.isascii() else core
+            if len(core) < len(word):
+                joined.append((code, number(low), number(word[len(core) :])))
+            elif low == word:
+                plain.append((code, word))
             else:
-                low = core.lower() if self.folds and core.isascii() else core
-                pieces.append((low, word[len(core) :]) if len(core) < len(word) else (low,))
-        self._encode_parts(list({p for ps in pieces for p in ps if p not in self.parts}))
-        ids = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in pieces]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        ends = np.cumsum(sizes)
-        known, used = self.known + len(ids), self.used + int(sizes.sum())
-        self.starts, self.sizes, self.flat = (_grown(a, n) for a, n in ((self.starts, known), (self.sizes, known), (self.flat, used)))
-        self.starts[self.known : known] = self.used + ends - sizes
-        self.sizes[self.known : known] = sizes
-        self.flat[self.used : used] = np.frombuffer(b"".join(ids), dtype="<u4")
-        self.known, self.used = known, used
-        self.new.clear()
-
-    def _encode_parts(self, parts: list[bytes]) -> None:
-        """Adds the parts' ids. Parts of letters alone are one piece each, so that many are encoded
+                folded.append((code, number(low)))
+        known = begin + len(new)
+        self.starts, self.sizes, self.again = (_grown(a, known) for a in (self.starts, self.sizes, self.again))
+        self._encode_words(plain)
+        if folded:
+            at, low = np.array(folded, dtype=np.int64).T
+            self.starts[at], self.sizes[at], self.again[low] = self.starts[low], self.sizes[low], True
+        if joined:
+            at, low, mark = np.array(joined, dtype=np.int64).T
+            self.again[low] = self.again[mark] = True
+            ids, sizes = self._ids_of(np.stack([low, mark], axis=1).ravel())
+            self._add(ids, at, sizes.reshape(-1, 2).sum(axis=1))
+        self.known = known
+        new.clear()
+
+    def _encode_words(self, words: list[tuple[int, bytes]]) -> None:
+        """Adds the words' ids by the library. Words of letters alone are one piece each, so that many are encoded
         as one text and told apart by the ids that end a word; should these not fit, as in a
-        vocabulary without such ids, and for all other parts, each is a text of its own."""
+        vocabulary without such ids, and for all other words, each is a text of its own."""
         single, joined = [], []
-        for p in parts:
-            s = p.decode("utf-8", "replace")
+        for code, word in words:
+            s = word.decode("utf-8", "replace")
             plain = s.isascii() or (is_normalized("NFC", s) and s.lower().isalpha())
-            (joined if plain and s.isalpha() else single).append((p, s))
+            (joined if plain and s.isalpha() else single).append((code, s))
+        at, ids, sizes = [], [], []
         groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+            found = np.array(e.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends_word[found]) + 1
+            if len(ends) != len(group) or ends[-1] != len(found):
                 single += group
                 continue
-            data = ids.tobytes()
-            self.parts.update((p, data[a:b]) for (p, _), a, b in zip(group, [0, *ends], ends, strict=False))
-        encoded = self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)
-        self.parts.update((p, np.array(e.ids, dtype="<u4").tobytes()) for (p, _), e in zip(single, encoded, strict=True))
+            at += [code for code, _ in group]
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)]
+        at += [code for code, _ in single]
+        ids.append(np.array([i for x in encoded for i in x], dtype=np.uint32))
+        sizes.append(np.array([len(x) for x in encoded], dtype=np.int64))
+        self._add(np.concatenate(ids), np.array(at, dtype=np.int64), np.concatenate(sizes))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, end ids with them, and how many each text has."""
@@ -144,20 +187,19 @@ class WordIds:
             found = [e.ids + end for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
             return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
         if self.known > self.most:
-            self._empty()
+            self._shrink()
         codes: list[int] = []
         counts = np.zeros(len(texts), dtype=np.int64)
-        number = self.codes.__getitem__
+        number, before = self.codes.__getitem__, self.known
         for i, text in enumerate(texts):
             codes.extend(map(number, text.split()))  # bytes split at ASCII white space only
             codes.append(0)
             counts[i] = len(codes)
         self._learn()
         at = np.array(codes, dtype=np.int64)
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
-        return ids, np.diff(ends[counts - 1], prepend=0)
+        self.again[at[at < before]] = True
+        ids, sizes = self._ids_of(at)
+        return ids, np.diff(np.cumsum(sizes)[counts - 1], prepend=0)
 
 
 _encoders: dict[tuple, WordIds] = {}

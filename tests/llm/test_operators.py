@@ -192,6 +192,39 @@ def test_word_ids_are_the_library_s():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_table_keeps_words_that_come_again():
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(TOKENS), word_ids.WordIds(TOKENS, 2, most=300)
+    for k in range(12):
+        texts = [f"The house, THE House! été x{k}y {k}-{k} " + " ".join(f"w{'abcdefghij'[j % 10]}{'klmnopqrst'[k % 10]}{j}q{k}." for j in range(40)), "the house", ""]
+        ids, n = coder.encode([t.encode() for t in texts])
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+        assert coder.known <= 300 + 2 * 60
+    while coder.known <= 300:
+        coder.encode([(" ".join(f"house, the {coder.known}-{j}" for j in range(40))).encode()])
+    ids, _ = coder.encode([b"zebra"])  # the table was full: words met again stay, others go
+    assert ids.tolist() == [*library.encode("zebra", add_special_tokens=False).ids, 2]
+    assert coder.known <= 160 and b"house," in coder.codes and b"the" in coder.codes
+
+
+def test_word_table_takes_little_memory():
+    import tracemalloc
+
+    coder = word_ids.WordIds(TOKENS, 2)
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]}orem{'aeiouvwx'[i // 64 % 8]}{'bcdfghjk'[i // 512 % 8]}{'lmnpqrst'[i // 4096 % 8]}" for i in range(k, 32768, 8)) for k in range(8)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            coder.encode([t.encode()])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 250 * 32768
+    assert word_ids.WordIds(TOKENS, 2).most * 250 <= 100_000_000  # a worker's table
+
+
 @pytest.mark.parametrize("kind", ["word_bpe", "cased", "crosses_spaces", "no_pieces", "plain_special"])
 def test_word_ids_of_other_tokenizers(tmp_path, kind):
     from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
