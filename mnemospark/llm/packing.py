@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,18 @@ from mnemospark.llm.word_ids import encoder
 BUCKETS, DIMENSIONS, BITS = 64, 4, 10
 
 
+@functools.cache
+def hashed(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each id under n."""
+    h = mixed(np.arange(n, dtype=np.uint32))
+    return (h % np.uint64(BUCKETS)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+
+
 def document_vectors(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A row for each document: signed counts of its hashed ids, by square roots, at length 1."""
-    h = mixed(ids)
-    sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    cell = np.repeat(np.arange(len(counts)), counts) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
-    v = np.bincount(cell, weights=sign, minlength=len(counts) * BUCKETS).reshape(-1, BUCKETS)
+    bucket, sign = hashed(1 << int(ids.max(initial=0)).bit_length())  # ids are under the size of a vocabulary
+    cell = np.repeat(np.arange(len(counts)) * BUCKETS, counts) + bucket[ids]
+    v = np.bincount(cell, weights=sign[ids], minlength=len(counts) * BUCKETS).reshape(-1, BUCKETS)
     v = np.sign(v) * np.sqrt(np.abs(v))
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 

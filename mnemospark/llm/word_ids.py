@@ -44,7 +44,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 class WordIds:
     """most: words in the table before those go that were not met again. Its memory is about 200 bytes a word."""
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 400_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -174,7 +174,7 @@ class WordIds:
             at += [code for code, _ in group]
             ids.append(found)
             sizes.append(np.diff(ends, prepend=0))
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([s for _, s in single], add_special_tokens=False)] if single else []
         at += [code for code, _ in single]
         ids.append(np.array([i for x in encoded for i in x], dtype=np.uint32))
         sizes.append(np.array([len(x) for x in encoded], dtype=np.int64))
@@ -188,18 +188,17 @@ class WordIds:
             return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
         if self.known > self.most:
             self._shrink()
-        codes: list[int] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        number, before = self.codes.__getitem__, self.known
+        codes, counts = [], np.zeros(len(texts), dtype=np.int64)
+        number, before, end = self.codes.__getitem__, self.known, np.zeros(1, dtype=np.int64)
         for i, text in enumerate(texts):
-            codes.extend(map(number, text.split()))  # bytes split at ASCII white space only
-            codes.append(0)
-            counts[i] = len(codes)
+            words = text.split()  # bytes split at ASCII white space only
+            codes += [np.fromiter(map(number, words), dtype=np.int64, count=len(words)), end]
+            counts[i] = len(words) + 1
         self._learn()
-        at = np.array(codes, dtype=np.int64)
+        at = np.concatenate(codes) if codes else end[:0]
         self.again[at[at < before]] = True
         ids, sizes = self._ids_of(at)
-        return ids, np.diff(np.cumsum(sizes)[counts - 1], prepend=0)
+        return ids, np.diff(np.cumsum(sizes)[np.cumsum(counts) - 1], prepend=0)
 
 
 _encoders: dict[tuple, WordIds] = {}
