@@ -192,3 +192,50 @@ def test_l12_linkage_recall_ranks_whole_labels(spark, grown):
         near.setdefault(b, []).append((-s, a))
     want = {(a, b, k) for a, x in near.items() for k, (_, b) in enumerate(sorted(x)[:3], 1)}
     assert {(r["item"], r["other"], r["place"]) for r in grown_rows(spark, grown, "l12_linkage_recall")} == want
+
+
+def oddly(spark, tmp_path_factory):
+    """Vectors of a label each that are like others, and one that is zero, not finite, short or lacks a component; their table and the SQL's database."""
+    duckdb = pytest.importorskip("duckdb")
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.0, 0.0, 0.0], [nan, 1.0, 0.0], [inf, 1.0, 0.0], [0.0, -inf, 1.0], [1.0, 0.1], [0.0, None, 0.2], [None, None, None], [], None, [None, 1.0], [-1.0, 0.0, 0.0]]
+    near = [[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.2], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(10 * k + n, v, k) for k, o in enumerate(odd) for n, v in enumerate([*near, o, *([o] if k % 2 else [])])]
+    rows += [(900, near[0], None), (901, near[0], None)]
+    path = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as from '{path}/embeddings.parquet/*.parquet'")
+    return path, db
+
+
+def same_as_sql_on_odd_vectors(spark, tmp_path_factory, name):
+    from mnemospark.plans.queries import SQL
+
+    path, db = oddly(spark, tmp_path_factory)
+    want = sorted(db.sql(SQL[name]).fetchall())
+    assert len(want) > 40 and sorted(tuple(r) for r in grown_rows(spark, (path,), name)) == want
+
+
+def copied(spark, path, n):
+    """n copies of one vector and n of another in a label, and one that is like both."""
+    spark.range(2 * n + 1).selectExpr("id as vec_id", f"case when id = {2 * n} then array(1f, 1f) when id < {n} then array(1f, 0f) else array(0f, 1f) end as embedding", "1 as label").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_l4_clusters_of_odd_vectors(spark, tmp_path_factory):
+    same_as_sql_on_odd_vectors(spark, tmp_path_factory, "l4_clusters")
+
+
+@pytest.mark.parametrize("part", [2048, 70])
+def test_l4_clusters_in_parts(spark, grown, monkeypatch, part):
+    monkeypatch.setattr(linkage, "PART", part)
+    test_l4_clusters_join_whole_labels(spark, grown)
+
+
+def test_l4_clusters_move_a_link_an_item(spark, tmp_path, monkeypatch):
+    moved = []
+    whole = linkage.clusters
+    monkeypatch.setattr(linkage, "clusters", lambda items, pairs: moved.append(pairs.count()) or whole(items, pairs))
+    got = grown_rows(spark, (copied(spark, tmp_path, 300),), "l4_clusters")
+    assert {(r["item_id"], r["cluster"]) for r in got} == {(i, 0) for i in range(601)} and moved == [600]
