@@ -239,3 +239,47 @@ def test_l4_clusters_move_a_link_an_item(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(linkage, "clusters", lambda items, pairs: moved.append(pairs.count()) or whole(items, pairs))
     got = grown_rows(spark, (copied(spark, tmp_path, 300),), "l4_clusters")
     assert {(r["item_id"], r["cluster"]) for r in got} == {(i, 0) for i in range(601)} and moved == [600]
+
+
+def test_l12_linkage_recall_of_odd_vectors(spark, tmp_path_factory):
+    same_as_sql_on_odd_vectors(spark, tmp_path_factory, "l12_linkage_recall")
+
+
+@pytest.mark.parametrize("part", [2048, 70])
+def test_l12_linkage_recall_in_parts(spark, grown, monkeypatch, part):
+    monkeypatch.setattr(linkage, "PART", part)
+    test_l12_linkage_recall_ranks_whole_labels(spark, grown)
+
+
+def test_l12_linkage_recall_moves_the_best_of_a_cell(spark, tmp_path, monkeypatch):
+    n, found = 150, linkage._by_block
+    moved = spark.sparkContext.accumulator(0)
+
+    class Cells:
+        def __init__(self, cells):
+            self.cells = cells
+
+        def applyInArrow(self, f, schema):  # noqa: N802
+            def counted(cell):
+                out = f(cell)
+                moved.add(len(out))
+                return out
+
+            return self.cells.applyInArrow(counted, schema)
+
+    monkeypatch.setattr(linkage, "_by_block", lambda items: Cells(found(items)))
+    got = {}
+    for r in grown_rows(spark, (copied(spark, tmp_path, n),), "l12_linkage_recall"):
+        got.setdefault(r["item"], {})[r["place"]] = r["other"]
+    for i, places in got.items():
+        low = range(n) if i < n else range(n, 2 * n)
+        assert [places[k] for k in (1, 2, 3)] == [x for x in (range(2 * n) if i == 2 * n else low) if x != i][:3]
+    assert len(got) == 2 * n + 1 and moved.value == 3 * len(got)
+
+
+def test_near_neighbours_in_two_blocks(spark):
+    rows = [("b", [1.0, 0.0], ["x", "y", None]), ("a", [1.0, 0.1], ["y", "x", "x"]), ("c", [1.0, 0.2], ["y"]), ("d", [1.0, 0.0], None), (None, [1.0, 0.0], ["x"])]
+    items = spark.createDataFrame(rows, "item_id string, embedding array<double>, blocks array<string>")
+    got = {(r["item"], r["other"], r["place"]) for r in linkage.near_neighbours(items, 0.3, 2).collect()}
+    assert got == {("b", "a", 1), ("b", "c", 2), ("a", "b", 2), ("a", "c", 1), ("c", "a", 1), ("c", "b", 2)}
+    assert {tuple(r) for r in linkage.near_clusters(items, 0.3).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
