@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions.text import single_spaced
-from mnemospark.operators.graph import checkpointed
+from mnemospark.operators.graph import checkpointed, stored_round
+from mnemospark.session import shared_folder
 
 
 def chunk_actions(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -61,11 +63,14 @@ def _jumped(links: DataFrame) -> DataFrame:
 
 
 def on_cycles(links: DataFrame) -> DataFrame:
-    """The ids on cycles of links (id, next), where an id has one next at most: those that some id stands on
-    after more steps than there are ids. Steps double each round."""
-    far, steps, n = links, 1, links.count()
-    while steps <= n:
-        far, steps = checkpointed(_jumped(far).where("next is not null")), 2 * steps
+    """The ids on cycles of links (id, next), where an id has one next at most. Steps double each round, until
+    the ids that some id stands on are no fewer than after half the steps: those steps then lead from each of them
+    to another of them, so all are on cycles."""
+    folder, far, n = f"{shared_folder(links.sparkSession)}/cycles-{uuid.uuid4().hex}", links, 0
+    reached, before = far.select("next").distinct().count(), -1
+    while reached and reached != before:
+        far, n, before = stored_round(_jumped(far).where("next is not null"), folder, n + 1), n + 1, reached
+        reached = far.select("next").distinct().count()
     return far.select(F.col("next").alias("id")).distinct()
 
 
@@ -78,15 +83,16 @@ def validate_manifest(candidates: DataFrame) -> DataFrame:
     a context that stays, have no other replacement before it, and point back if it points anywhere; a
     replacement must point back; supersession has no cycle; and what supersedes a rejected context is
     rejected with it. Chains are followed by doubling steps, never one job a link."""
-    first = lambda *by: F.first(F.struct("ordinal", "relative_path"), ignorenulls=True).over(Window.partitionBy(*by).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = lambda kept, *by: F.first(F.when(kept, F.struct("ordinal", "relative_path")), ignorenulls=True).over(Window.partitionBy(*by).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     many = candidates.groupBy("canonical_path").agg((F.count(F.lit(1)) > 1).alias("_many"))
-    rows = candidates.join(many, "canonical_path")
-    collide = rows.where("_many").select("ordinal", F.lit("DUPLICATE_CANONICAL_PATH").alias("code"), F.col("canonical_path").alias("detail"))
-    rows = rows.where("not _many").withColumn("_f", first("note_id"))
-    ids = rows.where("_f.ordinal != ordinal").select("ordinal", F.lit("DUPLICATE_CONTEXT_ID").alias("code"), F.col("_f.relative_path").alias("detail"))
-    rows = rows.where("_f.ordinal = ordinal").withColumn("_g", F.when(F.col("is_context"), first("is_context", "identity")))
-    content = rows.where("is_context and _g.ordinal != ordinal").select("ordinal", F.lit("DUPLICATE_CONTEXT_CONTENT").alias("code"), F.col("_g.relative_path").alias("detail"))
-    valid = checkpointed(rows.where("not is_context or _g.ordinal = ordinal").drop("_f", "_g", "_many"))
+    rows = candidates.join(many, "canonical_path").withColumn("_f", first(~F.col("_many"), "note_id"))
+    alone = ~F.col("_many") & (F.col("_f.ordinal") == F.col("ordinal"))
+    rows = rows.withColumn("_g", F.when(F.col("is_context"), first(alone, "is_context", "identity")))
+    code = F.when(F.col("_many"), "DUPLICATE_CANONICAL_PATH").when(F.col("_f.ordinal") != F.col("ordinal"), "DUPLICATE_CONTEXT_ID").when(F.col("is_context") & (F.col("_g.ordinal") != F.col("ordinal")), "DUPLICATE_CONTEXT_CONTENT")
+    detail = F.when(F.col("_many"), F.col("canonical_path")).when(F.col("_f.ordinal") != F.col("ordinal"), F.col("_f.relative_path")).otherwise(F.col("_g.relative_path"))
+    stays = alone & (~F.col("is_context") | (F.col("_g.ordinal") == F.col("ordinal")))
+    judged = checkpointed(rows.select("ordinal", "note_id", "is_context", "supersedes", "superseded_by", code.alias("code"), F.when(code.isNotNull(), detail).alias("detail"), stays.alias("_stays")))
+    repeated, valid = judged.where("code is not null").select("ordinal", "code", "detail"), judged.where("_stays")
 
     ctx = valid.where("is_context").select("ordinal", "note_id", "supersedes", "superseded_by")
     target = ctx.select(F.col("note_id").alias("supersedes"), F.col("superseded_by").alias("_back"), F.lit(True).alias("_target"))
@@ -102,16 +108,17 @@ def validate_manifest(candidates: DataFrame) -> DataFrame:
     state = checkpointed(c.select("ordinal", "note_id", "supersedes", F.coalesce(wrong, back).alias("_why")).join(loops, "note_id", "left").select("ordinal", "note_id", "supersedes", F.coalesce("_loop", "_why").alias("why")))
     # what leads to a rejected context: each round looks twice as far along the chain; who has met one stops
     known = state.select(F.col("note_id").alias("id"), F.col("why").isNotNull().alias("bad"))
-    far = checkpointed(known.join(links, "id", "left").select("id", "bad", F.when(~F.col("bad"), F.col("next")).alias("next")))
+    folder, n = f"{shared_folder(state.sparkSession)}/chains-{uuid.uuid4().hex}", 0
+    far = stored_round(known.join(links, "id", "left").select("id", "bad", F.when(~F.col("bad"), F.col("next")).alias("next")), folder, n)
     while not far.where("next is not null").isEmpty():
         ahead = far.select(F.col("id").alias("_m"), F.col("next").alias("_n"), F.col("bad").alias("_b"))
         met = F.col("bad") | F.coalesce("_b", F.lit(False))
-        far = checkpointed(far.join(ahead, far["next"] == ahead["_m"], "left").select("id", met.alias("bad"), F.when(~met, F.col("_n")).alias("next")))
+        far, n = stored_round(far.join(ahead, far["next"] == ahead["_m"], "left").select("id", met.alias("bad"), F.when(~met, F.col("_n")).alias("next")), folder, n + 1), n + 1
     rejected = state.join(far.select(F.col("id").alias("note_id"), "bad"), "note_id")
     why = F.coalesce("why", F.when(F.col("bad"), F.concat(F.lit("absent:"), "supersedes")))
     broken = rejected.select("ordinal", F.when(why.isNotNull(), "INVALID_SUPERSEDE").alias("code"), why.alias("detail"))
     accepted = valid.where("not is_context").select("ordinal", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("detail"))
-    return collide.unionByName(ids).unionByName(content).unionByName(broken).unionByName(accepted)
+    return repeated.unionByName(broken).unionByName(accepted)
 
 
 # -- identities --------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mnemospark.operators import search
+from mnemospark.operators import manifest, search
 
 
 def test_a_plan_is_computed_once_a_row(spark):
@@ -12,3 +12,13 @@ def test_a_plan_is_computed_once_a_row(spark):
     got = df.select("id", e.alias("e")).select("id", "e.strategy", "e.graph", "e.budget")
     assert [tuple(r) for r in got.orderBy("id").collect()] == [(0, "FTS_ONLY", False, 5), (1, "FTS_ONLY", False, 5), (2, "VECTOR_ONLY", True, 20), (3, "HYBRID", None, 20), (4, "HYBRID", False, 20), (5, "HYBRID", True, 20), (6, None, True, 20)]
     assert got._jdf.queryExecution().executedPlan().toString().count("root cause") == 1
+
+
+def test_estimates_stay_small_where_steps_double(spark):
+    """A chain of 60 into a ring of 5, a ring of 3 with a tail, a self link, and a chain that ends."""
+    links = {i: i + 1 for i in range(60)} | {60 + i: 60 + (i + 1) % 5 for i in range(5)} | {100: 101, 101: 102, 102: 100, 103: 100, 110: 110} | {i: i + 1 for i in range(200, 240)}
+    found = manifest.on_cycles(spark.createDataFrame(list(links.items()), "id long, next long"))
+    assert sorted(r["id"] for r in found.collect()) == [60, 61, 62, 63, 64, 100, 101, 102, 110]
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**60
+    assert manifest.on_cycles(spark.createDataFrame([(1, 2), (2, 3)], "id long, next long")).count() == 0
+    assert manifest.on_cycles(spark.createDataFrame([], "id long, next long")).count() == 0
