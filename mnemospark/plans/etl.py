@@ -15,8 +15,10 @@ from mnemospark.sources import markdown
 NOTE = """note as (select p_partkey as id, 'n/' || p_partkey || '.md' as path, p_partkey % 11 = 0 as twice, p_partkey % 13 = 0 and p_partkey % 11 > 0 as unclosed, * from part)"""
 
 
-def _notes(spark: SparkSession, sf: str) -> DataFrame:
+def _notes(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    """spread: dealt out by key first, as a small file is read by few tasks."""
     p = table(spark, sf, "part")
+    p = p.repartition("p_partkey") if spread else p
     key, c = F.col("p_partkey"), F.concat
     lines = [
         F.lit("---"), c(F.lit("title: '"), "p_name", F.lit("''s'")), c(F.lit("tags: [ "), "p_type", F.lit(", \""), "p_brand", F.lit(", x\", ]")), F.lit("refs:"), F.lit("  - r1"), c(F.lit("  - "), "p_size"), F.lit("  more: no"),
@@ -81,9 +83,9 @@ def chunk_cuts(spark, sf):
 def source_ranges(spark, sf):
     """Whether ranges in the whole file, in characters and in bytes, hold the chunks and links; files with signs of
     two to four bytes and lines that end in two signs."""
-    f = _notes(spark, sf).withColumn("text", F.replace(F.concat("text", F.lit("\nend 𝄞 [[é ß]]")), F.lit("About"), F.lit("Über 你好\r\n")))
+    f = _notes(spark, sf, spread=True).withColumn("text", F.replace(F.concat("text", F.lit("\nend 𝄞 [[é ß]]")), F.lit("About"), F.lit("Über 你好\r\n")))
     f = f.withColumn("text", F.regexp_replace("text", r"`\[\[no\]\]`\.", "."))
-    n = markdown.notes(f).where("error is null").join(f, "relative_path")
+    n = markdown.notes(f, keep=("text",)).where("error is null")
     raw = F.encode("text", "UTF-8")
     lies = lambda x, content: (F.substring("text", x["start"] + 1, x["end"] - x["start"]) == content) & (F.decode(F.substring(raw, x["byte_start"] + 1, x["byte_end"] - x["byte_start"]), "UTF-8") == content)
     return n.select(

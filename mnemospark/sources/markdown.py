@@ -260,11 +260,12 @@ CHUNKS = "array<struct<index:int,heading:string,heading_path:array<string>,conte
 LINKS = "array<struct<kind:string,target:string,heading:string,alias:string,raw:string,start:int,end:int,byte_start:int,byte_end:int>>"
 
 
-def notes(files: DataFrame, most: int = 1400, overlap: int = 160) -> DataFrame:
+def notes(files: DataFrame, most: int = 1400, overlap: int = 160, keep: tuple[str, ...] = ()) -> DataFrame:
     """files (relative_path, text) with everything read from the text: front matter, body, headings,
     chunks, links, error and hashes. Ranges of chunks and links are places in the whole text, in characters
     and in bytes of its UTF-8. Null texts are empty; errors are a column, never an exception. Where files has a
-    column error (of a bounded scan), rows with one keep it, with nothing read from them."""
+    column error (of a bounded scan), rows with one keep it, with nothing read from them. keep: text columns of files
+    that come along, so that nothing need be joined to have them."""
     failed = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,10 +280,10 @@ def notes(files: DataFrame, most: int = 1400, overlap: int = 160) -> DataFrame:
                 base = len(text) - len(a["body"])
                 title = next((e["values"][0] for e in a["frontmatter"] if e["key"] == "title" and e["values"] and e["values"][0]), None) or re.sub(r"\.md$", "", (path or "").rpartition("/")[2])
                 rows.append((path, title, a["frontmatter"], a["body"], a["headings"], with_ranges(chunks(title, a["body"], most, overlap), text, base), with_ranges(links(a["body"]), text, base), a["error"]))
-            yield pd.DataFrame(rows, columns=["relative_path", "title", "frontmatter", "body", "headings", "chunks", "links", "error"])
+            yield pd.DataFrame(rows, columns=["relative_path", "title", "frontmatter", "body", "headings", "chunks", "links", "error"]).assign(**{c: f[c].to_numpy() for c in keep})
 
-    schema = f"relative_path string, title string, frontmatter {ANALYSIS}, body string, headings {HEADINGS}, chunks {CHUNKS}, links {LINKS}, error string"
-    return files.select("relative_path", "text", failed.alias("_failed")).mapInPandas(apply, schema).withColumn("content_hash", F.sha2("body", 256))
+    schema = f"relative_path string, title string, frontmatter {ANALYSIS}, body string, headings {HEADINGS}, chunks {CHUNKS}, links {LINKS}, error string" + "".join(f", `{c}` string" for c in keep)
+    return files.select("relative_path", "text", failed.alias("_failed"), *[c for c in keep if c not in ("relative_path", "text")]).mapInPandas(apply, schema).withColumn("content_hash", F.sha2("body", 256))
 
 
 #: Texts that would be read as something else than themselves, or be cut (see scalar() and front_matter()).

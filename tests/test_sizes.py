@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from mnemospark.operators import manifest, search
+from mnemospark.plans import etl, stores, streams  # noqa: F401  (they register their queries)
+from mnemospark.plans.queries import QUERIES
+from mnemospark.sources import markdown
 
 
 def test_a_plan_is_computed_once_a_row(spark):
@@ -22,3 +25,10 @@ def test_estimates_stay_small_where_steps_double(spark):
     assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**60
     assert manifest.on_cycles(spark.createDataFrame([(1, 2), (2, 3)], "id long, next long")).count() == 0
     assert manifest.on_cycles(spark.createDataFrame([], "id long, next long")).count() == 0
+
+
+def test_texts_come_along_with_what_is_read_from_them(spark):
+    files = spark.createDataFrame([("a.md", "# é", "x"), ("b.md", None, None), ("b.md", "---\n", "y")], "relative_path string, text string, more string")
+    got = markdown.notes(files, keep=("text", "more")).select("relative_path", "text", "more", "error", F.size("headings").alias("n"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("a.md", "# é", "x", None, 1), ("b.md", "---\n", "y", "FRONTMATTER_PARSE_ERROR", 0), ("b.md", None, None, None, 0)]
+    assert "Join" not in QUERIES["d6_source_ranges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
