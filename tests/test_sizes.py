@@ -6,6 +6,7 @@ from mnemospark.operators import manifest, search
 from mnemospark.plans import etl, stores, streams  # noqa: F401  (they register their queries)
 from mnemospark.plans.queries import QUERIES
 from mnemospark.sources import markdown
+from mnemospark.sources.change_log import ChangeLogReader
 
 
 def test_a_plan_is_computed_once_a_row(spark):
@@ -32,3 +33,18 @@ def test_texts_come_along_with_what_is_read_from_them(spark):
     got = markdown.notes(files, keep=("text", "more")).select("relative_path", "text", "more", "error", F.size("headings").alias("n"))
     assert sorted(map(tuple, got.collect()), key=str) == [("a.md", "# é", "x", None, 1), ("b.md", "---\n", "y", "FRONTMATTER_PARSE_ERROR", 0), ("b.md", None, None, None, 0)]
     assert "Join" not in QUERIES["d6_source_ranges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_of_a_stretch_are_read_once(spark, tmp_path, monkeypatch):
+    log, reads, read = str(tmp_path / "log"), [], ChangeLogReader._read
+    entries = lambda a, b: spark.range(a, b).selectExpr("id as sequence", "concat('c', id) as note")
+    entries(1, 401).repartition(3).write.parquet(log)
+    monkeypatch.setattr(ChangeLogReader, "_read", lambda self, *a: reads.append(a) or read(self, *a))
+    reader = ChangeLogReader(entries(0, 1).schema, {"path": log, "max_rows": "10"})
+    offset, got = reader.initialOffset(), []
+    while page := list((found := reader.read(offset))[0]):
+        assert len(page) == 10
+        got, offset = got + page, found[1]
+        if len(got) == 200:
+            entries(401, 421).coalesce(1).write.mode("append").parquet(log)  # files that come meanwhile are seen
+    assert got == [(i, f"c{i}") for i in range(1, 421)] and len(reads) <= 20
