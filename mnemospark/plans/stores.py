@@ -52,8 +52,9 @@ def files(spark, sf):
 
 
 def _vault(spark: SparkSession, sf: str) -> tuple[str, int]:
-    """Parts as notes in three folders, and their number; every seventh has front matter that is never closed."""
-    p, root = table(spark, sf, "part"), f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    """Parts as notes in three folders, and their number; every seventh has front matter that is never closed. Parts are
+    dealt out by key first, as a small file is read by few tasks."""
+    p, root = table(spark, sf, "part").repartition("p_partkey"), f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
     path = _c(F.lit("d"), F.col("p_partkey") % 3, F.lit("/"), "p_partkey", F.lit(".md"))
     text = F.when(F.col("p_partkey") % 7 == 0, _c(F.lit("---\ntitle: "), "p_name")).otherwise(_c(F.lit("---\ntitle: "), "p_name", F.lit("\n---\n# "), "p_brand"))
     write_files(p.select(path.alias("relative_path"), text.alias("text")), root).write.parquet(f"{root}-receipt")
@@ -72,9 +73,11 @@ def bounded_scan(spark, sf):
 
 @query("s4_source_snapshot", """select p_partkey, case when p_partkey % 7 = 0 then 'FRONTMATTER_PARSE_ERROR' else '-' end as error, case when p_partkey % 7 = 0 then '-' else p_name end as title, case when p_partkey % 7 = 0 then '-' else p_brand end as heading from part where p_partkey % 3 = 1""")
 def source_snapshot(spark, sf):
-    """Notes of one folder with what is read from them, or the code of what went wrong."""
-    root, _ = _vault(spark, sf)
-    found = vault.bounded_scan(spark, root).where(F.col("relative_path").startswith("d1/"))
+    """Notes of one folder with what is read from them, or the code of what went wrong. The ceilings are all that
+    was written: the files, their bytes, and three folders beside them."""
+    root, files = _vault(spark, sf)
+    size = spark.read.parquet(f"{root}-receipt").agg(F.sum("size")).first()[0] or 0
+    found = vault.bounded_scan(spark, root, max_entries=files + 3, max_files=max(files, 1), max_total_bytes=max(size, 1)).where(F.col("relative_path").startswith("d1/"))
     notes = markdown.notes(found)
     read = lambda c: F.when(F.col("error").isNull(), c).otherwise("-")
     return notes.select(F.regexp_extract("relative_path", r"([0-9]+)\.md$", 1).cast("long").alias("p_partkey"), F.coalesce("error", F.lit("-")).alias("error"), read(F.col("title")).alias("title"), read(F.get("headings", F.lit(0))["text"]).alias("heading"))

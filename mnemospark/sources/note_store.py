@@ -108,13 +108,16 @@ def write_files(notes: DataFrame, root: str) -> DataFrame:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
         for f in frames:
             out = []
             for path, text in zip(f["relative_path"], f["text"], strict=True):
                 raw = (text or "").encode()
                 if safe_path(path):
                     place = posixpath.join(base, path)
-                    store.create_dir(posixpath.dirname(place), recursive=True)
+                    if (folder := posixpath.dirname(place)) not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
                     beside = f"{place}.{hashlib.sha256(raw).hexdigest()[:16]}.part"
                     with store.open_output_stream(beside) as file:
                         file.write(raw)

@@ -12,7 +12,7 @@ count as they would without, but only files that meet them are opened."""
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from itertools import islice
 from typing import NamedTuple
@@ -85,13 +85,14 @@ def _entries(root: str, folder: str, most: int) -> list[Entry]:
     return entries
 
 
-def discover(root: str, limits: dict[str, int]) -> Scan:
+def discover(root: str, limits: dict[str, int], wanted: Callable[[str], bool] = lambda path: True) -> Scan:
     """The .md files below root in the order they are met: a folder's own by name, then its folders, the last name
     first. Hidden folders are passed over, folders that are links are an error and not entered. The scan ends at
-    the first entry, file or byte above a ceiling; errors above max_errors are not kept, but a scan with any is not complete."""
+    the first entry, file or byte above a ceiling; errors above max_errors are not kept, but a scan with any is not complete.
+    All files count, those that are not wanted too, but only wanted ones are kept."""
     files: list[Found] = []
     errors: list[str] = []
-    seen = total = failed = 0
+    seen = taken = total = failed = 0
 
     def error(code: str) -> None:
         nonlocal failed
@@ -127,9 +128,11 @@ def discover(root: str, limits: dict[str, int]) -> Scan:
                 if entry.size is None:
                     error(READING)
                     continue
-                if entry.size > limits["max_file_bytes"] or total + entry.size > limits["max_total_bytes"] or len(files) >= limits["max_files"]:
+                if entry.size > limits["max_file_bytes"] or total + entry.size > limits["max_total_bytes"] or taken >= limits["max_files"]:
                     return stopped()
-                files.append(Found(name, entry.size, entry.modified, entry.is_link))
+                if wanted(name):
+                    files.append(Found(name, entry.size, entry.modified, entry.is_link))
+                taken += 1
                 total += entry.size
     return Scan(files, seen, total, not failed, errors)
 
@@ -158,10 +161,10 @@ class VaultReader(DataSourceReader):
         return not self.conditions or (path is not None and all(meets(f) for f in self.conditions))
 
     def partitions(self) -> list[Stretch]:
-        scan = discover(self.root, self.limits)
+        scan = discover(self.root, self.limits, self._wanted)
         found = [Stretch([], scan.errors, scan.complete)] if scan.errors and self._wanted(None) else []
         part: list[Found] = []
-        for file in filter(lambda f: self._wanted(f.relative_path), scan.files):
+        for file in scan.files:
             if part and (len(part) >= TASK_FILES or sum_of + file.size > TASK_BYTES):
                 found.append(Stretch(part, [], scan.complete))
                 part = []

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mnemospark.operators import manifest, search
 from mnemospark.plans import etl, stores, streams  # noqa: F401  (they register their queries)
 from mnemospark.plans.queries import QUERIES
-from mnemospark.sources import markdown
+from mnemospark.sources import markdown, vault
 from mnemospark.sources.change_log import ChangeLogReader
 
 
@@ -35,6 +35,22 @@ def test_texts_come_along_with_what_is_read_from_them(spark):
     assert "Join" not in QUERIES["d6_source_ranges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_snapshot_reads_more_files_than_the_usual_ceilings(spark, monkeypatch):
+    want = QUERIES["s4_source_snapshot"](spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(vault, "LIMITS", vault.LIMITS | {"max_entries": 90, "max_files": 60, "max_total_bytes": 900})
+    got = QUERIES["s4_source_snapshot"](spark, "/root/testdata/sf0.001").collect()
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey % 3 = 1").count()
+    assert parts > 60 and len(got) == parts and sorted(got) == sorted(want)
+
+
+def test_files_that_are_not_wanted_count(tmp_path):
+    for name in ("a/1", "a/2", "b/1", "b/2"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.md").write_text("x")
+    scan = vault.discover(str(tmp_path), vault.LIMITS | {"max_files": 3}, lambda p: p.startswith("a/"))
+    assert [f.relative_path for f in scan.files] == ["a/1.md"] and scan.total_bytes == 3 and not scan.complete
+
+
 def test_pages_of_a_stretch_are_read_once(spark, tmp_path, monkeypatch):
     log, reads, read = str(tmp_path / "log"), [], ChangeLogReader._read
     entries = lambda a, b: spark.range(a, b).selectExpr("id as sequence", "concat('c', id) as note")
