@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from mnemospark.operators import manifest, search
-from mnemospark.plans import etl, stores, streams  # noqa: F401  (they register their queries)
+from mnemospark.operators import manifest, search, text_index
+from mnemospark.plans import etl, index, stores, streams  # noqa: F401  (they register their queries)
 from mnemospark.plans.queries import QUERIES
 from mnemospark.sources import markdown, vault
 from mnemospark.sources.change_log import ChangeLogReader
@@ -64,3 +64,15 @@ def test_pages_of_a_stretch_are_read_once(spark, tmp_path, monkeypatch):
         if len(got) == 200:
             entries(401, 421).coalesce(1).write.mode("append").parquet(log)  # files that come meanwhile are seen
     assert got == [(i, f"c{i}") for i in range(1, 421)] and len(reads) <= 20
+
+
+def test_notes_are_found_in_texts_as_by_an_index(spark, tmp_path):
+    rows = [(1, "The cat of\n the of\n---", "the of", ["x"]), (2, "of the\n\nthen often, THE oft", None, ["The  OF", "the of"]), (3, None, "the of", None), (4, "", "", []), (5, "the\nof", "t", None), (6, "nothing", "n", ["n"]), (7, "of of the the theory official", "t", None)]
+    notes = spark.createDataFrame(rows, "parent long, text string, title string, aliases array<string>")
+    lines = index._lines(notes.withColumnRenamed("parent", "doc_id"))
+    chunks = text_index.write_index(lines, str(tmp_path / "c"), "chunk", "text", "parent")
+    parents = text_index.write_index(notes, str(tmp_path / "p"), "parent", "text")
+    score = lambda df: [(r["parent"], round(r["score"], 9)) for r in df.collect()]
+    for query in (" The  OF", "of", "the of n", "?"):
+        assert score(text_index.note_search_in(notes, query, 5)) == score(text_index.note_search(chunks, parents, notes, query, 5))
+    assert "Exchange" not in QUERIES["r4_chunk_and_note_rank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
